@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, neardup
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_hyperminhash": neardup.op5_hyperminhash,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
+    "op5_hyperminhash": neardup.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
