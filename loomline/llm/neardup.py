@@ -8,8 +8,9 @@
 3. In each bucket of a band every node is compared with the smallest (a star, no pairs). The estimate of the Jaccard similarity
    from the registers, corrected for registers that agree by chance, drops pairs that are six standard errors below the
    threshold; the rest are confirmed on their full sets. Links give components.
-4. What may still be linked are nodes of one bucket in different components. Those outside the largest component of
-   their bucket are compared with the nodes of the others, and so no pair of a bucket that could change the result stays untested.
+4. What may still be linked are nodes that share a bucket and are in different components. An exact prefix filter over the sets
+   of these nodes alone gives every pair of them that can reach the threshold; these are confirmed too, and so no pair of a
+   bucket that could change the result stays untested.
 
 Equal sets are merged and minima taken before shuffles; hot buckets meet only in equi-joins that adaptive execution can split.
 
@@ -161,6 +162,80 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
 
 
+def several_components(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `placed` (keys, rep, component, ...) whose keys meet more than one component, with `largest`, the component
+    that most of a key's rows are in."""
+    crowds = placed.groupBy(*keys, "component").agg(F.count("*").alias("n_rows"))
+    most = (
+        crowds.groupBy(*keys)
+        .agg(F.count("*").alias("kinds"), F.max(F.struct("n_rows", "component")).alias("most"))
+        .where("kinds > 1")
+        .select(*keys, F.col("most.component").alias("largest"))
+    )
+    return placed.join(most, keys)
+
+
+def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of `nodes` (rep, component) in different components that may reach the threshold: an exact prefix filter.
+
+    Each set is ordered by how many of these sets have a shingle, rarest first. Sets that reach the threshold share a
+    shingle among the first n - ceil(t n) + 1 of both, and what follows their first shared shingle must be enough for the
+    overlap asked. Shingles that one set alone has only move the others' positions, so a document with many words of its own meets
+    nothing, whatever crowd it was copied from.
+    """
+
+    def sets(frames):
+        for frame in frames:
+            found = list(shingle_sets(frame["text"], k))
+            yield pd.DataFrame(
+                {
+                    "rep": frame["rep"],
+                    "component": frame["component"],
+                    "n": [len(x) for x in found],
+                    "shingles": [x.view(np.int64) for x in found],
+                }
+            )
+
+    made = pin(
+        texts.join(nodes, "rep").select("rep", "component", "text").mapInPandas(
+            sets, "rep long, component long, n long, shingles array<long>"
+        ),
+        "sets",
+    )
+    flat = made.select("rep", "component", "n", F.explode("shingles").alias("shingle"))
+    shared = flat.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = (
+        flat.join(shared, "shingle")
+        .groupBy("rep", "component", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+        .withColumn("alone", F.col("n") - F.size("s"))
+        .withColumn("reach", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone"))
+        .where("reach > 0")
+    )
+    prefix = pin(
+        ordered.select(
+            "rep", "component", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("reach").cast("int"))).alias("i", "s")
+        ).select("rep", "component", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle")),
+        "prefix",
+    )
+    met = several_components(prefix, ["shingle"])
+    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at")])
+    sizes = F.col("n_x") + F.col("n_y")
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    x, y = side("x", met.where("component != largest")), side("y", met)
+    return (
+        x.join(
+            y,
+            (x["shingle"] == y["shingle"])
+            & (F.col("component_x") != F.col("component_y"))
+            & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+            & (left * (100 + percent) >= sizes * percent),
+        )
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -190,24 +265,9 @@ def near_duplicates(
     placed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "band", "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    crowds = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    mixed = (
-        crowds.groupBy("band", "key")
-        .agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("most"))
-        .where("kinds > 1")
-        .select("band", "key", F.col("most.component").alias("largest"))
-    )
-    open_ = pin(placed.join(mixed, ["band", "key"]), "open")
-    fewer = open_.where("component != largest").select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    others = open_.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    untested = (
-        fewer.join(others, ["band", "key"])
-        .where("cx != cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = pin(confirmed(pin(promising(untested, nodes, percent), "rest"), texts, k, percent).distinct(), "more")
+    open_ = several_components(placed, ["band", "key"]).select("rep", "component").distinct()
+    rest = untested(pin(open_, "open"), texts, k, percent).join(star, ["a", "b"], "left_anti")
+    more = pin(confirmed(rest, texts, k, percent).distinct(), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
     merged = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
