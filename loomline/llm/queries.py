@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup
+from . import chat, decontaminate, langid, mixing, neardup, pii, suffixdedup, toxicity, warc, winnow
 
 QUERIES = {
+    "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_langid": langid.op3_langid,
+    "op4_pii": pii.op4_pii,
     "op5_hyperminhash": neardup.op5_hyperminhash,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat": chat.op7_chat,
+    "op8_winnowing": winnow.op8_winnowing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
+    "op1_suffix_dedup": suffixdedup.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_hyperminhash": neardup.OP5_SQL,
+    "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
