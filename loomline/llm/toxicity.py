@@ -4,8 +4,8 @@ Features of a text are the distinct hashes of its words, of pairs of neighbours
 2**bits coordinates. The learner keeps two numbers per coordinate, has a learning rate of its own for each, and its L1 term
 leaves most weights at zero, so the weights that are broadcast are few and at most 2**bits.
 
-Learning is sequential and so uses a bounded sample of the labelled rows (`max_docs`, a parameter, drawn by a hash and spread over a
-fixed number of shards): each shard is learned in one task from its sorted rows, and the shards' weights are averaged.
+Learning is sequential and so uses a bounded sample of the labelled rows (`max_docs`, a parameter, drawn by a hash): one task learns
+it from sorted rows, or `shards` tasks learn a part each and their weights are averaged, which is faster and less exact.
 Scoring is one pass over whole texts where they are read, without a shuffle.
 
 Defined results: null and empty texts have only the intercept's score; no labelled rows: every score is 0.5; rows with no label are
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .wordhash import U64, Words, encode, mix64
 
 BITS = 20
-SHARDS = 4
+SHARDS = 1
 MAX_DOCS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 THRESHOLD = 0.3
 #: A-Z become a-z; ASCII other than letters and digits separates; other bytes are of words.
 TABLE = Words(bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 0 for b in range(256)))
@@ -39,7 +39,7 @@ def features(words: np.ndarray, bits: int) -> np.ndarray:
     for gap in (1, 2):
         if words.size > gap:
             parts.append(mix64(words[:-gap] * U64(0x9FB21C651E98DF25) + words[gap:] + U64(gap * 7 + 3)))
-    return np.unique((np.concatenate(parts) >> U64(64 - bits)).astype(np.int64))
+    return np.unique((np.concatenate(parts) >> U64(64 - bits)).astype(np.int32))
 
 
 def feature_sets(texts, bits: int):
