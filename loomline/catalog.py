@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "a1_conditional_counts"
+from .plans import aggregation, changes, dataflow, filtering, joining, ordering, parsing, projecting, reconciling, rules, windowing  # noqa: F401
+from .registry import ORACLES, QUERIES
+from .streaming import events  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "results_page"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

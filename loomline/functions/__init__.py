@@ -1 +1 @@
-"""loomline.functions"""
+"""Column builders."""

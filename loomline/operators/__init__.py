@@ -1 +1 @@
-"""loomline.operators"""
+"""General operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""loomline.plans"""
+"""Named queries over the fixture tables."""

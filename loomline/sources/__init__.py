@@ -1 +1 @@
-"""loomline.sources"""
+"""Reading tables and page texts, and writing exports."""

@@ -1 +1 @@
-"""loomline.streaming"""
+"""Structured Streaming."""
