@@ -172,7 +172,7 @@ def several_components(placed: DataFrame, keys: list[str]) -> DataFrame:
         .where("kinds > 1")
         .select(*keys, F.col("most.component").alias("largest"))
     )
-    return placed.join(most, keys)
+    return placed.join(pin(most, "most"), keys)
 
 
 def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -203,7 +203,7 @@ def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         "sets",
     )
     flat = made.select("rep", "component", "n", F.explode("shingles").alias("shingle"))
-    shared = flat.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    shared = pin(flat.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     ordered = (
         flat.join(shared, "shingle")
         .groupBy("rep", "component", "n")
@@ -248,7 +248,8 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table, so that a hot bucket's join has an exchange on either side and can be split
+    hubs = pin(banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
     met = pin(banded.join(hubs, ["band", "key"]), "met")
 
     star = pin(promising(met.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), nodes, percent), "star")

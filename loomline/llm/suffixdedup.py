@@ -117,13 +117,14 @@ def repeated_passages(
     flat = made.select("doc_id", "text_hash", F.explode(F.arrays_zip("a", "b", "gram", "context")).alias("s")).select(
         "doc_id", "text_hash", "s.a", "s.b", "s.gram", "s.context"
     )
-    shared = flat.groupBy("gram").count().where("count > 1").select("gram")
+    # tables, so that a hot key's join has an exchange on either side and can be split
+    shared = pin(flat.groupBy("gram").count().where("count > 1").select("gram"), "shared")
     seeds = pin(flat.join(shared, "gram", "left_semi"), "seeds")
     contexts = pin(
         seeds.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "b", "text_hash")).alias("first")),
         "contexts",
     )
-    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds"))
+    kinds = pin(contexts.groupBy("gram").agg(F.count("*").alias("kinds")), "kinds")
     met = contexts.join(kinds, "gram")
     bit_at = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     every = bit_at(F.col("first.b") - F.col("first.a") + 1) - 1
@@ -170,11 +171,12 @@ def repeated_passages(
         ),
         "windows",
     )
-    equal = (
+    equal = pin(
         seen.groupBy("window")
         .agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "at")).alias("earliest"))
         .where("total > 1")
-        .select("window", "earliest")
+        .select("window", "earliest"),
+        "equal",
     )
     bit = bit_at(F.col("offset"))
     extended = (
