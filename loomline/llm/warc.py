@@ -2,7 +2,8 @@
 
 Writing: pages with equal payloads are brought together by digest; the smallest id is a `response`, the others `revisit` it. Each
 task writes files of its own in the shared folder, under names that no other attempt uses, and returns an index row per record:
-file, offset, length, URL and digest. The index is a table; only files it names count, so what a lost or repeated task left behind
+file, offset, length, URL and digest. Each record is a gzip member of its own, so that any range of whole records can be read alone.
+The index is a table; only files it names count, so what a lost or repeated task left behind
 is never read.
 
 Reading: index rows are selected first; their byte ranges, sorted by file and offset, are coalesced where the gap is small, up to
@@ -18,6 +19,7 @@ percent-encoded; payloads under `min_bytes` are all responses; an empty table gi
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -30,6 +32,7 @@ from .scratch import new_path, pin
 MAX_FILE = 256 << 20
 MAX_RANGE = 8 << 20
 MAX_GAP = 64 << 10
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
@@ -129,10 +132,11 @@ def write_archive(
                     if out is None or at >= MAX_FILE:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc", 0
-                        out = store.open_output_stream(f"{root}/{name}")
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     other = None if pd.isna(refers_to) else int(refers_to)
                     data, digest, kind = record_bytes(int(page_id), None if pd.isna(url) else url, bytes(payload), other)
+                    data = gzip.compress(data, LEVEL, mtime=0)
                     out.write(data)
                     rows.append((name, at, len(data), page_id, url, digest, kind))
                     at += len(data)
@@ -176,7 +180,7 @@ def read_archive(selected: DataFrame, folder: str, payloads: bool = False) -> Da
             ):
                 with store.open_input_file(f"{root}/{file}") as source:
                     data = source.read_at(length, start)
-                found = [parse_record(data[r["offset"] - start : r["offset"] - start + r["length"]]) for r in records]
+                found = [parse_record(gzip.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]])) for r in records]
                 made = pd.DataFrame(found)[columns]
                 made["refers_to"] = made["refers_to"].astype("Int64")
                 yield made
