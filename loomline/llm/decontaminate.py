@@ -249,10 +249,11 @@ def contamination(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
+    found = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
         run,
-        f"doc_id {kind}, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, item_ids array<string>",
+        "doc_id string, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, item_ids array<string>",
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))  # as strings, ids are exact beside nulls
 
 
 def decontaminate(

@@ -110,9 +110,9 @@ def sketch_frames(frames, k: int):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
-        lambda frames: sketch_frames(frames, k), "doc_id long, n_shingles long, set_hash binary, bands array<long>"
-    )
+    named = docs.select(F.col(f"`{id_col}`").cast("long").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    made = named.mapInPandas(lambda frames: sketch_frames(frames, k), "doc_id string, n_shingles long, set_hash binary, bands array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))  # as strings, ids are exact beside nulls
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:

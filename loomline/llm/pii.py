@@ -260,9 +260,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     span = "array<struct<kind: string, start: long, end: long>>"
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
-        run, f"doc_id {kind}, base {span}, spans {span}"
+    found = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
+        run, f"doc_id string, base {span}, spans {span}"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))  # as strings, ids are exact beside nulls
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

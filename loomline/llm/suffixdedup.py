@@ -18,7 +18,7 @@ equi-joins, which adaptive execution can split. What is gathered into one row is
 
 Defined results: words are split at ASCII white space, A-Z as a-z; null texts and texts of fewer than `min_words` words have no repeated
 words; of equal windows the one with the smallest id, then position, is the first and the others are later ones; rows that
-repeat id and text are repeated, and later than none of each other.
+repeat id and text are repeated, and later than none of each other; a null id is smaller than any other.
 """
 
 from __future__ import annotations
@@ -109,9 +109,11 @@ def repeated_passages(
                 )
 
     made = pin(
-        base.mapInPandas(
-            suffixes, "doc_id long, text_hash long, n_words long, a array<int>, b array<int>, gram array<long>, context array<long>"
-        ),
+        base.select(F.col("doc_id").cast("string"), F.col("text_hash").cast("string"), "text")  # exact beside nulls
+        .mapInPandas(
+            suffixes, "doc_id string, text_hash string, n_words long, a array<int>, b array<int>, gram array<long>, context array<long>"
+        )
+        .withColumns({c: F.col(c).cast("long") for c in ("doc_id", "text_hash")}),
         "suffixes",
     )
     flat = made.select("doc_id", "text_hash", F.explode(F.arrays_zip("a", "b", "gram", "context")).alias("s")).select(
@@ -157,16 +159,17 @@ def repeated_passages(
                                 "context": np.array([s["context"] for s in asked], np.int64)[which],
                                 "offset": offset.astype(np.int32),
                                 "n": np.array([s["n"] for s in asked], np.int64)[which],
-                                "doc_id": doc_id,
+                                "doc_id": pd.array([None if doc_id is None else int(doc_id)], dtype="Int64").repeat(which.size),
                                 "at": at.astype(np.int32),
                             }
                         )
                     )
                 yield pd.concat(out)
 
-    texts = base.join(wanted, ["doc_id", "text_hash"])
+    asking = wanted.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
+    texts = base.join(asking, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     seen = pin(
-        texts.select("doc_id", "text", "asked").mapInPandas(
+        texts.select(F.col("doc_id").cast("string"), "text", "asked").mapInPandas(
             windows, "window long, gram long, context long, offset int, n long, doc_id long, at int"
         ),
         "windows",

@@ -9,7 +9,7 @@ it from sorted rows, or `shards` tasks learn a part each and their weights are a
 Scoring is one pass over whole texts where they are read, without a shuffle.
 
 Defined results: null and empty texts have only the intercept's score; no labelled rows: every score is 0.5; rows with no label are
-not learned; rows that repeat an id are scored one by one, and their labels are met once for each label row.
+not learned; label rows that say the same of an id count once; rows that repeat an id are scored one by one.
 """
 
 from __future__ import annotations
@@ -97,10 +97,10 @@ def fit(
     shards: int = SHARDS,
     epochs: int = EPOCHS,
 ) -> Model:
-    """Learn from the documents that `labels` marks 0 or 1. About `max_docs` of the label rows are used, drawn by a hash."""
+    """Learn from the documents that `labels` marks 0 or 1. About `max_docs` of the labels are used, drawn by a hash."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
         "id is not null and label in (0, 1)"
-    )
+    ).distinct()  # what the draw leaves, and is broadcast, is so bound by max_docs
     rows = marks.count()
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id").cast("string")), F.lit(1 << 20))
     marks = marks.withColumn("draw", draw).where(F.col("draw") < int((1 << 20) * min(1.0, max_docs / max(1, rows))))

@@ -12,7 +12,7 @@ their digests.
 
 Files are opened with Arrow's file systems by the URI of `spark.checkpoint.dir` (file, hdfs, s3, gs, abfs).
 
-Defined results: a null payload is empty; equal ids with equal payloads are each a response; a null or unprintable URL is omitted or
+Defined results: a null payload is empty; a null page id is always a response and nothing refers to it; equal ids with equal payloads are each a response; a null or unprintable URL is omitted or
 percent-encoded; payloads under `min_bytes` are all responses; an empty table gives an empty index.
 """
 
@@ -44,6 +44,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def table(rows: list, columns: list[str]) -> pd.DataFrame:
+    """A frame of rows; ids are exact beside nulls."""
+    lists = zip(*rows, strict=True) if rows else [[] for _ in columns]
+    return pd.DataFrame(
+        {c: pd.array(list(x), dtype="Int64") if c in ("page_id", "refers_to") else list(x) for c, x in zip(columns, lists, strict=True)}
+    )
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -52,13 +60,14 @@ def clean_url(url: str | None) -> str:
     return "".join(c if "!" <= c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> tuple[bytes, str, str]:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> tuple[bytes, str, str]:
     """(record, digest, type). A revisit's block has the headers of the full payload and no payload."""
     digest, kind = base32_sha1(payload), "response" if refers_to is None else "revisit"
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    named = "null" if page_id is None else page_id
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{named}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {clean_url(url)}")
     if refers_to is not None:
@@ -79,7 +88,8 @@ def parse_record(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-    number = lambda name: int(fields[name].removeprefix("<urn:page:")[:-1]) if name in fields else None
+    named = lambda name: fields.get(name, "<urn:page:null>").removeprefix("<urn:page:")[:-1]
+    number = lambda name: None if named(name) == "null" else int(named(name))
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']}: the payload doesn't match its digest")
@@ -134,18 +144,19 @@ def write_archive(
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    other = None if pd.isna(refers_to) else int(refers_to)
-                    data, digest, kind = record_bytes(int(page_id), None if pd.isna(url) else url, bytes(payload), other)
+                    page_id, refers_to = (None if x is None else int(x) for x in (page_id, refers_to))
+                    data, digest, kind = record_bytes(page_id, url, bytes(payload), refers_to)
                     data = gzip.compress(data, LEVEL, mtime=0)
                     out.write(data)
                     rows.append((name, at, len(data), page_id, url, digest, kind))
                     at += len(data)
-                yield pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "url", "digest", "record_type"])
+                yield table(rows, ["file", "offset", "length", "page_id", "url", "digest", "record_type"])
         finally:
             if out is not None:
                 out.close()
 
     rows = with_revisits(pages, id_col, url_col, html_col, min_bytes)
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # exact beside nulls
     return pin(rows.mapInPandas(run, INDEX), "warc-index")
 
 
@@ -181,9 +192,7 @@ def read_archive(selected: DataFrame, folder: str, payloads: bool = False) -> Da
                 with store.open_input_file(f"{root}/{file}") as source:
                     data = source.read_at(length, start)
                 found = [parse_record(gzip.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]])) for r in records]
-                made = pd.DataFrame(found)[columns]
-                made["refers_to"] = made["refers_to"].astype("Int64")
-                yield made
+                yield table([[r[c] for c in columns] for r in found], columns)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return ranges(selected).mapInPandas(run, schema + (", payload binary" if payloads else ""))

@@ -128,6 +128,10 @@ def test_suffix_dedup(spark):
         keep = [w for i, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")) if i not in want[d][1]]
         assert (cut[d] or "").split() == " ".join(keep).split()
     assert suffixdedup.repeated_passages(docs_of(spark, []), min_words=12, k=4).count() == 0
+    odd = docs_of(spark, [texts[12], texts[13], said(4, 1)], [None, 2**60 + 1, 2**60 + 3])
+    odd = {r.doc_id: (spread(r.spans), spread(r.later_spans)) for r in suffixdedup.repeated_passages(odd, min_words=12, k=4).collect()}
+    want = brute_repeats([texts[12], texts[13], said(4, 1)], 12)
+    assert odd == {None: want[0], 2**60 + 1: want[1], 2**60 + 3: want[2]}
     with pytest.raises(ValueError):
         suffixdedup.repeated_passages(docs_of(spark, []), min_words=100, k=4)
 
@@ -414,6 +418,11 @@ def test_chat_round_trip(spark):
         assert got.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in mine).encode()).hexdigest()
         assert got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.read_back(formatted.where("false")).count() == 0
+    odd = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (2**60 + 1, 1, "assistant", None)]
+    odd = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    odd = odd.select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("j"))
+    got = chat.read_back(chat.segments(chat.to_turns(odd, "conv_id", "j", ["turn"]))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 2, 1), (2**60 + 1, 1, 0)]
 
 
 # 8
@@ -530,6 +539,11 @@ def test_warc(spark):
     some = warc.read_archive(index.where("page_id in (1, 6)"), folder).collect()
     assert sorted(r.page_id for r in some) == [1, 6]
     assert warc.write_archive(df.where("false"), new_path(spark, "warc-none")).count() == 0
+    odd = spark.createDataFrame([(None, None, "x"), (2**60 + 3, "u", "x"), (2**60 + 1, "u", "x"), (None, "u", None)], "page_id long, url string, html string")
+    odd = warc.read_archive(warc.write_archive(odd, (f := new_path(spark, "warc-null"))), f).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in odd) == [
+        (0, "response", 0), (0, "response", 0), (2**60 + 1, "response", 0), (2**60 + 3, "revisit", 2**60 + 1)
+    ]
     large = warc.read_archive(warc.write_archive(df, (f := new_path(spark, "warc-min")), min_bytes=5), f)
     assert large.where("record_type = 'revisit'").count() == 0
 
