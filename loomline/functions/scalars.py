@@ -59,7 +59,8 @@ def drawing_label(function: Column, page: Column) -> Column:
 
 def clamp01(c: Column) -> Column:
     """A confidence in [0, 1]; what is no number is null."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double")))
+    value = c.try_cast("double")  # least and greatest skip nulls
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def version_key(c: Column) -> Column:

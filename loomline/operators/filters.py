@@ -11,6 +11,7 @@ from ..functions.scalars import differs
 
 LONGEST_SEARCH = 100
 LARGEST_RANGE = 200
+# The signs that may stand between the ends of a range, and the form of a number.
 RANGE_SIGN = re.compile(r"\s*(?:[-~～—–]|至)\s*")
 NUMBERED = re.compile(r"(.*?)([0-9]{1,12})", re.DOTALL)
 

@@ -25,7 +25,7 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("A001-003", ["A001", "A002", "A003"]), ("A098-A101", ["A098", "A099", "A100", "A101"]), ("N12~5", None), ("7至9", ["7", "8", "9"]),
+        ("A001-003", ["A001", "A002", "A003"]), ("A098-A101", ["A098", "A099", "A100", "A101"]), ("N12~5", ["N12", "N13", "N14", "N15"]), ("N15~2", None), ("7至9", ["7", "8", "9"]),
         ("A1-B2", None), ("A001-300", None), ("abc", None), ("A108-12", ["A108", "A109", "A110", "A111", "A112"]),
     ],
 )
