@@ -15,3 +15,11 @@ def test_every_order_is_in_a_receipt(spark, sf_dir, tmp_path):
     orders.withColumn("o_totalprice", price).write.parquet(str(tmp_path / "orders.parquet"))
     after = {r.o_orderpriority: (r.digest, r.n) for r in run(spark, str(tmp_path)).collect()}
     assert [k for k in before if before[k] != after[k]] == [one.o_orderpriority]
+
+
+def test_all_groups_are_flattened(spark, sf_dir):
+    got = catalog.QUERIES["p23_flatten_groups_whole"](spark, sf_dir).orderBy("place").collect()
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").orderBy("l_orderkey").collect()
+    assert [(r.l_orderkey, r.place) for r in got] == [(r.l_orderkey, i) for i, r in enumerate(keys)]
+    plan = catalog.QUERIES["p23_flatten_groups_whole"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
