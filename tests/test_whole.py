@@ -23,3 +23,9 @@ def test_all_groups_are_flattened(spark, sf_dir):
     assert [(r.l_orderkey, r.place) for r in got] == [(r.l_orderkey, i) for i, r in enumerate(keys)]
     plan = catalog.QUERIES["p23_flatten_groups_whole"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_all_rows_are_exported(spark, sf_dir):
+    got = catalog.QUERIES["k1_export_columns_whole"](spark, sf_dir)
+    assert {c for _, c in got.dtypes} == {"string"}
+    assert got.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
