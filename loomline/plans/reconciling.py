@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance
-from ..operators.joins import ranked_matches
-from ..registry import query
+from ..registry import ORACLES, query
 
 NEAR = 0.025
 
@@ -116,9 +115,17 @@ def j28(t):
     SELECT id, nid, score::BIGINT AS score FROM c WHERE k = 1 AND nid NOT IN (SELECT nid FROM bad)""",
 )
 def j20(t):
-    """Each old row with its one best new row on the same page, by a weighted score of at least 4; ties and shared winners match
-    nothing. Pairs exist only within a page, the unit of a scan, which is bounded."""
-    old = t.lineitem.where("l_orderkey % 5 = 0").select(
+    return rescan_matches(*rescan(t.lineitem.where("l_orderkey % 5 = 0")))
+
+
+@query("j20_rescan_match_whole", ORACLES["j20_rescan_match"].replace(" WHERE l_orderkey % 5 = 0", ""))
+def j20_whole(t):
+    return rescan_matches(*rescan(t.lineitem))
+
+
+def rescan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Old rows, and new ones made from them with other numbers and ends."""
+    old = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("no"),
         F.col("l_suppkey").alias("st"), F.col("l_quantity").cast("int").alias("en"),
     )
@@ -126,15 +133,59 @@ def j20(t):
     new = old.where(i % 9 != 0).select(
         i.alias("nid"), "page", F.when(i % 3 == 0, F.col("no") + 7).otherwise(F.col("no")).alias("no"), "st", F.when(i % 4 == 0, F.col("en") + 1).otherwise(F.col("en")).alias("en")
     )
-    once = lambda df, name: df.withColumn(name, F.count("*").over(Window.partitionBy("no")) == 1)
-    a, b = once(old, "once_old").alias("o"), once(new, "once_new").alias("n")
-    points = lambda c, w: F.when(c, w).otherwise(0)
-    same = F.col("o.no") == F.col("n.no")
-    score = (
-        points(same, 4) + points(F.col("o.st") == F.col("n.st"), 2) + points(F.col("o.en") == F.col("n.en"), 2) + points(same & F.col("once_old") & F.col("once_new"), 4)
-    )
-    pairs = a.join(b, F.col("o.page") == F.col("n.page")).select("id", "nid", score.cast("long").alias("score"))
-    return ranked_matches(pairs, "id", "nid", "score", 4)
+    return old, new
+
+
+#: What an old and a new row of a score of 4 or more have in common, and the points for it.
+LEVELS = {"all": (["page", "no", "st", "en"], 8), "no_st": (["page", "no", "st"], 6), "no_en": (["page", "no", "en"], 6), "no": (["page", "no"], 4), "st_en": (["page", "st", "en"], 4)}
+LEVEL_KEYS = ["level", "k_page", "k_no", "k_st", "k_en"]
+
+
+def leveled(df: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and LEVEL_KEYS: a row per level whose columns are filled, with nulls for the columns it doesn't ask."""
+
+    def key(level: str, used: list[str]):
+        made = F.struct(F.lit(level).alias("level"), *[F.when(F.lit(c in used), F.col(c)).alias(f"k_{c}") for c in ("page", "no", "st", "en")])
+        return F.when(F.concat(*[F.col(c).cast("string") for c in used]).isNotNull(), made)
+
+    return df.select(*keep, F.inline(F.array_compact(F.array(*[key(level, used) for level, (used, _) in LEVELS.items()]))))
+
+
+def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Each old row (id, page, no, st, en) with its one best new row (nid, ...) on the same page, by a weighted score of at least 4;
+    ties and shared winners match nothing. New rows are counted per key of each level; a row's best score, how many have it, and
+    which one if it is one follow from those counts, so no pair of rows is made, however many rows share a page or a number."""
+    once = lambda df: df.groupBy("no").count().where("count = 1").select("no")
+    both = once(old).join(once(new), "no").withColumn("once", F.lit(True))
+    row = ["id", "page", "no", "st", "en"]
+    rows = old.groupBy(*row).agg(F.count("*").alias("copies")).join(both, "no", "left").withColumn("once", F.coalesce("once", F.lit(False)))
+    sizes = leveled(new, "nid").groupBy(*LEVEL_KEYS).agg(F.count("*").alias("n"), F.min("nid").alias("first"))
+    a, b = leveled(rows, *row, "copies", "once").alias("a"), sizes.alias("b")
+    met = a.join(b, F.expr(" AND ".join(f"a.{k} <=> b.{k}" for k in LEVEL_KEYS))).select(*[f"a.{c}" for c in [*row, "copies", "once", "level"]], "n", "first")
+    found = met.groupBy(*row, "copies", "once").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "first")))).alias("m"))
+    has = lambda level: F.map_contains_key("m", level)
+    names = lambda *levels: F.array(*[F.lit(x) for x in levels])
+    best = (
+        F.when(has("all"), names("all")).when(has("no_st") | has("no_en"), names("no_st", "no_en"))
+        .when(has("no") & F.col("once"), names("no")).when(has("no"), names("no", "st_en")).otherwise(names("st_en"))
+    )
+    points = F.lit(0)
+    for level, (_, p) in LEVELS.items():
+        points = F.when(F.array_contains("best", level), F.lit(p)).otherwise(points)
+    bonus = F.when(has("no") & F.col("once"), 4).otherwise(0)
+    taken = F.filter(F.transform("best", lambda x: F.col("m")[x]), lambda x: x.isNotNull())
+    scored = found.withColumn("best", best).select(
+        *row, "best", (points + bonus).cast("long").alias("score"),
+        (F.col("copies") * F.aggregate(taken, F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("n"),
+        F.array_min(F.transform(taken, lambda x: x["first"])).alias("nid"),
+    )
+    of_id = Window.partitionBy("id")  # an id is one row, or few
+    top = scored.withColumn("most", F.max("score").over(of_id)).where("score = most").withColumn("ties", F.sum("n").over(of_id))
+    single = top.where("ties = 1").select("id", "nid", "score")
+    repeated = single.groupBy("nid").count().where("count > 1").select("nid")
+    keys = leveled(top.where("ties > 1"), "best").where("array_contains(best, level)").select(*LEVEL_KEYS).distinct().alias("a")
+    tied = leveled(new, "nid").alias("b").join(keys, F.expr(" AND ".join(f"a.{k} <=> b.{k}" for k in LEVEL_KEYS)), "left_semi").select("nid")
+    return single.join(tied.union(repeated), "nid", "left_anti").select("id", "nid", "score")
 
 
 _POINTS = "p AS (SELECT vec_id, label, vec_id % 40 AS page, (embedding[1] + 1)::DOUBLE / 2 AS x, (embedding[2] + 1)::DOUBLE / 2 AS y FROM embeddings)"
