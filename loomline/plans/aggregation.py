@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import exceeds_ratio
 from ..operators import aggregates as ag
-from ..registry import query
+from ..registry import ORACLES, query
 
 
 @query(
@@ -33,8 +33,17 @@ def a2(t):
        FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1""",
 )
 def a3(t):
+    return ordered_json(t.lineitem.where("l_orderkey % 10 = 0"))
+
+
+@query("a3_ordered_json_whole", ORACLES["a3_ordered_json"].replace(" WHERE l_orderkey % 10 = 0", ""))
+def a3_whole(t):
+    return ordered_json(t.lineitem)
+
+
+def ordered_json(lines):
     item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
-    return t.lineitem.where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("lines"))
+    return lines.groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("lines"))
 
 
 @query("a4_string_agg", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1")

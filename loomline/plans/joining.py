@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as jn
-from ..registry import query
+from ..registry import ORACLES, query
 
 
 @query(
@@ -45,7 +45,16 @@ def j2(t):
     "SELECT event_id, key AS k FROM events, LATERAL (SELECT unnest(json_keys(props)) AS key) WHERE user_id % 4 = 0",
 )
 def j3(t):
-    return t.events.where("user_id % 4 = 0").select("event_id", F.explode(F.json_object_keys("props")).alias("k"))
+    return lateral_keys(t.events.where("user_id % 4 = 0"))
+
+
+@query("j3_lateral_unnest_whole", ORACLES["j3_lateral_unnest"].replace(" WHERE user_id % 4 = 0", ""))
+def j3_whole(t):
+    return lateral_keys(t.events)
+
+
+def lateral_keys(events):
+    return events.select("event_id", F.explode(F.json_object_keys("props")).alias("k"))
 
 
 @query("j4_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48)")

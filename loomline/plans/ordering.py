@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registry import ORACLES, query
 
 
 @query("o2_o3_page_has_more", "SELECT o_orderkey, 3 AS next_offset FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 20")
@@ -120,7 +120,16 @@ def s7(t):
 
 @query("s8_unnest_object", "SELECT event_id, k FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events) WHERE event_id % 3 = 0")
 def s8(t):
-    return t.events.where("event_id % 3 = 0").select("event_id", F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("k"))
+    return unnested(t.events.where("event_id % 3 = 0"))
+
+
+@query("s8_unnest_object_whole", ORACLES["s8_unnest_object"].replace(" WHERE event_id % 3 = 0", ""))
+def s8_whole(t):
+    return unnested(t.events)
+
+
+def unnested(events):
+    return events.select("event_id", F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("k"))
 
 
 @query(

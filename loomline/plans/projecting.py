@@ -84,12 +84,27 @@ def p11(t):
        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, unnest(['part', 'supp']) AS f FROM lineitem WHERE l_orderkey % 20 = 0)""",
 )
 def p14(t):
-    """Nested rows as (path, value) of their leaves."""
-    item = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
-    nested = t.lineitem.where("l_orderkey % 20 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("lines"))
+    return leaf_paths(t.lineitem.where("l_orderkey % 20 = 0"))
+
+
+@query("p12_p14_leaf_paths_whole", ORACLES["p12_p14_leaf_paths"].replace(" WHERE l_orderkey % 20 = 0", ""))
+def p14_whole(t):
+    return leaf_paths(t.lineitem)
+
+
+#: Keys that a comparison ignores, at any depth.
+IGNORED = ("line",)
+
+
+def leaf_paths(lines, ignored=IGNORED):
+    """Nested rows as (path, value) of their leaves, without the paths that go through an ignored key."""
+    item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    nested = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("lines"))
     flat = nested.select("l_orderkey", F.posexplode("lines").alias("i", "x"))
     leaf = lambda f: F.struct(F.format_string(f"lines[%d].{f}", "i").alias("path"), F.col(f"x.{f}").cast("string").alias("value"))
-    return flat.select("l_orderkey", F.inline(F.array(leaf("part"), leaf("supp"))))
+    leaves = flat.select("l_orderkey", F.inline(F.array(leaf("line"), leaf("part"), leaf("supp"))))
+    keys = F.transform(F.split("path", "[.]"), lambda k: F.regexp_replace(k, r"\[\d+\]$", ""))
+    return leaves.where(~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ignored]))) if ignored else leaves
 
 
 @query(
@@ -205,7 +220,16 @@ def x24(t):
 
 @query("x25_file_names", "SELECT event_id, regexp_replace(trim(props), '[\\\\/:*?\"<>|]+', '_', 'g') AS f FROM events WHERE event_id % 50 = 0")
 def x25(t):
-    return t.events.where("event_id % 50 = 0").select("event_id", sc.file_name(F.col("props")).alias("f"))
+    return file_names(t.events.where("event_id % 50 = 0"))
+
+
+@query("x25_file_names_whole", ORACLES["x25_file_names"].replace(" WHERE event_id % 50 = 0", ""))
+def x25_whole(t):
+    return file_names(t.events)
+
+
+def file_names(events):
+    return events.select("event_id", sc.file_name(F.col("props")).alias("f"))
 
 
 @query("x27_clamp", "SELECT event_id, greatest(0.0, least(1.0, value / 60 - 0.3))::DOUBLE AS c FROM events")
@@ -221,7 +245,16 @@ def x28(t):
 
 @query("x29_full_matches", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[0-9]+') AND p_size % 2 = 0")
 def x29(t):
-    return t.part.where(F.col("p_brand").rlike("^Brand#[0-9]+$") & (F.col("p_size") % 2 == 0)).select("p_partkey")
+    return full_matches(t.part.where("p_size % 2 = 0"))
+
+
+@query("x29_full_matches_whole", ORACLES["x29_full_matches"].replace(" AND p_size % 2 = 0", ""))
+def x29_whole(t):
+    return full_matches(t.part)
+
+
+def full_matches(part):
+    return part.where(F.col("p_brand").rlike("^Brand#[0-9]+$")).select("p_partkey")
 
 
 @query("x30_null_discipline", "SELECT doc_id, nullif(trim(left(source, 3)), 'src') IS NULL AS gone FROM documents")

@@ -1,8 +1,12 @@
 """Queries do the whole job: what they leave out would be seen here."""
 
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomline import catalog
+from loomline.plans.projecting import leaf_paths
 from loomline.plans.reconciling import rescan_matches
 
 
@@ -40,3 +44,27 @@ def test_rescan_matches_all_pages_without_pairs(spark, sf_dir):
     old = many.union(spark.sql("SELECT 1L, 1L, 6L, -1L, 2"))
     new = many.selectExpr("id AS nid", "page", "no", "-id - 9 AS st", "3 AS en").union(spark.sql("SELECT 2L, 1L, 7L, -1L, 2"))
     assert [tuple(r) for r in rescan_matches(old, new).collect()] == [(1, 2, 4)]
+
+
+@pytest.mark.parametrize("name, table, key", [
+    ("x25_file_names_whole", "events", "event_id"), ("p12_p14_leaf_paths_whole", "lineitem", "l_orderkey"), ("a3_ordered_json_whole", "lineitem", "l_orderkey"),
+    ("s8_unnest_object_whole", "events", "event_id"), ("j3_lateral_unnest_whole", "events", "event_id"), ("x29_full_matches_whole", "part", "p_partkey"),
+])
+def test_no_key_is_left_out(spark, sf_dir, name, table, key):
+    got = catalog.QUERIES[name](spark, sf_dir).select(key).distinct()
+    want = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct()
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_every_published_row_has_its_id(spark, sf_dir):
+    got = catalog.QUERIES["x22_published_ids"](spark, sf_dir).collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert all(r.id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.unit}:{r.no}")) for r in got)
+
+
+def test_ignored_keys_have_no_paths(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    last = lambda df: {r.k for r in df.selectExpr("substring_index(path, '.', -1) AS k").distinct().collect()}
+    assert last(leaf_paths(lines, ())) == {"line", "part", "supp"}
+    assert last(leaf_paths(lines)) == {"part", "supp"}
+    assert last(leaf_paths(lines, ("line", "supp"))) == {"part"}
