@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline import catalog
+from loomline.llm.chat import op7_chat
 from loomline.plans.projecting import leaf_paths
 from loomline.plans.reconciling import rescan_matches
 
@@ -68,3 +69,11 @@ def test_ignored_keys_have_no_paths(spark, sf_dir):
     assert last(leaf_paths(lines, ())) == {"line", "part", "supp"}
     assert last(leaf_paths(lines)) == {"part", "supp"}
     assert last(leaf_paths(lines, ("line", "supp"))) == {"part"}
+
+
+def test_op7_keeps_turns_of_any_length(spark, tmp_path):
+    n = 21_000_000  # above the longest string that Spark's JSON parser takes
+    rows = spark.range(2).selectExpr("7L AS conv_id", "id AS turn", "'assistant' AS role", f"if(id = 1, repeat('a', {n}), 'b') AS text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in op7_chat(spark, str(tmp_path)).collect()}
+    assert (got[7].n_turns, got[7].loss_chars, got[-1].n_turns) == (2, n + 1, 2)
