@@ -1,15 +1,14 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes, grouped by hash: nothing is sorted and no neighbours are compared.
 
 A word of a document is repeated if it lies in a run of `min_words` words that occurs elsewhere in the corpus, in this document or another.
 
 1. Of all suffixes only those are kept that begin at a minimiser: the smallest k-word hash of some window of min_words words. What is
    smallest depends on the window's words alone, so two equal windows keep suffixes at the same place in them. A suffix
-   is represented by hashes in its sort order: first its k words, then its context, which are the words of all windows that chose it.
-2. Suffixes whose first k words occur once have no neighbour that shares them and go. The rest are compared with their
-   neighbours in that order. Equal contexts are neighbours that agree as far as any window reaches, and are handled as one
-   from here on, however many copies there are.
-3. Where neighbours share k words but not the context, the match is extended left and right: of one suffix per distinct context,
-   every window that chose it (so many words to the left, the rest to the right) is hashed from the text and met with its equals.
+   is represented by two hashes: of its first k words, and of its context, which are the words of all windows that chose it.
+2. Suffixes whose first k words occur once share them with none and go. The rest are grouped by both hashes. Equal contexts agree
+   as far as any window reaches, and are handled as one from here on, however many copies there are.
+3. Where suffixes share k words but not the context, exact window hashes take the place of an extension left and right: of one
+   suffix per distinct context, every window that chose it (so many words to the left, the rest to the right) is hashed from the text and met with its equals.
    This finds each match of min_words words exactly, also one that a nearer neighbour in suffix order would hide.
 4. The windows found go back to all suffixes of their context as bit masks, and to spans per document.
 
