@@ -208,8 +208,8 @@ def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", least: float = 0.05) -> DataFrame:
-    """`docs` without those that are `und` or whose best language knows less than `least` of their n-grams: what is in none of the
-    learned languages."""
+    """`docs` without those that are `und` or whose best language knows less than `least` of their n-grams: other
+    scripts and noise. Texts of unlearned languages in the script of a learned one share more n-grams than that and stay."""
     named = predict(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__row", F.col(f"`{text_col}`").alias("text")), filters)
     return named.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least)).select("__row.*")
 
