@@ -12,9 +12,11 @@ Spans found in normalised text are mapped back through all edit lists and added
 A bare `at` counts only before a host with a disguised dot, or with a name that has a digit, dot or underscore, so that prose
 with `at` stays as it is.
 
-Everything is one pass over whole texts where they are read. Each step is linear in a text's length, whatever its characters.
+Everything is one pass over whole texts where they are read. Each step is linear in a text's length: cores of disguises are found
+first, blanks around them are widened over by hand, and names and hosts are walked from them label by label, of any length.
 
-Defined results: null is as an empty text; spans are in code points, end exclusive; equal spans are given once.
+Defined results: null is as an empty text; spans are in code points, end exclusive; equal spans are given once; rows that repeat an
+id are read one by one; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -129,16 +131,18 @@ FOLDED = re.compile(
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_DIGIT}(?:[\s,-]+{_DIGIT}){{2,}}\b", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(plus|{_DIGIT})(?:[\s,-]+|$)", re.IGNORECASE)
-_OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
-_HIDDEN_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|[ \t]+dot[ \t]+|&#46;|%2e)"
+_HIDDEN_DOT = r"(?:[ \t]*[(\[{<][ \t]*(?:dot|\.)[ \t]*[)\]}>][ \t]*|[ \t]+dot[ \t]+|&#46;|%2e)"
 _DOT = rf"(?:\.|{_HIDDEN_DOT})"
-AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|[ \t]+(?:at|@)[ \t]+|@|&#64;|&commat;|%40", re.IGNORECASE)
-HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
-NAME = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})*[A-Za-z0-9_%+-]+$", re.IGNORECASE)
-DOTS = re.compile(_HIDDEN_DOT, re.IGNORECASE)
 HIDDEN_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 MAY_HIDE_IP = re.compile(rf"[0-9]{_HIDDEN_DOT}[0-9]", re.IGNORECASE)
-LONGEST_NAME = 320
+IP_DOT = re.compile(_HIDDEN_DOT, re.IGNORECASE)
+#: Cores of disguises; those in the group `spaced` take the blanks around them, which are widened over by hand.
+DOT_CORE = re.compile(r"(?P<spaced>[(\[{<][ \t]*(?:dot|\.)[ \t]*[)\]}>]|(?<=[ \t])dot(?=[ \t]))|&#46;|%2e", re.IGNORECASE)
+AT_CORE = re.compile(r"(?P<spaced>[(\[{<][ \t]*(?:at|@)[ \t]*[)\]}>]|(?<=[ \t])(?:at|@)(?=[ \t]))|@|&#64;|&commat;|%40", re.IGNORECASE)
+PERCENT_DOT = re.compile("%2e", re.IGNORECASE)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+NAME_CHARS = LOCAL_CHARS - {"."}
+TELLING = re.compile("[0-9._]")
 
 
 def fold(c: str) -> str:
@@ -156,8 +160,17 @@ def fold(c: str) -> str:
     return plain if len(plain) == 1 and plain < "\x7f" else c
 
 
+class _Folds(dict):
+    def __missing__(self, c: str) -> str:
+        self[c] = found = fold(c)
+        return found
+
+
+_folds = _Folds()  # of the characters FOLDED names, some thousands
+
+
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
-    return [(i, i + 1, fold(text[i])) for m in FOLDED.finditer(text) for i in range(*m.span()) if fold(text[i]) != text[i]]
+    return [(i, i + 1, new) for m in FOLDED.finditer(text) for i, c in enumerate(m[0], m.start()) if (new := _folds[c]) != c]
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
@@ -170,33 +183,81 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def disguises(core: re.Pattern, text: str) -> list[tuple[int, int, str]]:
+    """(start, end, core) of each disguise, by start. A run of blanks is widened over from its two sides at most."""
+    out = []
+    for m in core.finditer(text):
+        start, end = m.span()
+        if m.lastgroup:
+            while start and text[start - 1] in " \t":
+                start -= 1
+            while end < len(text) and text[end] in " \t":
+                end += 1
+        out.append((start, end, m[0]))
+    return out
+
+
+def host_after(text: str, at: int, dots: dict[int, int]) -> tuple[int, list[tuple[int, int]]] | None:
+    """(end, hidden dots used) of the host that begins at `at`; `dots` are hidden dots, start to end."""
+    label, end, labels, used = LABEL.match(text, at), at, 0, []
+    while label:
+        end, labels = label.end(), labels + 1
+        after = end + 1 if text.startswith(".", end) else dots.get(end)
+        if after is None:
+            break
+        label = LABEL.match(text, after)
+        if label and text[end] != ".":
+            used.append((end, after))
+    return (end, used) if labels > 1 else None
+
+
+def name_before(text: str, end: int, floor: int, dots: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """(start, hidden dots used) of the name that ends at `end`, by walking back to `floor` at most; `dots`: end to start."""
+    start, used, at, dot = end, [], end, None
+    while True:
+        run = at
+        while run > floor and text[run - 1] in NAME_CHARS:
+            run -= 1
+        if run == at:
+            break
+        if dot:
+            used.append(dot)
+        start = run
+        at, dot = (run - 1, None) if run > floor and text[run - 1] == "." else (dots.get(run, -1), (dots.get(run, -1), run))
+        if at < floor:
+            break
+    return start, used[::-1]
+
+
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
     out, last = [], 0
-    for m in AT.finditer(text):
-        host = HOST.match(text, m.end())
-        if not host or m.start() < last:
+    hidden = disguises(DOT_CORE, text)
+    ahead, behind = {s: e for s, e, _ in hidden}, {e: s for s, e, _ in hidden}
+    for start, end, core in disguises(AT_CORE, text):
+        host = host_after(text, end, ahead) if start >= last else None
+        if not host:
             continue
-        floor = max(last, m.start() - LONGEST_NAME)
-        name = NAME.search(text[floor : m.start()])
-        if not name:
+        name, in_name = name_before(text, start, last, behind)
+        if name == start:
             continue
-        hidden = list(DOTS.finditer(text, host.start(), host.end()))
-        hidden_name = list(DOTS.finditer(text, floor + name.start(), m.start()))
-        if m[0] == "@" and not hidden and not hidden_name:
-            continue
-        if m[0].strip().lower() == "at" and not hidden and not hidden_name and not re.search("[0-9._]", name[0]):
-            continue
-        out += [(d.start(), d.end(), ".") for d in hidden_name]
-        out.append((m.start(), m.end(), "@"))
-        out += [(d.start(), d.end(), ".") for d in hidden]
-        last = host.end()
+        in_name = sorted(in_name + [m.span() for m in PERCENT_DOT.finditer(text, name, start)])
+        if not in_name and not host[1]:
+            if core == "@" and end - start == 1:
+                continue
+            if core.lower() == "at" and not TELLING.search(text, name, start):
+                continue
+        out += [(s, e, ".") for s, e in in_name]
+        out.append((start, end, "@"))
+        out += [(s, e, ".") for s, e in host[1]]
+        last = host[0]
     if MAY_HIDE_IP.search(text):
-        taken = [(s, e) for s, e, _ in out]
+        starts, more = [s for s, _, _ in out], []
         for m in HIDDEN_IP.finditer(text):
-            dots = [(d.start(), d.end(), ".") for d in DOTS.finditer(text, m.start(), m.end())]
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                out += dots
-    return sorted(out)
+            i = bisect.bisect_left(starts, m.end()) - 1
+            if i < 0 or out[i][1] <= m.start():
+                more += [(d.start(), d.end(), ".") for d in IP_DOT.finditer(text, m.start(), m.end())]
+        out = sorted(out + more)
+    return out
 
 
 TRANSDUCERS = (homoglyphs, spelled_digits, at_and_dot)
