@@ -1,8 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton of all items is built once and broadcast; its size is bound by `max_item_words`, which is checked before (a
-larger set of items is refused, not cut: call the operator once per part of it). Documents are streamed through it where they
-are read, without a shuffle: at each word the longest suffix of the document so far that occurs in some item is known as a state and a
+The automaton of the items is built in the driver and broadcast as flat arrays, about 100 bytes a word of the items. Items of more than
+`max_item_words` words in all are taken in parts of that many, one after the other, so neither the driver nor a task ever holds more: each
+part's hits are written, and a document's are united over all parts before anything is counted or cut, so the result is the same.
+Documents are streamed through an automaton where they are read, without a shuffle: at each word the longest suffix of the document so far that occurs in some item is known as a state and a
 length. A length of `window` words or more is a hit of the last `window` words, and the state on the suffix-link path whose strings
 have that length knows the items. Items shorter than `window` count when they occur whole.
 
@@ -10,26 +11,34 @@ Only stretches whose neighbouring words are neighbours in some item, and which a
 word by word; which stretches these are is found with arrays. Nothing else can hold a window.
 
 Defined results: null or empty texts, and null or empty items, have no words; no items: nothing is hit; repeated items with one id
-count once; null item ids are named `null`; very long texts are tokenised in blocks.
+count once; null item ids are named `null`; very long texts are tokenised in blocks; rows that repeat an id are read one by one; an empty
+table gives no rows; other columns are kept, and none is overwritten.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name, pin
+
 WINDOW = 10
-MAX_ITEM_WORDS = 5_000_000
+MAX_ITEM_WORDS = 250_000
 BLOCK = 1 << 22
 #: A-Z become a-z; every other ASCII character that is no digit and no a-z becomes a space; other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD_CHARS = re.compile(WORD)
+SPANS = "array<struct<start: long, end: long>>"
 
 
 def blocks(data: bytes, size: int = BLOCK):
@@ -50,24 +59,33 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """States are numbered from the root, 0. `next` maps word ids to states; `owner` is the state on the suffix-link path that
-    holds the suffix of `window` words, or -1; `short` lists (words, item) of the whole short items that end a state."""
+    """States are numbered from the root, 0. The words that lead on from state s are `word[first[s]:first[s + 1]]`, sorted, and lead
+    to the states at the same places of `to`; `owner` is the state on the suffix-link path that holds the suffix of `window` words,
+    or -1; `short` lists (words, item) of the whole short items that end a state."""
 
     window: int
     least: int
     vocabulary: dict[bytes, int]
     pairs: np.ndarray
-    next: list[dict[int, int]]
-    link: list[int]
-    length: list[int]
-    owner: list[int]
+    first: array
+    word: array
+    to: array
+    link: array
+    length: array
+    owner: array
     items: dict[int, tuple[str, ...]]
-    short: list[tuple[tuple[int, str], ...]]
+    short: dict[int, tuple[tuple[int, str], ...]]
+
+    def step(self, state: int, w: int) -> int:
+        """The state that word w leads to, or -1."""
+        low, high = self.first[state], self.first[state + 1]
+        i = bisect_left(self.word, w, low, high)
+        return self.to[i] if i < high and self.word[i] == w else -1
 
 
-def build_automaton(items: list[tuple[str, str | None]], window: int = WINDOW) -> Automaton:
+def build_automaton(items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> Automaton:
     vocabulary: dict[bytes, int] = {}
-    texts = [(name, [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]) for name, text in items]
+    texts = [(name, [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for name, words in items]
     texts = [(name, ids) for name, ids in texts if ids]
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -120,19 +138,23 @@ def build_automaton(items: list[tuple[str, str | None]], window: int = WINDOW) -
                 found.setdefault(owner[s], set()).add(name)
         if len(ids) < window:
             own_short.setdefault(s, set()).add((len(ids), name))
-    short: list[tuple[tuple[int, str], ...]] = [()] * len(nxt)
+    short: dict[int, tuple[tuple[int, str], ...]] = {}
     if own_short:
         for s in sorted(range(1, len(nxt)), key=length.__getitem__):
-            short[s] = short[link[s]] + tuple(sorted(own_short.get(s, ())))
+            if ends := short.get(link[s], ()) + tuple(sorted(own_short.get(s, ()))):
+                short[s] = ends
+    arrows = [sorted(x.items()) for x in nxt]
     return Automaton(
         window,
         min([min(len(ids), window) for _, ids in texts], default=window),
         vocabulary,
         np.array(sorted(pairs), dtype=np.int64),
-        nxt,
-        link,
-        length,
-        owner,
+        array("q", np.cumsum([0, *map(len, arrows)])),
+        array("q", (w for x in arrows for w, _ in x)),
+        array("q", (q for x in arrows for _, q in x)),
+        array("q", link),
+        array("q", length),
+        array("q", owner),
         {s: tuple(sorted(names)) for s, names in found.items()},
         short,
     )
@@ -162,17 +184,18 @@ def stretches(ids: np.ndarray, a: Automaton) -> list[tuple[int, int]]:
 def walk(ids: list[int], a: Automaton, base: int, spans: list[list[int]], names: set[str]) -> None:
     """Stream one stretch through the automaton; adds hit spans [start, end) in word positions and the items."""
     state = matched = 0
-    nxt, link, length, owner, short, window = a.next, a.link, a.length, a.owner, a.short, a.window
+    step, link, length, owner, short, window = a.step, a.link, a.length, a.owner, a.short, a.window
     for i, w in enumerate(ids):
-        while state and w not in nxt[state]:
+        to = step(state, w)
+        while to < 0 and state:
             state = link[state]
             matched = length[state]
-        to = nxt[state].get(w)
-        if to is None:
+            to = step(state, w)
+        if to < 0:
             continue
         state, matched = to, matched + 1
         back = 0
-        for size, name in short[state]:
+        for size, name in short.get(state, ()):
             if size <= matched:
                 names.add(name)
                 back = max(back, size)
@@ -212,13 +235,102 @@ def cut(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def load_items(items: DataFrame, id_col: str, text_col: str, max_item_words: int) -> list[tuple[str, str | None]]:
-    """The items, for the driver, after a check of their size."""
+def item_parts(rows: Iterable[tuple[str, str | None]], max_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in lists of at most `max_words` words. An item longer than that is cut into pieces that share window - 1 words,
+    so each of its windows is whole in one piece."""
+    size, part = max(max_words, window), []
+    left = size
+    for name, text in rows:
+        words = words_of(text)
+        for a in range(0, max(1, len(words) - window + 1), size - window + 1) if len(words) > size else (0,):
+            piece = words[a : a + size]
+            if len(piece) > left and part:
+                yield part
+                part, left = [], size
+            part.append((name, piece))
+            left -= len(piece)
+    if part:
+        yield part
+
+
+def load_items(items: DataFrame, id_col: str, text_col: str, max_item_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items, streamed to the driver a part at a time."""
     rows = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").alias("t"))
-    words = rows.agg(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if words > max_item_words:
-        raise ValueError(f"the items have {words} words; the automaton is bound to {max_item_words}: call this once per part")
-    return [(r.i, r.t) for r in rows.toLocalIterator()]
+    return item_parts(((r.i, r.t) for r in rows.toLocalIterator()), max_item_words, window)
+
+
+def found_in(
+    docs: DataFrame, text_col: str, items: Iterator[list[tuple[str, list[bytes]]]], window: int, cutting: bool = False
+) -> Column | DataFrame:
+    """What the items hit of each text: a column struct<n, spans, items> where the items are one part, with the `text` less
+    its hit spans if asked; else, written part by part, a table (key, spans, items) of the texts that are hit, `key` their SHA-256."""
+    context = docs.sparkSession.sparkContext
+
+    def scan(part, cutting=False):
+        held = context.broadcast(build_automaton(part, window))
+
+        @F.pandas_udf(f"struct<n: long, spans: {SPANS}, items: array<string>{', text: string' if cutting else ''}>")
+        def hits(texts: pd.Series) -> pd.DataFrame:
+            rows = [match(t, held.value) for t in texts]
+            made = {"n": [n for n, _, _ in rows], "spans": [as_structs(s) for _, s, _ in rows], "items": [names for _, _, names in rows]}
+            if cutting:
+                made["text"] = [cut(t, s) if s else None for t, (_, s, _) in zip(texts, rows, strict=True)]
+            return pd.DataFrame(made)
+
+        return hits.asNondeterministic()(F.col(f"`{text_col}`"))  # so that it is run once, not again for each use
+
+    first, second = next(items, []), next(items, None)
+    if second is None:
+        return scan(first, cutting)
+    tables = []
+    for part in chain((first, second), items):
+        seen = docs.select(F.sha2(F.col(f"`{text_col}`"), 256).alias("key"), scan(part).alias("found"))
+        tables.append(pin(seen.where(F.size("found.spans") > 0).select("key", "found.spans", "found.items"), "hits"))
+    table = tables[0]
+    for other in tables[1:]:
+        table = table.union(other)
+
+    @F.pandas_udf(SPANS)
+    def united(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda found: as_structs(merged(sorted((s["start"], s["end"]) for s in found))))
+
+    gathered = table.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    return pin(gathered.select("key", united("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "united")
+
+
+def as_structs(spans) -> list[dict]:
+    return [{"start": s, "end": e} for s, e in spans]
+
+
+def merged(spans) -> list[list[int]]:
+    """Sorted spans, those that touch as one."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def with_hits(docs: DataFrame, text_col: str, found: Column | DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name`: struct<n, spans, items>."""
+    if isinstance(found, Column):
+        return docs.withColumn(name, found)
+    text, none = F.col(f"`{text_col}`"), F.array()
+    hits = found.select(F.col("key").alias("__key"), F.struct("spans", "items").alias("__hit"))
+    return docs.join(hits, F.sha2(text, 256) == F.col("__key"), "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.struct(
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n"),
+            F.coalesce("__hit.spans", none.cast(SPANS)).alias("spans"),
+            F.coalesce("__hit.items", none.cast("array<string>")).alias("items"),
+        ).alias(name),
+    )
+
+
+def hit_words(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def contamination(
@@ -232,28 +344,11 @@ def contamination(
     max_item_words: int = MAX_ITEM_WORDS,
 ) -> DataFrame:
     """A row per document: (doc_id, n_words, n_hit, hit_spans, item_ids), spans as [start, end) word positions."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(build_automaton(load_items(items, item_id_col, item_text_col, max_item_words), window))
-
-    def run(frames):
-        for frame in frames:
-            found = [match(t, held.value) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_words": [n for n, _, _ in found],
-                    "n_hit": [sum(e - s for s, e in spans) for _, spans, _ in found],
-                    "hit_spans": [[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found],
-                    "item_ids": [names for _, _, names in found],
-                }
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
-        run,
-        "doc_id string, n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, item_ids array<string>",
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = found_in(named, "text", load_items(items, item_id_col, item_text_col, max_item_words, window), window)
+    return with_hits(named, "text", found, "f").select(
+        "doc_id", F.col("f.n").alias("n_words"), hit_words(F.col("f.spans")).alias("n_hit"), F.col("f.spans").alias("hit_spans"), F.col("f.items").alias("item_ids")
     )
-    return found.withColumn("doc_id", F.col("doc_id").cast(kind))  # as strings, ids are exact beside nulls
 
 
 def decontaminate(
@@ -269,29 +364,25 @@ def decontaminate(
 ) -> DataFrame:
     """`docs` with the hit spans cut from the texts and `length_col`, where there is one, set anew. A document of whose words
     more than `max_coverage` are hit goes. Rows that are not hit stay as they are, null texts included."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(build_automaton(load_items(items, item_id_col, item_text_col, max_item_words), window))
-
-    @F.pandas_udf("struct<cut: boolean, gone: boolean, text: string>")
-    def cleaned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            n, spans, _ = match(text, held.value)
-            hit = sum(e - s for s, e in spans)
-            gone = hit > max_coverage * n
-            rows.append((bool(spans), gone, cut(text, spans) if spans and not gone else None))
-        return pd.DataFrame(rows, columns=["cut", "gone", "text"])
-
-    made = docs.withColumn("__made", cleaned(F.col(f"`{text_col}`")))
-    made = made.where(~F.col("__made.gone"))
-    text = F.when(F.col("__made.cut"), F.col("__made.text")).otherwise(F.col(f"`{text_col}`"))
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        cuts = ([(s["start"], s["end"]) for s in found] for found in spans)
+        return pd.Series([cut(t, found) if found else None for t, found in zip(texts, cuts, strict=True)], dtype=object)
+
+    name = free_name(docs, "__found")
+    items_found = found_in(docs, text_col, load_items(items, item_id_col, item_text_col, max_item_words, window), window, cutting=True)
+    made = with_hits(docs, text_col, items_found, name)
+    made = made.where(hit_words(F.col(f"{name}.spans")) <= F.col(f"{name}.n") * max_coverage)
+    was = F.col(f"`{text_col}`")
+    hit = F.size(f"{name}.spans") > 0
+    new = F.col(f"{name}.text") if isinstance(items_found, Column) else without(was, F.col(f"{name}.spans"))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(text.alias(c))
+            columns.append(F.when(hit, new).otherwise(was).alias(c))
         elif c == length_col:
-            kept = F.col(f"`{c}`")
-            columns.append(F.when(F.col("__made.cut"), F.char_length(text).cast(docs.schema[c].dataType)).otherwise(kept).alias(c))
+            columns.append(F.when(hit, F.char_length(new).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return made.select(*columns)
@@ -299,7 +390,7 @@ def decontaminate(
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contract query: what of the benchmark each document holds."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).select(
         "doc_id",
