@@ -6,12 +6,12 @@ languages that contain it. A text's counts per language are popcounts of the mas
 false positives; the largest decides, and its share of the text's n-grams is the score.
 
 Fitting uses a bounded sample: at most about `max_docs` documents of each language, chosen by a hash. A language keeps the n-grams
-that make up at least `min_share` of its sample, which are 1 / min_share at most, so what is gathered and broadcast is bound whatever
-the size of the corpus. Predicting is one pass over whole texts where they are read, without a shuffle.
+that make up at least `min_share` of its sample, which are 1 / min_share at most, so what is gathered and broadcast is bound by
+the number of languages (128 KB each), whatever the size of the corpus. Predicting is one pass over whole texts where they are read, without a shuffle.
 
 Defined results: null texts and texts without letters are `und` with score 0, as is every text when no language was
 learned; a text of which no language knows an n-gram gets the first language with score 0; ties go to the first language
-by code point; rows that repeat an id are predicted one by one.
+by code point; rows that repeat an id are predicted one by one; an empty table gives no rows; no column of `docs` is overwritten.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import pin
+from .scratch import free_name, pin
 from .wordhash import U64, mix64
 
 ORDERS = (3, 4)
@@ -32,9 +32,9 @@ PROBES = 3
 CELLS_PER_GRAM = 16
 MAX_DOCS = 4000
 MIN_SHARE = 2e-5
-MAX_GRAMS = 1_000_000
 MAX_LANGUAGES = 1024
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+REACH = max(ORDERS) - 1
 UNKNOWN = "und"
 FACTORS = (0xD6E8FEB86659FD93, 0xA3AAACAA5D7E4F1B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -46,45 +46,60 @@ def letter_table() -> np.ndarray:
 
 def gram_hashes(texts: list[str]):
     """Yields, for runs of texts: (hashes of all n-grams, the index of each one's text). A text longer than a block comes in
-    several runs. An n-gram lies in one word, whose ends count as a mark."""
+    several runs, with the n-grams that it has as a whole. An n-gram lies in one word, whose ends count as a mark."""
     run: list[tuple[int, str]] = []
     size = 0
     for i, text in enumerate(texts):
-        pieces = [text] if len(text) <= BLOCK else [text[max(0, a - max(ORDERS) + 1) : a + BLOCK] for a in range(0, len(text), BLOCK)]
-        for piece in pieces:
-            if run and size + len(piece) > BLOCK:
-                yield _grams(run)
-                run, size = [], 0
-            run.append((i, piece))
-            size += len(piece)
+        text = text.lower()
+        if len(text) > BLOCK:
+            for start in range(0, len(text), BLOCK):
+                yield _grams(*_codes("".join(_around(text, start))), start > 0, i)
+            continue
+        if run and size + len(text) > BLOCK:
+            yield _run(run)
+            run, size = [], 0
+        run.append((i, text))
+        size += len(text)
     if run:
-        yield _grams(run)
-
-
-def _grams(run: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    lowered = [t.lower() for _, t in run]
-    codes = np.frombuffer(("\0" + "\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.array([i for i, _ in run]), [len(t) + 1 for t in lowered])
-    owner = np.concatenate((owner[:1], owner))
-    letter = letter_table()[codes]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
-    marks = np.where(letter, codes, 0)[keep].astype(U64)
-    owner = owner[keep]
+        yield _run(run)
+
+
+def _around(text: str, start: int):
+    """A block of a long text, with the n-gram's length less one before it; text ends are marks."""
+    yield "" if start else "\0"
+    yield text[max(0, start - REACH) : start + BLOCK]
+    yield "" if start + BLOCK < len(text) else "\0"
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, letter_table()[codes]
+
+
+def _run(run: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, letter = _codes("\0" + "\0".join(t for _, t in run) + "\0")
+    owner = np.repeat(np.array([i for i, _ in run]), [len(t) + 1 for _, t in run])
+    return _grams(codes, letter, False, np.concatenate((owner[:1], owner)))
+
+
+def _grams(codes: np.ndarray, letter: np.ndarray, open_left: bool, owner) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end after the REACH characters that an open left end repeats. Every character that is no letter is a mark."""
+    marks = np.where(letter, codes, 0).astype(U64)
     hashes, owners = [], []
     for n in ORDERS:
-        count = marks.size - n + 1
+        begin = REACH - n + 1 if open_left else 0
+        count = marks.size - n + 1 - begin
         if count <= 0:
             continue
+        at = lambda j: marks[begin + j : begin + j + count]  # noqa: B023, E731
         inner = np.ones(count, bool)
         for j in range(1, n - 1):
-            inner &= marks[j : j + count] != 0
+            inner &= at(j) != 0
         total = np.full(count, n, U64)
         for j in range(n):
-            total = total * U64(FACTORS[0]) + marks[j : j + count] * U64(FACTORS[1 + j % 3])
+            total = total * U64(FACTORS[0]) + at(j) * U64(FACTORS[1 + j % 3])
         hashes.append(mix64(total[inner]))
-        owners.append(owner[1 : 1 + count][inner])
+        owners.append(np.full(hashes[-1].size, owner) if np.ndim(owner) == 0 else owner[begin + 1 : begin + 1 + count][inner])
     if not hashes:
         return np.empty(0, U64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
@@ -154,14 +169,16 @@ def fit(
     lang_col: str = "lang",
     max_docs: int = MAX_DOCS,
     min_share: float = MIN_SHARE,
+    max_languages: int = MAX_LANGUAGES,
 ) -> LanguageFilters:
-    """Learn from rows with a text and a language. At most about `max_docs` of each language are read, by a hash of the id."""
+    """Learn from rows with a text and a language. At most about `max_docs` of each language are read, by a hash of the id.
+    More than `max_languages` values are taken for a column that doesn't hold languages, and refused; none is dropped."""
     rows = labelled.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")
     ).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the filters' size is bound by their number")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages if they are; the filters grow with their number")
     if not sizes:
         return LanguageFilters.of({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])
@@ -179,17 +196,16 @@ def fit(
         sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "grams",
     )
-    least = max(min_share, len(sizes) / MAX_GRAMS)
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return LanguageFilters.of({})
-    need = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n * least)])
+    need = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n * min_share)])
     frequent = counted.where(F.col("n") >= need[F.col("lang")]).select("lang", "gram").toPandas()
     return LanguageFilters.of({k: g["gram"].to_numpy().view(U64) for k, g in frequent.groupby("lang")})
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """`docs` with a struct `language` of (lang_pred, score)."""
+    """`docs` with a struct of (lang_pred, score), named `language` or, beside such a column, `language_`."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
@@ -199,7 +215,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -
             {"lang_pred": [x for names, _ in parts for x in names], "score": [float(x) for _, scores in parts for x in scores]}
         )
 
-    return docs.withColumn("language", guess(F.col(f"`{text_col}`")))
+    return docs.withColumn(free_name(docs, "language"), guess(F.col(f"`{text_col}`")))
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
