@@ -10,7 +10,9 @@ are taken before the shuffle, and only rows of one range are sorted, so a source
 as many tasks as it has ranges.
 
 Defined results: null text has no words; a null source is a source of its own, sorted last; documents without words are
-taken 0 times their size; an empty table gives an empty mix; rows that repeat an id are separate documents.
+taken 0 times their size; an empty table gives an empty mix; rows that repeat an id are separate documents, placed by their texts too;
+rows that repeat id and text are alike, lie in one range, and any of them may be the one taken in part. Sources are
+ranked and filled in one task, a narrow row per source.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import pin
+from .scratch import free_name, pin
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_RANGE = 2000
+ROWS_PER_RANGE = 500
 HASH_BITS = 60
 
 
@@ -31,9 +33,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded_hash(doc_id: Column, seed: int) -> Column:
-    """60 bits of md5(seed:id); the same in any SQL engine that has md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def seeded_hash(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 bits of md5(seed:id:md5(text)), so that rows that repeat an id are spread; the same in any SQL engine that has md5."""
+    named = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), named, F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -88,7 +91,7 @@ def mix(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-        seeded_hash(F.col(f"`{id_col}`"), seed).alias("u"),
+        seeded_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("u"),
         *([F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("kept_row")] if carry else []),
     )
     narrow = pin(base.select("doc_id", "source", "size", "u"), "sized")
@@ -132,26 +135,24 @@ def mix(
 
 
 def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mix itself, from `mix(..., carry=...)`: a row per copy taken, `copy` counting from 1; the text of a partial copy
-    ends after its last word taken. Documents of which nothing is taken go."""
+    """The mix itself, from `mix(..., carry=...)`: a row per copy taken, `copy` counting from 1, with its `words` (`copy_` and
+    `words_` beside columns so named); the text of a partial copy ends after its last word taken. Documents of which nothing is
+    taken go."""
     times = F.col("repeats") + (F.col("extra") > 0).cast("long")
-    pieces = F.regexp_extract_all(F.col(f"kept_row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col(f"kept_row.`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("extra").cast("int")), "")
-    fields = [f for f in mixed.schema["kept_row"].dataType.names]
+    held = mixed.select("kept_row.*")
+    partial = F.col("copy") > F.col("repeats")
     return (
         mixed.where((times > 0) & (F.col("size") > 0))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
         .select(
             *[
-                (
-                    F.when(F.col("copy") > F.col("repeats"), head).otherwise(F.col(f"kept_row.{f}"))
-                    if f == text_col
-                    else F.col(f"kept_row.{f}")
-                ).alias(f)
-                for f in fields
+                (F.when(partial, head).otherwise(F.col(f"kept_row.`{f}`")) if f == text_col else F.col(f"kept_row.`{f}`")).alias(f)
+                for f in held.columns
             ],
-            "copy",
-            F.when(F.col("copy") > F.col("repeats"), F.col("extra")).otherwise(F.col("size")).alias("words"),
+            F.col("copy").alias(free_name(held, "copy")),
+            F.when(partial, F.col("extra")).otherwise(F.col("size")).alias(free_name(held, "words")),
         )
     )
 
@@ -165,7 +166,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5('42:' || doc_id::VARCHAR), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5('42:' || doc_id::VARCHAR || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (

@@ -8,7 +8,8 @@ neighbours that are already minima, log2(w) passes in all.
 
 Likeness is the Jaccard similarity of the sets of hashes. Defined results: null is as an empty text; a text without words has an
 empty fingerprint, alike (1.0) to another such and to nothing else (0.0); one of fewer than k words has one gram; texts
-with fewer than w k-grams have one window; only texts of over 2**27 words (134 million) have positions that wrap.
+with fewer than w k-grams have one window; only texts of over 2**27 words (134 million) have positions that wrap; a null id comes
+first; rows that repeat an id follow each other by text, in one task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ K, W = 5, 8
 POSITION_BITS = 27
 LAST = (1 << POSITION_BITS) - 1
 CELL = 2048
-CROWDED = 50_000
+CROWDED = 8192
 BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 62)
 
