@@ -1,6 +1,6 @@
 """WARC archives, index first.
 
-Writing: pages with equal payloads are brought together by digest; the smallest id is a `response`, the others `revisit` it. Each
+Writing: pages with equal payloads are brought together by their SHA-256 and length (SHA-1, of which collisions are known, only names them); the smallest id is a `response`, the others `revisit` it. Each
 task writes files of its own in the shared folder, under names that no other attempt uses, and returns an index row per record:
 file, offset, length, URL and digest. Each record is a gzip member of its own, so that any range of whole records can be read alone.
 The index is a table; only files it names count, so what a lost or repeated task left behind
@@ -32,6 +32,7 @@ from .scratch import new_path, pin
 MAX_FILE = 256 << 20
 MAX_RANGE = 8 << 20
 MAX_GAP = 64 << 10
+TASK_BYTES = 32 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
@@ -111,15 +112,15 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").alias("url"),
         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
+    ).withColumns({"sha": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     firsts = (
-        base.where(F.octet_length("payload") >= min_bytes)
-        .groupBy(F.col("sha").alias("f_sha"))
+        base.where(F.col("bytes") >= min_bytes)
+        .groupBy(F.col("sha").alias("f_sha"), F.col("bytes").alias("f_bytes"))
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("f_sha", "first")
+        .select("f_sha", "f_bytes", "first")
     )
-    return base.join(firsts, F.col("sha") == F.col("f_sha"), "left").select(
+    return base.join(firsts, (F.col("sha") == F.col("f_sha")) & (F.col("bytes") == F.col("f_bytes")), "left").select(
         "page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to")
     )
 
@@ -195,7 +196,10 @@ def read_archive(selected: DataFrame, folder: str, payloads: bool = False) -> Da
                 yield table([[r[c] for c in columns] for r in found], columns)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return ranges(selected).mapInPandas(run, schema + (", payload binary" if payloads else ""))
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    # dealt by the archive's bytes: the index's own, by which adaptive execution would merge tasks, are a hundredth of them
+    dealt = ranges(selected).repartition(max(1, -(-total // TASK_BYTES)), "file", "start")
+    return dealt.mapInPandas(run, schema + (", payload binary" if payloads else ""))
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
