@@ -3,24 +3,28 @@
 1. Each document's set of word shingles is hashed to 64 bits. The first bits name a bucket; of the smallest hash in each bucket the
    sketch keeps the number of leading zeros (6 bits) and the bits after them (10 bits). An empty bucket borrows that of a
    seeded sequence of other buckets, so small sets have whole sketches too.
-2. Documents with equal sets are one node. Bands of four registers are compared exactly: at similarity 0.85 a pair misses
-   all 32 bands with a chance of 6e-11.
+2. Documents with equal sets are one node; what is compared for that is a 128-bit BLAKE2 digest of the sorted shingles' words. Bands
+   of four registers are compared exactly: at similarity 0.85 a pair misses all 32 bands with a chance of 6e-11.
 3. In each bucket of a band every node is compared with the smallest (a star, no pairs). The estimate of the Jaccard similarity
    from the registers, corrected for registers that agree by chance, drops pairs that are six standard errors below the
-   threshold; the rest are confirmed on their full sets. Links give components.
+   threshold; the rest are confirmed on the words of their full sets, not on hashes. Links give components.
 4. What may still be linked are nodes that share a bucket and are in different components. An exact prefix filter over the sets
-   of these nodes alone gives every pair of them that can reach the threshold; these are confirmed too, and so no pair of a
-   bucket that could change the result stays untested.
+   of these nodes alone, and an exact bound from 512 parities of each set (what differs in parity differs in the sets), give
+   the pairs of them that can reach the threshold; these are confirmed too, and so no pair of a bucket that could
+   change the result stays untested.
 
 Equal sets are merged and minima taken before shuffles; hot buckets meet only in equi-joins that adaptive execution can split.
+Nodes have numbers of their own, so repeated ids meet no more than others do.
 
 Defined results: null texts and texts without words have no set, are linked with nothing and kept; a text of fewer words than a
-shingle is one shingle; rows that repeat an id stay or go together; rows with a null id are in no component and kept.
+shingle is one shingle; rows that repeat an id are documents of their own, kept where their group's smallest id is theirs; rows
+with a null id are in no component and kept; a set of very many shingles is compared in parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import pin
-from .wordhash import SPACED, U64, encode, mix64
+from .scratch import pin, release
+from .wordhash import SPACED, U64, mix64
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -39,10 +43,13 @@ BANDS = BUCKETS // ROWS_PER_BAND
 ATTEMPTS = 1024
 ORDER = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
 _TRIES = mix64(np.arange(ATTEMPTS * BUCKETS, dtype=U64) + U64(77)).reshape(ATTEMPTS, BUCKETS) % U64(BUCKETS)
+#: Shingles that a task holds of one set at a time, and bytes of text that have about as many.
+PART, PART_BYTES = 1 << 20, 8 << 20
+PARITIES = tuple(f"p{i}" for i in range(8))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The sorted distinct shingles of one document."""
+    """The sorted distinct shingles of one document, from the hashes of its words."""
     if words.size == 0:
         return words
     size = min(k, words.size)
@@ -52,10 +59,45 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def shingle_sets(texts, k: int):
-    for hashes, limits in SPACED.hash_texts([encode(t) for t in texts]):
-        for a, b in zip(limits[:-1], limits[1:], strict=True):
-            yield shingle_hashes(hashes[a:b], k)
+def shingles(text: str | None, k: int, part: int = 0, parts: int = 1) -> set[bytes]:
+    """The distinct shingles themselves, or a part of them by their CRC."""
+    found: set[bytes] = set()
+    run: list[bytes] = []
+    whole = False
+    for words in SPACED.blocks(text):
+        run = run + words if run else words
+        if len(run) >= k:
+            whole = True
+            some = set(map(b" ".join, zip(*(run[i:] for i in range(k)), strict=False)))
+            found |= some if parts == 1 else {s for s in some if crc32(s) % parts == part}
+            run = run[len(run) - k + 1 :]
+    if not whole and run and (parts == 1 or crc32(b" ".join(run)) % parts == part):
+        found.add(b" ".join(run))
+    return found
+
+
+def exact_set(text: str | None, k: int, about: int) -> tuple[int, bytes]:
+    """(number of distinct shingles, digest of their set). `about`, the number of their hashes, sets how many parts are taken; sets
+    that are equal have equal parts."""
+    digest, n, parts = hashlib.blake2b(digest_size=16), 0, 1 + about // PART
+    for part in range(parts):
+        found = shingles(text, k, part, parts)
+        n += len(found)
+        digest.update(b"\n".join(sorted(found)) + b"\n\n")
+    return n, digest.digest()
+
+
+def shared_and_all(a: str, b: str, k: int, held: set[bytes] | None = None) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two texts' sets; `held` is a's whole set where it is at hand."""
+    parts = 1 + max(len(a), len(b)) // PART_BYTES
+    both = either = 0
+    for part in range(parts):
+        x = held if held is not None and parts == 1 else shingles(a, k, part, parts)
+        y = shingles(b, k, part, parts)
+        common = len(x & y)
+        both += common
+        either += len(x) + len(y) - common
+    return both, either
 
 
 def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,30 +131,38 @@ def densify(values: np.ndarray, filled: np.ndarray) -> None:
 
 def sketch_frames(frames, k: int):
     for frame in frames:
-        sets = list(shingle_sets(frame["text"], k)) if len(frame) < 512 else None
-        parts = [frame[i : i + 256] for i in range(0, len(frame), 256)] if sets is None else [frame]
-        for part in parts:
-            found = sets if sets is not None else list(shingle_sets(part["text"], k))
-            values, filled = np.zeros((len(found), BUCKETS), np.uint16), np.zeros((len(found), BUCKETS), bool)
-            for i, s in enumerate(found):
-                bucket, value = registers(s)
-                values[i, bucket], filled[i, bucket] = value, True
+        for i in range(0, len(frame), 256):
+            part = frame[i : i + 256]
+            values, filled = np.zeros((len(part), BUCKETS), np.uint16), np.zeros((len(part), BUCKETS), bool)
+            exact = []
+            for row, text in enumerate(part["text"]):
+                hashes = shingle_hashes(SPACED.hashes(text), k)
+                bucket, value = registers(hashes)
+                values[row, bucket], filled[row, bucket] = value, True
+                exact.append(exact_set(text, k, hashes.size))
             densify(values, filled)
-            bands = values.view(np.int64)
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"].to_numpy(),
-                    "n_shingles": [len(s) for s in found],
-                    "set_hash": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found],
-                    "bands": [b for b in bands],
+                    "text_hash": part["text_hash"].to_numpy(),
+                    "n_shingles": [n for n, _ in exact],
+                    "set_hash": [digest for _, digest in exact],
+                    "bands": list(values.view(np.int64)),
                 }
             )
 
 
+def named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    named = docs.select(F.col(f"`{id_col}`").cast("long").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    made = named.mapInPandas(lambda frames: sketch_frames(frames, k), "doc_id string, n_shingles long, set_hash binary, bands array<long>")
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))  # as strings, ids are exact beside nulls
+    named = named_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))  # exact beside nulls
+    made = named.mapInPandas(
+        lambda frames: sketch_frames(frames, k), "doc_id string, text_hash long, n_shingles long, set_hash binary, bands array<long>"
+    )
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,8 +184,8 @@ def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         share = percent / 100
         return pd.Series(guess >= share - 6 * np.sqrt(share * (1 - share) / samples))
 
-    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "bands")])
-    joined = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a"))
+    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "bands")])
+    joined = pairs.join(side("b"), F.col("b") == F.col("node_b")).join(side("a"), F.col("a") == F.col("node_a"))
     fits = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
     return joined.where(fits).where(likely("bands_a", "bands_b", "n_shingles_a", "n_shingles_b")).select("a", "b")
 
@@ -146,25 +196,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     def compare(frames):
         held, mine = None, None
         for frame in frames:
-            sets = shingle_sets(frame["text_b"], k)
             keep = []
-            for hub, text in zip(frame["a"], frame["text_a"], strict=True):
+            for hub, text, other in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
                 if hub != held:
-                    held, mine = hub, next(shingle_sets([text], k))
-                other = next(sets)
-                both = np.intersect1d(mine, other, assume_unique=True).size
-                keep.append(100 * both >= percent * (mine.size + other.size - both))
+                    held, mine = hub, shingles(text, k) if len(text) <= PART_BYTES else None
+                both, either = shared_and_all(text, other, k, mine)
+                keep.append(100 * both >= percent * either)
             yield frame.loc[keep, ["a", "b"]]
 
-    texts_a = texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
-    texts_b = texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
-    joined = pairs.join(texts_b, F.col("b") == F.col("rep_b")).join(texts_a, F.col("a") == F.col("rep_a"))
+    texts_a = texts.select(F.col("node").alias("node_a"), F.col("text").alias("text_a"))
+    texts_b = texts.select(F.col("node").alias("node_b"), F.col("text").alias("text_b"))
+    joined = pairs.join(texts_b, F.col("b") == F.col("node_b")).join(texts_a, F.col("a") == F.col("node_a"))
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
 
 
-def several_components(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of `placed` (keys, rep, component, ...) whose keys meet more than one component, with `largest`, the component
-    that most of a key's rows are in."""
+def several_components(placed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of `placed` (keys, node, component, ...) whose keys meet more than one component, with `largest`, the component
+    that most of a key's rows are in; and the table behind it."""
     crowds = placed.groupBy(*keys, "component").agg(F.count("*").alias("n_rows"))
     most = (
         crowds.groupBy(*keys)
@@ -172,124 +220,160 @@ def several_components(placed: DataFrame, keys: list[str]) -> DataFrame:
         .where("kinds > 1")
         .select(*keys, F.col("most.component").alias("largest"))
     )
-    return placed.join(pin(most, "most"), keys)
+    most = pin(most, "most")
+    return placed.join(most, keys), most
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """512 bits as 8 longs: how many of a set's hashes fall to each, modulo 2."""
+    odd = np.bincount((hashes >> U64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of `nodes` (rep, component) in different components that may reach the threshold: an exact prefix filter.
+    """All pairs (a, b) of `nodes` (node, component) in different components that may reach the threshold: exact filters.
 
     Each set is ordered by how many of these sets have a shingle, rarest first. Sets that reach the threshold share a
     shingle among the first n - ceil(t n) + 1 of both, and what follows their first shared shingle must be enough for the
     overlap asked. Shingles that one set alone has only move the others' positions, so a document with many words of its own meets
-    nothing, whatever crowd it was copied from.
+    nothing, whatever crowd it was copied from. Sets that differ in d parities differ in d shingles at least, so a pair's
+    overlap is (n + m - d) / 2 at most; the join itself tests this, so of a crowd of texts that are alike but not near enough
+    no pair leaves it, and no text moves for one.
     """
 
     def sets(frames):
         for frame in frames:
-            found = list(shingle_sets(frame["text"], k))
-            yield pd.DataFrame(
-                {
-                    "rep": frame["rep"],
-                    "component": frame["component"],
-                    "n": [len(x) for x in found],
-                    "shingles": [x.view(np.int64) for x in found],
-                }
-            )
-
+            for i in range(0, len(frame), 512):
+                part = frame[i : i + 512]
+                found = [shingle_hashes(SPACED.hashes(t), k) for t in part["text"]]
+                marks = np.array([parities(x) for x in found], np.int64).reshape(len(found), len(PARITIES))
+                yield pd.DataFrame(
+                    {
+                        "node": part["node"].to_numpy(),
+                        "component": part["component"].to_numpy(),
+                        "n": [x.size for x in found],
+                        **{name: marks[:, j] for j, name in enumerate(PARITIES)},
+                        "shingles": [x.view(np.int64) for x in found],
+                    }
+                )
+
+    own = ("node", "component", "n", *PARITIES)
     made = pin(
-        texts.join(nodes, "rep").select("rep", "component", "text").mapInPandas(
-            sets, "rep long, component long, n long, shingles array<long>"
+        texts.join(nodes, "node").select("node", "component", "text").mapInPandas(
+            sets, ", ".join(f"{c} long" for c in own) + ", shingles array<long>"
         ),
         "sets",
     )
-    flat = made.select("rep", "component", "n", F.explode("shingles").alias("shingle"))
+    flat = made.select("node", "n", F.explode("shingles").alias("shingle"))
     shared = pin(flat.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     ordered = (
         flat.join(shared, "shingle")
-        .groupBy("rep", "component", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+        .groupBy("node")
+        .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
         .withColumn("alone", F.col("n") - F.size("s"))
         .withColumn("reach", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone"))
         .where("reach > 0")
+        .select("node", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("reach").cast("int"))).alias("i", "s"))
     )
     prefix = pin(
-        ordered.select(
-            "rep", "component", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("reach").cast("int"))).alias("i", "s")
-        ).select("rep", "component", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle")),
+        ordered.join(made.select(*own), "node").select(
+            *own, (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle")
+        ),
         "prefix",
     )
-    met = several_components(prefix, ["shingle"])
-    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at")])
+    met, most = several_components(prefix, ["shingle"])
+    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in (*own, "at")])
     sizes = F.col("n_x") + F.col("n_y")
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITIES[1:]), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
     x, y = side("x", met.where("component != largest")), side("y", met)
-    return (
+    pairs = pin(
         x.join(
             y,
             (x["shingle"] == y["shingle"])
             & (F.col("component_x") != F.col("component_y"))
             & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-            & (left * (100 + percent) >= sizes * percent),
+            & (left * (100 + percent) >= sizes * percent)
+            & ((sizes - differ) * (100 + percent) >= sizes * (2 * percent)),
         )
-        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
-        .distinct()
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        .distinct(),
+        "untested",
     )
+    release(made, shared, prefix, most)
+    return pairs
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
-) -> DataFrame:
-    """A row per document: (doc_id, n_shingles, component_id, kept)."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """A row per document: (doc_id, text_hash, n_shingles, component_id, kept)."""
     made = pin(sketches(docs, id_col, text_col, k), "sketches")
     nodes = pin(
         made.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),  # a number of the written row
         "nodes",
     )
-    banded = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # a table, so that a hot bucket's join has an exchange on either side and can be split
-    hubs = pin(banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
+    hubs = pin(banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
     met = pin(banded.join(hubs, ["band", "key"]), "met")
 
-    star = pin(promising(met.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), nodes, percent), "star")
-    ids = met.select(F.col("rep").alias("doc_id")).distinct()
+    star = pin(promising(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "star")
+    wanted = nodes.join(met.select("node").distinct(), "node").select(
+        "node", F.col("first.doc_id").alias("w_id"), F.col("first.text_hash").alias("w_hash")
+    )
     texts = pin(
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-        .join(ids, "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "text"),
+        named_texts(docs, id_col, text_col)
+        .join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+        .select("node", "text"),
         "texts",
     )
+    if texts.count() > texts.select("node").distinct().count():  # rows are repeated: a node's text once
+        repeated = texts
+        texts = pin(repeated.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        release(repeated)
     links = pin(confirmed(star, texts, k, percent).distinct(), "links")
     labels = components(links)
 
-    placed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "key", "rep", F.coalesce("component", "rep").alias("component")
+    placed = met.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
+        "band", "key", "node", F.coalesce("component", "node").alias("component")
     )
-    open_ = several_components(placed, ["band", "key"]).select("rep", "component").distinct()
-    rest = untested(pin(open_, "open"), texts, k, percent).join(star, ["a", "b"], "left_anti")
-    more = pin(confirmed(rest, texts, k, percent).distinct(), "more")
+    crowded, most = several_components(placed, ["band", "key"])
+    open_ = pin(crowded.select("node", "component").distinct(), "open")
+    rest = untested(open_, texts, k, percent)
+    more = pin(confirmed(rest.join(star, ["a", "b"], "left_anti"), texts, k, percent).distinct(), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
-    merged = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_hash", F.coalesce("component", "rep").alias("component")
+    release(hubs, met, star, texts, links, most, open_, rest, more)
+    grouped = labels.join(nodes.select(F.col("node").alias("id"), "first.doc_id"), "id")
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    merged = (
+        nodes.join(labels.withColumnRenamed("id", "node"), "node", "left")
+        .join(smallest, "component", "left")
+        .select("set_hash", F.coalesce("component_id", "first.doc_id").alias("component_id"))
     )
-    return (
-        made.join(merged, "set_hash", "left")
-        .withColumn(
-            "component_id",
-            F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))),
-        )
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return made.join(merged, "set_hash", "left").select(
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+) -> DataFrame:
+    """A row per document: (doc_id, n_shingles, component_id, kept)."""
+    return labelled(docs, id_col, text_col, k, percent).drop("text_hash")
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
     """`docs` with one document of each group, that with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = labelled(docs, id_col, text_col, k, percent).where("not kept")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_hyperminhash(spark, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import pin
-from .wordhash import SPACED, U64, encode, mix64
+from .scratch import pin, release
+from .wordhash import SPACED, U64, mix64
 
 MIN_WORDS, K = 50, 8
 BASE = 0xD1342543DE82EF95
@@ -73,12 +73,6 @@ def sparse_suffixes(words: np.ndarray, min_words: int, k: int):
     return first, last, grams[place].view(np.int64), context.view(np.int64)
 
 
-def word_runs(texts):
-    for hashes, limits in SPACED.hash_texts([encode(t) for t in texts]):
-        for a, b in zip(limits[:-1], limits[1:], strict=True):
-            yield hashes[a:b]
-
-
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K
 ) -> DataFrame:
@@ -94,7 +88,7 @@ def repeated_passages(
         for frame in frames:
             for i in range(0, len(frame), 512):
                 part = frame[i : i + 512]
-                found = [(w.size, sparse_suffixes(w, min_words, k)) for w in word_runs(part["text"])]
+                found = [(w.size, sparse_suffixes(w, min_words, k)) for w in map(SPACED.hashes, part["text"])]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
@@ -133,43 +127,38 @@ def repeated_passages(
         "gram", "context", "first", every.alias("repeated"), F.lit(0).cast("long").alias("later")
     )
 
+    columns = ("gram", "context", "n", "a", "b")
     wanted = (
         met.where("kinds > 1")
         .groupBy("first.doc_id", "first.text_hash")
         .agg(F.collect_list(F.struct("gram", "context", "n", F.col("first.a").alias("a"), F.col("first.b").alias("b"))).alias("asked"))
+        .select("doc_id", "text_hash", *[F.col(f"asked.{c}").alias(f"asked_{c}") for c in columns])
     )
 
     def windows(frames):
         for frame in frames:
             for i in range(0, len(frame), 64):
                 part = frame[i : i + 64]
+                asked = [part[f"asked_{c}"] for c in columns]
                 out = []
-                for doc_id, asked, words in zip(part["doc_id"], part["asked"], word_runs(part["text"]), strict=True):
-                    a = np.array([s["a"] for s in asked])
-                    times = np.array([s["b"] for s in asked]) - a + 1
-                    which = np.repeat(np.arange(len(asked)), times)
+                for doc_id, text, gram, context, n, a, b in zip(part["doc_id"], part["text"], *asked, strict=True):
+                    times = b - a + 1
+                    which = np.repeat(np.arange(a.size), times)
                     offset = np.arange(which.size) - np.repeat(np.cumsum(times) - times, times)
                     at = a[which] + offset
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "window": range_hashes(words, at, at + min_words).view(np.int64),
-                                "gram": np.array([s["gram"] for s in asked], np.int64)[which],
-                                "context": np.array([s["context"] for s in asked], np.int64)[which],
-                                "offset": offset.astype(np.int32),
-                                "n": np.array([s["n"] for s in asked], np.int64)[which],
-                                "doc_id": pd.array([None if doc_id is None else int(doc_id)], dtype="Int64").repeat(which.size),
-                                "at": at.astype(np.int32),
-                            }
-                        )
-                    )
-                yield pd.concat(out)
+                    window = range_hashes(SPACED.hashes(text), at, at + min_words).view(np.int64)
+                    who = np.full(which.size, 0 if doc_id is None else int(doc_id)), np.full(which.size, doc_id is None)
+                    out.append((window, gram[which], context[which], offset.astype(np.int32), n[which], at.astype(np.int32), *who))
+                made = [np.concatenate(x) for x in zip(*out, strict=True)]
+                frame_out = pd.DataFrame(dict(zip(("window", "gram", "context", "offset", "n", "at"), made, strict=False)))
+                frame_out["doc_id"] = pd.arrays.IntegerArray(made[6], made[7])
+                yield frame_out
 
     asking = wanted.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
     texts = base.join(asking, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     seen = pin(
-        texts.select(F.col("doc_id").cast("string"), "text", "asked").mapInPandas(
-            windows, "window long, gram long, context long, offset int, n long, doc_id long, at int"
+        texts.select(F.col("doc_id").cast("string"), "text", *[f"asked_{c}" for c in columns]).mapInPandas(
+            windows, "window long, gram long, context long, offset int, n long, at int, doc_id long"
         ),
         "windows",
     )
@@ -192,6 +181,7 @@ def repeated_passages(
         .select("gram", "context", "first", "repeated", "later")
     )
     verdicts = pin(settled.unionByName(extended), "verdicts")
+    release(shared, contexts, kinds, seen, equal)
 
     is_first = F.struct("doc_id", "a") == F.struct("first.doc_id", "first.a")
     placed = seeds.join(verdicts, ["gram", "context"]).select(

@@ -9,7 +9,8 @@ it from sorted rows, or `shards` tasks learn a part each and their weights are a
 Scoring is one pass over whole texts where they are read, without a shuffle.
 
 Defined results: null and empty texts have only the intercept's score; no labelled rows: every score is 0.5; rows with no label are
-not learned; label rows that say the same of an id count once; rows that repeat an id are scored one by one.
+not learned; label rows that say the same of an id count once; rows that repeat an id are scored one by one; an empty table gives no
+rows; no column of `docs` is overwritten.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import U64, Words, encode, mix64
+from .scratch import free_name, pin
+from .wordhash import U64, Words, mix64
 
 BITS = 20
 SHARDS = 1
 MAX_DOCS = 12_000
+MAX_FEATURES = 50_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 THRESHOLD = 0.3
 #: A-Z become a-z; ASCII other than letters and digits separates; other bytes are of words.
-TABLE = Words(bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 0 for b in range(256)))
+TABLE = Words(bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)))
 
 
 def features(words: np.ndarray, bits: int) -> np.ndarray:
@@ -43,9 +46,7 @@ def features(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 def feature_sets(texts, bits: int):
-    for hashes, limits in TABLE.hash_texts([encode(t) for t in texts]):
-        for a, b in zip(limits[:-1], limits[1:], strict=True):
-            yield features(hashes[a:b], bits)
+    return (features(TABLE.hashes(t), bits) for t in texts)
 
 
 @dataclass
@@ -96,8 +97,10 @@ def fit(
     max_docs: int = MAX_DOCS,
     shards: int = SHARDS,
     epochs: int = EPOCHS,
+    max_features: int = MAX_FEATURES,
 ) -> Model:
-    """Learn from the documents that `labels` marks 0 or 1. About `max_docs` of the labels are used, drawn by a hash."""
+    """Learn from the documents that `labels` marks 0 or 1. About `max_docs` of the labels are used, drawn by a hash, and fewer, by
+    the same hash, where these have more than `max_features` features in all (4 bytes each for the task that learns)."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
         "id is not null and label in (0, 1)"
     ).distinct()  # what the draw leaves, and is broadcast, is so bound by max_docs
@@ -105,15 +108,30 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id").cast("string")), F.lit(1 << 20))
     marks = marks.withColumn("draw", draw).where(F.col("draw") < int((1 << 20) * min(1.0, max_docs / max(1, rows))))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sample = texts.join(F.broadcast(marks), "id").select((F.col("draw") % shards).alias("shard"), "id", "text", "label")
+    sample = texts.join(F.broadcast(marks), "id").select("draw", F.col("id").cast("string").alias("id"), "text", "label")
+
+    def featured(frames):
+        for frame in frames:
+            for i in range(0, len(frame), 512):
+                part = frame[i : i + 512]
+                yield pd.DataFrame(
+                    {"draw": part["draw"], "id": part["id"], "label": part["label"], "features": list(feature_sets(part["text"], bits))}
+                )
+
+    # what is shuffled to the task that learns are features, at most 2**bits a text however long that is
+    made = pin(sample.mapInPandas(featured, "draw long, id string, label int, features array<int>"), "features")
+    total = made.agg(F.sum(F.size("features"))).first()[0] or 0
+    if total > max_features:
+        made = made.where(F.col("draw") < int((1 << 20) * min(1.0, max_docs / max(1, rows)) * max_features / total))
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "label"], kind="stable")
-        sets = list(feature_sets(frame["text"], bits))
-        w, b = learn(sets, frame["label"].to_numpy(float), bits, epochs, int(frame["shard"].iloc[0]))
+        keys = [x.tobytes() for x in frame["features"]]
+        frame = frame.assign(key=keys).sort_values(["id", "label", "key"], kind="stable")
+        w, b = learn(list(frame["features"]), frame["label"].to_numpy(float), bits, epochs, int(frame["shard"].iloc[0]))
         at = np.flatnonzero(w)
         return pd.DataFrame({"rows": len(frame), "at": np.append(at, -1), "weight": np.append(w[at], b)})
 
+    sample = made.withColumn("shard", F.col("draw") % shards)
     learned = sample.groupBy("shard").applyInPandas(train, "rows long, at long, weight double").toPandas()
     if learned.empty:
         return Model(bits, 0.0, np.empty(0, np.int64), np.empty(0))
@@ -124,7 +142,7 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `toxicity`, 0 to 1."""
+    """`docs` with a score, 0 to 1, in a column named `toxicity` or, beside such a column, `toxicity_`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     state: dict[str, np.ndarray] = {}
 
@@ -137,7 +155,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             out += [w[at].sum() for at in feature_sets(texts[i : i + 512], bits)]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float) + held.value.intercept, -35, 35))))
 
-    return docs.withColumn("toxicity", rate(F.col(f"`{text_col}`")))
+    return docs.withColumn(free_name(docs, "toxicity"), rate(F.col(f"`{text_col}`")))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

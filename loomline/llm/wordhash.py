@@ -1,19 +1,19 @@
-"""64-bit hashes of the words of many texts at once, with arrays.
+"""64-bit hashes of the words of texts.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from running sums, so that no Python runs per word or byte.
-Words hash alike wherever they stand. Texts of any length are hashed in blocks that end where a word ends.
+A word's hash is a keyed BLAKE2 digest, so that no two words can be made to agree by arithmetic; a bounded cache of
+distinct words makes it one look-up a word. Texts of any length are cut into words in blocks that end where a word ends.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 LIMIT = 1 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+CACHED = 1 << 18
+KEY = b"loomline words"
 U64 = np.uint64
-_VALUES = np.random.RandomState(20240607).randint(1, 1 << 62, 256, dtype=np.int64).astype(U64) | U64(1)
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,89 +25,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, LIMIT + 4096)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+        return found
+
+
+_digest_of = _Digests().__getitem__
+
+
+def encode(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 class Words:
-    """A way to cut bytes into words: `table` maps each byte to the byte that is hashed, 0 to none (a separator)."""
+    """A way to cut texts into words: `table` maps each byte to the byte that is kept, separators to a space."""
 
     def __init__(self, table: bytes):
-        self.values = np.where(np.frombuffer(table, np.uint8) == 0, U64(0), _VALUES[np.frombuffer(table, np.uint8)])
-        self.inside = np.frombuffer(table, np.uint8) != 0
-        self.separator = table.index(0)
-
-    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, end positions) of the words of at most LIMIT bytes."""
-        raw = np.frombuffer(data, np.uint8)
-        up, down = _powers(len(raw))
-        inside = np.zeros(len(raw) + 2, np.int8)
-        inside[1:-1] = self.inside[raw]
-        edge = np.diff(inside)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.zeros(len(raw) + 1, U64)
-        np.cumsum(self.values[raw] * up[: len(raw)], dtype=U64, out=sums[1:])
-        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64)), end
-
-    def _long(self, data: bytes) -> np.ndarray:
-        """Hashes of the words of a text of any length."""
-        raw, out, start = np.frombuffer(data, np.uint8), [], 0
-        while start < len(raw):
-            stop = min(len(raw), start + LIMIT)
-            if stop < len(raw):
-                gaps = np.flatnonzero(~self.inside[raw[start:stop]])
-                if gaps.size:
-                    stop = start + int(gaps[-1]) + 1
-                else:  # a word of more than LIMIT bytes: its polynomial is summed by parts
-                    total, at = 0, start
-                    while at < len(raw):
-                        part = raw[at : at + LIMIT]
-                        gap = np.flatnonzero(~self.inside[part])
-                        part = part[: gap[0]] if gap.size else part
-                        up, _ = _powers(len(part))
-                        total += int(np.sum(self.values[part] * up[: len(part)], dtype=U64)) * pow(BASE, at - start, 1 << 64)
-                        at += len(part)
-                        if gap.size:
-                            break
-                    out.append(mix64(np.array([(total + at - start) % (1 << 64)], dtype=U64)))
-                    start = at
-                    continue
-            out.append(self._block(data[start:stop])[0])
-            start = stop
-        return np.concatenate(out) if out else np.empty(0, U64)
-
-    def hash_texts(self, texts: list[bytes]):
-        """Yields, in order, for runs of texts: (hashes of all their words, where each text's words begin, with a last end)."""
-        run: list[bytes] = []
-        size = 0
-        for text in texts:
-            if size + len(text) + 1 > LIMIT and run:
-                yield self._run(run)
-                run, size = [], 0
-            if len(text) >= LIMIT:
-                hashes = self._long(text)
-                yield hashes, np.array([0, len(hashes)])
-                continue
-            run.append(text)
-            size += len(text) + 1
-        if run:
-            yield self._run(run)
-
-    def _run(self, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, ends = self._block(bytes([self.separator]).join(run))
-        limits = np.cumsum([len(t) + 1 for t in run])
-        return hashes, np.concatenate(([0], np.searchsorted(ends, limits, side="left")))
+        self.table = table
+
+    def blocks(self, text: str | None, limit: int | None = None):
+        """Lists of a text's words, in order, of about `limit` bytes each."""
+        data, limit, start = encode(text).translate(self.table), limit or LIMIT, 0
+        while start < len(data):
+            end = start + limit
+            if end < len(data):
+                cut = data.rfind(b" ", start, end)
+                cut = cut if cut > start else data.find(b" ", end)
+                end = cut if cut > 0 else len(data)
+            yield data[start:end].split()
+            start = end
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The hashes of all words of a text."""
+        parts = [np.fromiter(map(_digest_of, words), U64, len(words)) for words in self.blocks(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, U64)
 
 
 #: A-Z become a-z; space and the control characters 9 to 13 separate.
-SPACED = Words(bytes(0 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b or 255 for b in range(256)))
-
-
-def encode(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+SPACED = Words(bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)))
