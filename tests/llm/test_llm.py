@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from loomline.llm import chat, decontaminate, langid, mixing, neardup, pii, queries, suffixdedup, toxicity, warc, winnow
 from loomline.llm.components import components
 from loomline.llm.scratch import new_path
-from loomline.llm.wordhash import LIMIT, SPACED
+from loomline.llm.wordhash import SPACED
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string"
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
@@ -61,16 +62,11 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_word_hashes():
-    texts = [b"aa bb  cc", b"", b"bb aa", b" cc\taa "]
-    flat = [(h, lim) for h, lim in SPACED.hash_texts(texts)]
-    h, lim = flat[0]
-    words = [h[a:b].tolist() for a, b in zip(lim, lim[1:], strict=False)]
-    assert words[0][0] == words[2][1] == words[3][1] and words[0][1] == words[2][0] and words[0][2] == words[3][0] and words[1] == []
-    long_word = b"q" * (LIMIT + 500)
-    for text in (b"aa " * LIMIT, long_word + b" aa", b"aa " + long_word):
-        got = np.concatenate([h for h, _ in SPACED.hash_texts([text])])
-        assert len(got) == len(text.split())
-        assert words[0][0] in got.tolist()
+    first, again = SPACED.hashes("aa bb  cc").tolist(), SPACED.hashes(" CC\taa ").tolist()
+    assert again == [first[2], first[0]] and len(set(first)) == 3 and not SPACED.hashes(None).size and not SPACED.hashes(" ").size
+    for text in ("aa " * 5000, "q" * 5000 + " aa", "aa " + "q" * 5000, "é" * 3000):
+        want = [w.encode() for w in text.split()]
+        assert [w for words in SPACED.blocks(text, 64) for w in words] == want and SPACED.hashes(text).size == len(want)
 
 
 def test_components(spark):
@@ -162,12 +158,20 @@ def test_decontamination(spark):
     assert clean[0].text.split() == (said(40, 9) + " " + said(9, 8)).split() and clean[0].n_chars == len(clean[0].text)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs_of(spark, texts), none).count() == len(texts)
-    with pytest.raises(ValueError):
-        decontaminate.contamination(docs_of(spark, texts), idf, max_item_words=5)
+    for bound in (1, 15, 40):  # items in parts, long ones in pieces
+        parts = decontaminate.contamination(docs_of(spark, texts), idf, max_item_words=bound).collect()
+        assert {r.doc_id: r for r in parts} == got
+        again = decontaminate.decontaminate(docs_of(spark, texts), idf, max_item_words=bound)
+        assert {r.doc_id: r for r in again.collect()} == clean and again.columns == docs_of(spark, []).columns
+    repeated = docs_of(spark, [texts[0], texts[0], texts[2], None, items[2]], [7, 7, 7, None, None])
+    for bound in (15, 10**6):
+        rows = sorted((r.doc_id or -1, r.n_hit) for r in decontaminate.contamination(repeated, idf, max_item_words=bound).collect())
+        assert rows == [(-1, 0), (-1, 10), (7, 3), (7, 25), (7, 25)]
+    assert decontaminate.contamination(docs_of(spark, []), idf).count() == 0
 
 
 def test_decontamination_blocks():
-    a = decontaminate.build_automaton([("i", said(12, 5))])
+    a = decontaminate.build_automaton([("i", decontaminate.words_of(said(12, 5)))])
     text = said(3000, 6) + " " + said(12, 5) + " " + said(3000, 7)
     whole = decontaminate.match(text, a)
     size, decontaminate.BLOCK = decontaminate.BLOCK, 64
@@ -212,15 +216,49 @@ def test_bloom_filters_are_bit_sliced():
 
 def test_language_blocks():
     f = langid.LanguageFilters.of({"a": np.unique(np.concatenate([h for h, _ in langid.gram_hashes(["some words here"])]))})
-    text = said(4000, 1)
-    whole = f.counts([text])[1][0]
-    size, langid.BLOCK = langid.BLOCK, 1000
+    texts = [said(400, 1), "x" * 5000, "ab " * 900, "é, İ! " * 700, said(3, 2), "", "..." * 900]
+    grams = lambda: [Counter((i, int(h)) for hs, owners in langid.gram_hashes(texts) for h, i in zip(hs, owners, strict=True))]
+    whole, counted = f.counts(texts)[1].tolist(), grams()
+    size = langid.BLOCK
     try:
-        assert abs(f.counts([text])[1][0] - whole) < 0.02 * whole
+        for langid.BLOCK in (7, 100, 1000):
+            assert f.counts(texts)[1].tolist() == whole and grams() == counted
     finally:
         langid.BLOCK = size
 
 
+def test_language_by_counting(spark):
+    """Against counts of plain sets of n-grams: the filters' error, corrected, is all that may differ."""
+    r = random.Random(9)
+    alphabets = {"aa": "abcdefg", "bb": "efghijk", "cc": "abijxyz"}
+    speak = lambda a, n: " ".join("".join(r.choice(alphabets[a]) for _ in range(r.randrange(2, 7))) for _ in range(n))
+    texts = [(a, speak(a, 300)) for a in alphabets for _ in range(8)] + [(a, speak(a, r.randrange(1, 30))) for a in alphabets for _ in range(30)]
+    rows = [(i, t, a) for i, (a, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(docs.where("doc_id < 24"))
+
+    def plain(text):
+        marked = [f"\0{w}\0" for w in re.findall(r"[^\W\d_]+", text.lower())]
+        return [w[i : i + n] for n in langid.ORDERS for w in marked for i in range(len(w) - n + 1)]
+
+    known = {}
+    for a in alphabets:
+        counted = Counter(g for x, t in texts[:24] if x == a for g in plain(t))
+        known[a] = {g for g, n in counted.items() if n >= langid.MIN_SHARE * counted.total()}
+    for row in langid.predict(docs, filters).collect():
+        grams = plain(row.text)
+        share = {a: sum(g in k for g in grams) / len(grams) for a, k in known.items()}
+        best = max(share.values())
+        assert abs(row.language.score - best) < 0.1, row
+        if sorted(share.values())[-2] < best - 0.15:
+            assert share[row.language.lang_pred] == best
+    clash = docs.withColumn("language", F.lit("own"))
+    got = langid.predict(clash, filters)
+    assert got.columns == [*clash.columns, "language_"] and got.where("language = 'own'").count() == len(texts)
+    with pytest.raises(ValueError):
+        langid.fit(docs, max_languages=2)
+
+
 # 4
 
 
@@ -284,6 +322,84 @@ def test_pii_leaves_prose(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text
 
 
+PARTS = ["john", "a.b", "j_s", " ", "  ", "\t", " at ", " AT ", "(at)", " [ at ] ", "@", " @ ", "&#64;", "%40", ".", " dot ", "[.]", "( dot )", "&#46;", "%2E", "ex", "com", "10", "255", "0", "x-y", "(", "]", "é", "dot", "at"]
+
+
+def brute_at_and_dot(text):
+    """The same disguises by backtracking patterns over the whole text before each at sign."""
+    blank = r"[ \t]*"
+    dot = rf"(?:{blank}[(\[{{<]{blank}(?:dot|\.){blank}[)\]}}>]{blank}|[ \t]+dot[ \t]+|&#46;|%2e)"
+    at = re.compile(rf"(?={blank}[(\[{{<]{blank}(?:at|@){blank}[)\]}}>]|[ \t]+(?:at|@)[ \t]+|@|&#64;|&commat;|%40)(?:{blank}[(\[{{<]{blank}(?:at|@){blank}[)\]}}>]{blank}|[ \t]+(?:at|@)[ \t]+|@|&#64;|&commat;|%40)", re.I)
+    host = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{dot})[A-Za-z0-9-]+)+", re.I)
+    name = re.compile(rf"(?:[A-Za-z0-9_%+-]+(?:\.|{dot}))*[A-Za-z0-9_%+-]+$", re.I)
+    out, last, place = [], 0, 0
+    while m := at.search(text, place):
+        place = m.start() + 1
+        if m.start() and text[m.start()] in " \t" and text[m.start() - 1] in " \t":
+            continue
+        h, n = host.match(text, m.end()), name.search(text[last : m.start()]) if m.start() >= last else None
+        if not h or not n:
+            continue
+        hidden_name = [x.span() for x in re.finditer(dot, text[: m.start()], re.I) if x.start() >= last + n.start()]
+        hidden = [x.span() for x in re.finditer(dot, text[: h.end()], re.I) if x.start() >= m.end()]
+        if not hidden and not hidden_name and (m[0] == "@" or m[0].strip().lower() == "at" and not re.search("[0-9._]", n[0])):
+            continue
+        out += [(last + n.start(), h.end())]
+        last = place = h.end()
+    return out
+
+
+def test_pii_disguises_by_brute_force():
+    """Spans of e-mail addresses with disguised signs, against backtracking patterns; each must be found whole."""
+    r, found = random.Random(11), 0
+    for _ in range(6000):
+        noise = lambda n: "".join(r.choice(PARTS) for _ in range(r.randrange(n)))
+        sign, dot = lambda: r.choice(PARTS[6:14]), lambda: r.choice([".", *PARTS[14:19]])
+        text = noise(5) + "jo" + dot() + "ex" + sign() + "ex" + dot() + "com" + noise(5) if r.random() < 0.5 else noise(14)
+        if re.search(r"(?i)\b(dot|at)\s+(dot|at)\b|%2e|%40", text):
+            continue  # where signs share blanks or letters, patterns and walking choose differently
+        edits = pii.at_and_dot(text)
+        made = pii.Edited(text, edits)
+        for s, e in brute_at_and_dot(text):
+            found += 1
+            inside = [x for x in edits if s <= x[0] < e]
+            assert inside and any(x[2] == "@" for x in inside), text
+            plain = text[s:e]
+            for a, b, new in reversed(inside):
+                plain = plain[: a - s] + new + plain[b - s :]
+            assert plain in made.text and pii.emails(plain) == [(0, len(plain))], (text, plain)
+    assert found > 300
+
+
+def test_pii_long_names():
+    label = "b" * 330
+    for text in (f"a.{label} at host.com", f"john [dot] {label} [at] host [dot] com", f"x@{label} dot {label} dot com"):
+        assert pii.find(f"see {text} now")[1][-1] == (4, 4 + len(text), 0)
+
+
+@pytest.mark.parametrize("piece", [" ", "\t", "( ", "(at", " at ", " dot ", "[.]", "a dot ", "a at b dot ", "x(at)y", "@", "a%40", "one ", "plus ", "1 dot ", "1[.]", "a@b.", "+1 ", "\u200b", "а", "１"])
+def test_pii_linear(piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 6
+    text = "a" + piece * (1_000_000 // len(piece)) + "@b dot c"
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 6
+
+
+def test_pii_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op4_pii"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = brute_pii(texts[r.doc_id])
+        shown = [f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[2] == k for x in base) for k in range(4)]
+
+
 def test_pii_documents(spark):
     texts = [*awkward(), "x a@b.cd y 1.2.3.4", "+" + "1" * 200000, "a" * 200000 + "@", "@" * 50000, "1." * 100000]
     got = pii.redact_documents(docs_of(spark, texts))
@@ -337,6 +453,71 @@ def test_near_duplicates_edges(spark):
     assert got == [(-1, -1, True), (3, 3, True), (7, 3, False), (7, 3, False)]
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Rows that repeat an id are documents of their own."""
+    a, b = said(60, 1), said(60, 2)
+    texts, ids = [a, b, a, a + " x", b, None, b], [7, 7, 7, 9, 3, 7, None]
+    got = neardup.near_duplicates(docs_of(spark, texts, ids)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [
+        (-1, -1, True), (3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False)
+    ]
+    kept = neardup.drop_near_duplicates(docs_of(spark, texts, ids)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(-1, b), (3, b), (7, a), (7, a), (7, "")])
+
+
+def test_different_words_never_link(spark):
+    """Words whose polynomials modulo 2**64 agree: of the Thue-Morse sequence and its complement."""
+    s = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = ["one two " + s, "one two " + s.translate(str.maketrans("ab", "ba"))]
+    got = neardup.near_duplicates(docs_of(spark, texts), k=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1)]
+
+
+def test_exact_sets_in_parts():
+    text = said(400, 3)
+    words = text.split()
+    want = {" ".join(words[i : i + 3]).encode() for i in range(len(words) - 2)}
+    assert neardup.shingles(text, 3) == want
+    parts = [neardup.shingles(text, 3, p, 4) for p in range(4)]
+    assert set().union(*parts) == want and sum(map(len, parts)) == len(want)
+    other, size = " ".join(words[100:]), neardup.PART_BYTES
+    whole = neardup.shared_and_all(text, other, 3)
+    limit = neardup.SPACED.blocks.__func__.__globals__["LIMIT"]
+    try:
+        neardup.PART_BYTES = 500
+        neardup.SPACED.blocks.__func__.__globals__["LIMIT"] = 100
+        assert neardup.shared_and_all(text, other, 3) == whole == (298, 398) and neardup.shingles(text, 3) == want
+    finally:
+        neardup.PART_BYTES = size
+        neardup.SPACED.blocks.__func__.__globals__["LIMIT"] = limit
+
+
+def test_alike_but_not_linked(spark):
+    """Texts made from one of 200 words by five replaced words each are about 0.74 alike; hardly a pair of them may be compared by words."""
+    base, compared = said(200, 77).split(), []
+    confirm = neardup.confirmed
+
+    def counting(pairs, *more):
+        compared.append(pairs.count())
+        return confirm(pairs, *more)
+
+    neardup.confirmed = counting
+    try:
+        for n in (60, 120):
+            r, texts = random.Random(n), []
+            for i in range(n):
+                w = base.copy()
+                for j in r.sample(range(200), 5):
+                    w[j] = f"own{i}x{j}"
+                texts.append(" ".join(w))
+            sets, label = brute_near(texts, 5, 80)
+            got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+            assert [got[i] for i in range(n)] == label
+    finally:
+        neardup.confirmed = confirm
+    assert compared[1] < 120 and compared[3] < 240, compared
+
+
 def test_sketch_estimates():
     r = np.random.RandomState(2)
     for share in (0.5, 0.85):
@@ -375,9 +556,56 @@ def test_toxicity(spark):
     assert spread.at.size
 
 
+def test_ftrl_by_brute_force():
+    """Against a learner with dictionaries, one coordinate at a time."""
+    r = random.Random(12)
+    sets = [np.array(sorted(r.sample(range(64), r.randrange(1, 9))), np.int32) for _ in range(120)]
+    labels = np.array([float(3 in s or 5 in s) for s in sets])
+    got, bias = toxicity.learn(sets, labels, 6, 3, 5)
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+    weight = lambda c: 0.0 if abs(z[c]) <= toxicity.L1 else -(z[c] - (1 if z[c] > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n[c] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    order = np.random.RandomState(5)
+    for _ in range(3):
+        for i in order.permutation(len(sets)):
+            w = {int(c): weight(int(c)) for c in sets[i]}
+            b = -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - labels[i]
+            for c, wc in w.items():
+                sigma = ((n[c] + g * g) ** 0.5 - n[c] ** 0.5) / toxicity.ALPHA
+                z[c] += g - sigma * wc
+                n[c] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * b
+            nb += g * g
+    assert np.allclose(got, [weight(c) for c in range(64)]) and abs(bias + zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)) < 1e-9
+    assert (got[[3, 5]] > 0).all()
+
+
+def test_toxicity_bounds(spark):
+    texts = [said(40, i) + (" vile scum" if i % 4 == 0 else "") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    docs = docs_of(spark, texts).withColumn("toxicity", F.lit("own"))
+    model = toxicity.fit(docs, labels, max_features=5000)
+    got = toxicity.score(docs, model)
+    assert got.columns == [*docs.columns, "toxicity_"] and got.where("toxicity = 'own' and toxicity_ between 0 and 1").count() == 200
+    assert toxicity.score(docs.where("false"), model).count() == 0
+
+
 # 7
 
 
+def test_chat_long_texts(spark):
+    """Turns of 20 and 100 million characters come back whole."""
+    sizes = {1: 20_000_001, 2: 100_000_000}
+    rows = spark.range(1, 3).select(
+        F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"),
+        F.repeat(F.lit("ab[INST]"), F.when(F.col("id") == 1, sizes[1] // 8).otherwise(sizes[2] // 8).cast("int")).alias("text"),
+    )
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(chat.row_turns(rows, "conv_id", ["turn"]))).collect()}
+    for c, n in sizes.items():
+        text = "ab[INST]" * (n // 8)
+        assert (got[c].n_turns, got[c].loss_chars) == (1, len(text)) and got[c].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_chat_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}]},
@@ -467,6 +695,27 @@ def test_winnowing_query(spark, tmp_path):
         assert got[ids[i]].edited_sha256 == hashlib.sha256((t[: len(t) - q] + following[:q]).encode()).hexdigest()
         assert 0 <= got[ids[i]].near_edited <= 1 and 0 <= got[ids[i]].near_next <= 1
     assert got[40].fingerprint == got[41].fingerprint and got[40].near_next == 1.0
+    hashes = lambda shown: {x.split("@")[0] for x in shown.split(",") if x}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    edits = {}
+    for n, i in enumerate(order):
+        t, following = texts[i] or "", texts[order[(n + 1) % len(order)]] or ""
+        edits[ids[i]] = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+    own = spark.createDataFrame(list(edits.items()), "id long, t string").select("id", winnow.shown(winnow.fingerprint(F.col("t"))).alias("s"))
+    for r in own.collect():
+        assert got[r.id].edited_fingerprint == r.s
+    for n, i in enumerate(order):
+        me, other = got[ids[i]], got[ids[order[(n + 1) % len(order)]]]
+        assert abs(me.near_edited - alike(hashes(me.fingerprint), hashes(me.edited_fingerprint))) < 1e-12
+        assert abs(me.near_next - alike(hashes(me.fingerprint), hashes(other.fingerprint))) < 1e-12
+
+
+def test_winnowing_repeated_and_empty(spark, tmp_path):
+    docs_of(spark, [said(30, 1), said(30, 2), said(30, 1), None, said(9, 3)], [7, 7, 7, None, None]).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    got = winnow.op8_winnowing(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted([(7, len(said(30, 1)))] * 2 + [(7, len(said(30, 2))), (-1, 0), (-1, len(said(9, 3)))])
+    docs_of(spark, []).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert winnow.op8_winnowing(spark, str(tmp_path / "b")).count() == 0
 
 
 def test_next_in_order(spark):
@@ -518,6 +767,14 @@ def test_mixing(spark):
         words[x.doc_id] += x.words
     assert words == Counter({x.doc_id: x.taken for x in got if x.taken})
     assert mixing.mix(docs.where("false")).count() == 0
+    clash = docs.withColumn("copy", F.lit("own")).withColumn("words", F.lit("own")).withColumn("a.b", F.lit(1))
+    made = mixing.copies(mixing.mix(clash, carry=clash.columns))
+    assert made.columns == [*clash.columns, "copy_", "words_"] and made.agg(F.sum("words_")).first()[0] == sum(words.values())
+    repeated = docs_of(spark, texts, [7] * 200 + [None] * (len(texts) - 200)).withColumn("source", F.lit("s"))
+    plan = mixing.mix(repeated).collect()
+    assert len(plan) == len(texts) and sum(x.taken for x in plan) == sum(x.size for x in plan)
+    ranges = mixing.mix(repeated, carry=["text"]).where("doc_id = 7")
+    assert sorted((x.kept_row.text, x.taken) for x in ranges.collect()) == sorted((x.kept_row.text, x.taken) for x in mixing.mix(repeated.repartition(5), carry=["text"]).where("doc_id = 7").collect())
 
 
 # 10
