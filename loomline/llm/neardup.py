@@ -24,6 +24,7 @@ with a null id are in no component and kept; a set of very many shingles is comp
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import pin, release
-from .wordhash import SPACED, U64, mix64
+from .wordhash import SPACED, U64, hashes_of, mix64
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -48,15 +49,20 @@ PART, PART_BYTES = 1 << 20, 8 << 20
 PARITIES = tuple(f"p{i}" for i in range(8))
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The sorted distinct shingles of one document, from the hashes of its words."""
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """The shingles of one document in their order, from the hashes of its words."""
     if words.size == 0:
         return words
     size = min(k, words.size)
     total = np.full(words.size - size + 1, size, dtype=U64)
     for i in range(size):
         total = total * U64(ORDER[0]) + mix64(words[i : words.size - size + 1 + i] + U64(ORDER[1 + i % 4]))
-    return np.unique(mix64(total))
+    return mix64(total)
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct shingles of one document."""
+    return np.unique(gram_hashes(words, k))
 
 
 def shingles(text: str | None, k: int, part: int = 0, parts: int = 1) -> set[bytes]:
@@ -76,15 +82,47 @@ def shingles(text: str | None, k: int, part: int = 0, parts: int = 1) -> set[byt
     return found
 
 
-def exact_set(text: str | None, k: int, about: int) -> tuple[int, bytes]:
-    """(number of distinct shingles, digest of their set). `about`, the number of their hashes, sets how many parts are taken; sets
-    that are equal have equal parts."""
-    digest, n, parts = hashlib.blake2b(digest_size=16), 0, 1 + about // PART
-    for part in range(parts):
-        found = shingles(text, k, part, parts)
+def exact_set(text: str | None, k: int) -> tuple[np.ndarray, int, bytes]:
+    """(sorted hashes of the distinct shingles, how many shingles are distinct, digest of their set). The digest is of the
+    shingles themselves, in the order of their hashes if these tell them apart, else in their own."""
+    digest, blocks = hashlib.blake2b(digest_size=16), list(islice(SPACED.blocks(text), 2))
+    if not blocks:
+        return np.empty(0, U64), 0, digest.digest()
+    if len(blocks) == 1:
+        words = blocks[0]
+        grams = list(map(b" ".join, zip(*(words[i:] for i in range(min(k, len(words)))), strict=False)))
+        hashes, first = np.unique(gram_hashes(hashes_of(words), k), return_index=True)
+        if len(set(grams)) == hashes.size:
+            digest.update(b"\n".join(map(grams.__getitem__, first.tolist())))
+            return hashes, hashes.size, digest.digest()
+    else:
+        hashes = shingle_hashes(SPACED.hashes(text), k)
+    # in parts of a number that equal sets have in common; each is put in the order of its hashes, then bytes
+    n, parts = 0, 1 + hashes.size // PART
+    found: list[tuple[int, bytes]] = []
+    for low, high in zip(bounds := hashes[:: -(-hashes.size // parts)].tolist(), [*bounds[1:], 1 << 64], strict=True):
+        found = sorted(shingles_between(text, k, low, high))
         n += len(found)
-        digest.update(b"\n".join(sorted(found)) + b"\n\n")
-    return n, digest.digest()
+        digest.update((b"\n" if low != bounds[0] else b"") + b"\n".join(gram for _, gram in found))
+    return hashes, n, digest.digest()
+
+
+def shingles_between(text: str | None, k: int, low: int, high: int) -> set[tuple[int, bytes]]:
+    """(hash, shingle) of those whose hashes lie in [low, high)."""
+    found: set[tuple[int, bytes]] = set()
+    run: list[bytes] = []
+    whole = False
+    for words in SPACED.blocks(text):
+        run = run + words
+        if len(run) >= k:
+            whole = True
+            hashes = gram_hashes(hashes_of(run), k).tolist()
+            found.update((h, b" ".join(run[i : i + k])) for i, h in enumerate(hashes) if low <= h < high)
+            run = run[len(run) - k + 1 :]
+    if run and not whole:
+        h = int(gram_hashes(hashes_of(run), k)[0])
+        found.update([(h, b" ".join(run))] if low <= h < high else [])
+    return found
 
 
 def shared_and_all(a: str, b: str, k: int, held: set[bytes] | None = None) -> tuple[int, int]:
@@ -136,10 +174,10 @@ def sketch_frames(frames, k: int):
             values, filled = np.zeros((len(part), BUCKETS), np.uint16), np.zeros((len(part), BUCKETS), bool)
             exact = []
             for row, text in enumerate(part["text"]):
-                hashes = shingle_hashes(SPACED.hashes(text), k)
+                hashes, *known = exact_set(text, k)
                 bucket, value = registers(hashes)
                 values[row, bucket], filled[row, bucket] = value, True
-                exact.append(exact_set(text, k, hashes.size))
+                exact.append(known)
             densify(values, filled)
             yield pd.DataFrame(
                 {

@@ -40,6 +40,10 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_digest_of, words), U64, len(words))
+
+
 class Words:
     """A way to cut texts into words: `table` maps each byte to the byte that is kept, separators to a space."""
 
@@ -60,7 +64,7 @@ class Words:
 
     def hashes(self, text: str | None) -> np.ndarray:
         """The hashes of all words of a text."""
-        parts = [np.fromiter(map(_digest_of, words), U64, len(words)) for words in self.blocks(text)]
+        parts = [hashes_of(words) for words in self.blocks(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, U64)
 
 

@@ -480,15 +480,21 @@ def test_exact_sets_in_parts():
     assert neardup.shingles(text, 3) == want
     parts = [neardup.shingles(text, 3, p, 4) for p in range(4)]
     assert set().union(*parts) == want and sum(map(len, parts)) == len(want)
+    hashes, n, digest = neardup.exact_set(text, 3)
+    again = neardup.exact_set(f"{text} {text}".replace(" ", "\n", 3), 3)
+    assert n == hashes.size == len(want) and digest == neardup.exact_set("  " + text, 3)[2] != again[2] and again[1] == n + 2
+    assert neardup.exact_set("a b", 3)[1:] != neardup.exact_set("b a", 3)[1:] and neardup.exact_set(None, 3)[1] == 0
     other, size = " ".join(words[100:]), neardup.PART_BYTES
     whole = neardup.shared_and_all(text, other, 3)
     limit = neardup.SPACED.blocks.__func__.__globals__["LIMIT"]
     try:
         neardup.PART_BYTES = 500
         neardup.SPACED.blocks.__func__.__globals__["LIMIT"] = 100
+        part, neardup.PART = neardup.PART, 90
+        assert neardup.exact_set(text, 3)[1:] == (n, digest) and neardup.exact_set("a b", 3)[1] == 1
         assert neardup.shared_and_all(text, other, 3) == whole == (298, 398) and neardup.shingles(text, 3) == want
     finally:
-        neardup.PART_BYTES = size
+        neardup.PART_BYTES, neardup.PART = size, part
         neardup.SPACED.blocks.__func__.__globals__["LIMIT"] = limit
 
 
