@@ -11,23 +11,50 @@ from .scalars import differs, reasons
 STRIPS = ("X0", "X1", "X21/X23", "X22/X24", "X3", "X4", "X5", "X21", "X22", "X23", "X24", "X6", "X61")
 STRIP_OF_DEVICE = {
     "XD0": "X0", "XA": "X1", "XD10": "X1", "XD11": "X1", "XD12": "X1", "XD21": "X21", "XD23": "X23", "XD22": "X22", "XD24": "X24",
-    "XD3": "X3", "XD5": "X3", "XD4": "X4", "XH": "X5", "XD21/XD23": "X21/X23", "XD22/XD24": "X22/X24",
+    "XD3": "X3", "XD5": "X3", "XD4": "X4", "XH": "X5",
 }
+STRIP_ALIASES = {"XD0": "X0", "XD21/XD23": "X21/X23", "XD22/XD24": "X22/X24"}
 CURRENT_BASES = ("IR", "IN", "IE")
 PLC_ADDRESS = r"(?i)^[IQ]\d+\.\d+$"
 POTENTIAL_LABEL = r"(?i)(?:^|:)\w+_(?:L\d?|N|PE|\+|-)(?:\.\d+)?$"
 BARS = ("N-BAR", "PE-BAR")
-UNCERTAIN_ENDS = {"unavailable": "target_unavailable", "conflicting": "target_conflict", "failed": "completion_failed"}
+SUPPLIES = ("L1", "L2", "L3", "N", "PE")
+# Review codes with their messages, by completion state where one has them.
+UNCERTAIN_ENDS = {
+    "unavailable": ("target_unavailable", "跨页目标或图片不可用"),
+    "conflicting": ("target_conflict", "多个目标返回不同终点"),
+    "failed": ("completion_failed", "补全未能产生可确认的结果"),
+}
+DIRECTION = ("direction_unconfirmed", "direction", "起终点方向缺少可确认的图纸依据")
+MISSING_TERMINAL = {"start": "起点端子未确认", "end": "终点端子未确认"}
+NOT_PHYSICAL = "PLC地址或电位名称不能作为实际端子"
+NO_IDENTITY = "缺少所属元件或端子排身份"
+NO_EVIDENCE = ("completion_evidence_missing", "end", "补全结果缺少目标路径依据")
+UNCLEAR = "图像信息不明确"
+NO_SHEET = ("page", "来源Sheet无法确认，原理号留空")
+UNREADABLE = ("connection", "标记数字可见但无法辨认，原理号留空")
+NO_MARKER = ("connection", "本段无可确认标记编号或完整实际端子，原理号留空")
+# What a correction's issue leads to: action, stages, estimated model calls.
+PATCH_STAGES = ("VALIDATION", "PROPOSAL")
+SCAN_STAGES = ("PAGE_SCAN", *PATCH_STAGES)
+ROUTES = {
+    "SOURCE_INSUFFICIENT": ("NO_ACTION", (), 0),
+    "DIRECT_VALUE_CHANGE": ("DIRECT_PATCH", PATCH_STAGES, 0),
+    "FORMAT_OR_ORDER": ("DETERMINISTIC_ONLY", PATCH_STAGES, 0),
+}
 
 
 def text(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("")))
 
 
-def terminal_strip(device: Column, mapping: dict[str, str] = STRIP_OF_DEVICE) -> Column:
-    """The strip that a device or strip name stands for, or null. A leading hyphen doesn't count."""
+def terminal_strip(device: Column, mapping: dict[str, str] | None = None) -> Column:
+    """The strip that a device or strip name stands for, or null. A leading hyphen doesn't count. A caller's mapping takes the
+    place of STRIP_OF_DEVICE; aliases come before it, and what it maps to no known strip is unknown."""
     key = F.regexp_replace(F.upper(text(device)), "^-+", "")
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    named = {k: v.strip().upper().lstrip("-") for k, v in (mapping or STRIP_OF_DEVICE).items()}
+    pairs = ({k: v for k, v in named.items() if v in STRIPS} | STRIP_ALIASES).items()
+    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     return F.when(key.isin(*STRIPS), key).otherwise(F.try_element_at(table, key))
 
 
@@ -73,19 +100,22 @@ def endpoint_warnings(terminal: Column, device: Column, board: Column) -> Column
     )
 
 
-def consistency_warnings(number: Column, start: Column, end: Column, device: Column) -> Column:
-    """Special rows: SPARE has only `*` as terminals, PE only PE; others need a start terminal with a start device."""
+def consistency_warnings(number: Column, start: Column, end: Column, device: Column, strict: bool = False, source: Column | None = None) -> Column:
+    """Special rows: SPARE has only `*` as terminals, PE only PE, and PE-BAR where endpoints must have an identity (`strict`); others
+    need a start terminal with a start device."""
     n = F.upper(text(number))
     star = lambda c: c.isNull() | (c == "*")
     last = lambda c: F.upper(F.substring_index(c, ":", -1))
-    pe = lambda c: c.isNull() | (c == "") | last(c).isin("PE", "PE-BAR")
-    return reasons(
+    pe = lambda c: c.isNull() | (c == "") | last(c).isin("PE", *(["PE-BAR"] if strict else []))
+    where = F.lit("record") if source is None else F.coalesce(F.nullif(source, F.lit("")), F.lit("record"))
+    warnings = reasons(
         [
             ((n == "SPARE") & ~(star(start) & star(end)), "SPARE record has a non-* terminal"),
             ((n == "PE") & ~(pe(start) & pe(end)), "PE record has a non-PE terminal"),
-            (~n.isin("SPARE", "PE") & (text(device) != "") & start.isNull(), "start device without start terminal"),
         ]
     )
+    nameless = ~n.isin("SPARE", "PE") & (F.coalesce(device, F.lit("")) != "") & start.isNull()
+    return F.when(nameless, F.array(F.concat(where, F.lit(" has a start device but no start terminal")))).otherwise(warnings)
 
 
 def sheet_warnings(number: Column, start: Column, end: Column, state: Column) -> Column:
@@ -98,21 +128,40 @@ def sheet_warnings(number: Column, start: Column, end: Column, state: Column) ->
     )
 
 
-def review_codes(
-    role: Column, number: Column, start: Column, end: Column, has_reference: Column, completion: Column, phase: str, strict: bool, basis: Column
-) -> Column:
-    """Codes of what a reviewer must see, in order. While scanning, an end that a reference will bring isn't missing yet."""
-    pending = (F.lit(phase == "scan")) & (text(end) == "") & has_reference
-    spare = F.upper(text(number)) == "SPARE"
-    cases = [((role == "unknown") | (F.lit(strict) & (text(basis) == "")), "direction_unconfirmed")]
-    for side, terminal in (("start", start), ("end", end)):
-        asked = F.lit(True) if side == "start" else ~pending
-        odd = text(terminal).rlike(PLC_ADDRESS) | text(terminal).rlike(POTENTIAL_LABEL)
-        cases.append((asked & (text(terminal) == ""), f"missing_{side}_terminal"))
-        cases.append((asked & F.lit(strict) & ~spare & (text(terminal) != "") & odd, "non_physical_terminal"))
+def review_reasons(r: dict[str, Column], phase: str, strict: bool) -> Column:
+    """What a reviewer must see, in order and each once: an array of (code, field, message). `r` has endpoint_role, direction_basis,
+    line_number, for start and end *_terminal, *_device and *_terminal_board, completion_state, has_evidence, and arrays: references
+    (reason), uncertainties (field, detail), warnings. While scanning, an end that a reference will bring isn't missing yet."""
+    kind = "struct<code: string, field: string, message: string>"
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    reason = lambda code, field, message: F.struct(F.lit(code).alias("code"), field.alias("field"), message.alias("message"))
+    fixed = lambda code, field, message: reason(code, F.lit(field), F.lit(message))
+    many = lambda c: F.coalesce(c, F.array())
+    pending = F.lit(phase == "scan") & ~given(r["end_terminal"]) & (F.size(many(r["references"])) > 0)
+    unsure = F.coalesce(r["endpoint_role"] == "unknown", F.lit(False)) | (F.lit(strict) & (text(r["direction_basis"]) == ""))
+    spare = F.upper(F.coalesce(r["line_number"], F.lit(""))) == "SPARE"
+    cases = [F.when(unsure, fixed(*DIRECTION))]
+    for side in ("start", "end"):
+        asked = ~pending if side == "end" else F.lit(True)
+        terminal = text(r[f"{side}_terminal"])
+        strictly = asked & F.lit(strict) & ~spare & (terminal != "")
+        owned = given(r[f"{side}_device"]) | given(r[f"{side}_terminal_board"]) | terminal.contains(":") | F.upper(terminal).isin(*BARS)
+        cases += [
+            F.when(asked & (terminal == ""), fixed(f"missing_{side}_terminal", f"{side}_terminal", MISSING_TERMINAL[side])),
+            F.when(strictly & (terminal.rlike(PLC_ADDRESS) | terminal.rlike(POTENTIAL_LABEL)), fixed("non_physical_terminal", f"{side}_terminal", NOT_PHYSICAL)),
+            F.when(strictly & ~owned, fixed("endpoint_identity_incomplete", side, NO_IDENTITY)),
+        ]
+    unresolved = F.array().cast(f"array<{kind}>")
     if phase == "final":
-        cases += [(completion == state, code) for state, code in UNCERTAIN_ENDS.items()]
-    return reasons(cases)
+        state = r["completion_state"]
+        cases += [F.when(state == name, fixed(code, "end", message)) for name, (code, message) in UNCERTAIN_ENDS.items()]
+        cases.append(F.when((state == "resolved") & F.lit(strict) & ~F.coalesce(r["has_evidence"], F.lit(False)), fixed(*NO_EVIDENCE)))
+        open_ends = F.filter(many(r["references"]), lambda x: ~given(r["end_terminal"]) & given(x["reason"]))
+        unresolved = F.transform(open_ends, lambda x: reason("reference_unresolved", F.lit("references"), x["reason"]))
+    seen = F.filter(many(r["uncertainties"]), lambda u: ~(pending & F.coalesce(u["field"] == "end", F.lit(False))))
+    unclear = F.transform(seen, lambda u: reason("visual_uncertainty", u["field"], F.coalesce(F.nullif(u["detail"], F.lit("")), F.lit(UNCLEAR))))
+    warned = F.transform(many(r["warnings"]), lambda w: reason("profile_validation", F.lit(None).cast("string"), w))
+    return F.array_distinct(F.concat(*[x.cast(f"array<{kind}>") for x in (F.array_compact(F.array(*cases)), unresolved, unclear, warned)]))
 
 
 def processing_status(end: Column, has_reference: Column, phase: str) -> Column:
@@ -165,24 +214,129 @@ def changed_only(row: dict[str, Column], edited: dict[str, Column]) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
-def start_identity(terminal: Column, board: Column) -> Column:
-    """A start as (board, pin): white space goes, letters are upper case, `board:pin` is split; a board that contradicts is null."""
-    squeeze = lambda c: F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
-    t, b = squeeze(terminal), squeeze(board)
-    named = F.when(t.contains(":"), F.substring_index(t, ":", 1)).otherwise(b)
-    conflict = t.contains(":") & (b != "") & (b != F.substring_index(t, ":", 1))
-    return F.when(~conflict, F.struct(named.alias("board"), F.substring_index(t, ":", -1).alias("pin")))
+def start_identity(r: dict[str, Column]) -> Column:
+    """A start as (location, device, board, terminal, conflict), of a record's start_code, start_location, start_device,
+    start_terminal_board, start_terminal and those of its nested start: location, device, terminal_board, terminal.
+
+    White space goes and letters are upper case. A code or nested device that begins with + is a location; a terminal
+    `board:pin` is split at its last colon; a board that contradicts it is a conflict, and then nothing else counts."""
+
+    def said(name: str) -> Column:
+        return F.nullif(F.upper(F.regexp_replace(r[name], r"(?U)\s+", "")), F.lit("")) if name in r else F.lit(None).cast("string")
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[said(n) for n in names])
+
+    unhyphened = lambda c: F.nullif(F.regexp_replace(c, "^-+", ""), F.lit(""))
+    code, nested = said("start_code"), said("device")
+    placed = lambda c: F.when(c.startswith("+"), c)
+    location = F.coalesce(said("start_location"), said("location"), placed(code), placed(nested))
+    part = lambda c: F.when(~c.startswith("+") & ~c.eqNullSafe(location), c)
+    device = unhyphened(F.coalesce(said("start_device"), part(nested), part(code)))
+    own = unhyphened(first("start_terminal_board", "terminal_board"))
+    terminal = first("start_terminal", "terminal")
+    pin = F.substring_index(terminal, ":", -1)
+    qualified = F.regexp_replace(F.substring(terminal, F.lit(1), F.char_length(terminal) - F.char_length(pin) - 1), "^-+", "")
+    split = F.coalesce(terminal.contains(":"), F.lit(False))
+    conflict = split & F.coalesce(own != qualified, F.lit(False))
+    return F.struct(
+        location.alias("location"),
+        device.alias("device"),
+        F.when(split, F.nullif(qualified, F.lit(""))).otherwise(own).alias("board"),
+        F.when(split, F.nullif(pin, F.lit(""))).otherwise(terminal).alias("terminal"),
+        conflict.alias("conflict"),
+    )
 
 
-def correction_route(severity: Column, deterministic: Column, repeats: Column) -> Column:
-    """Where a correction goes."""
-    return (
-        F.when(deterministic, "apply_rule")
-        .when(severity.isin("critical", "high"), "manual_review")
-        .when(repeats >= 2, "improvement")
-        .otherwise("single_fix")
+def same_start(original: Column, scanned: Column) -> Column:
+    """Whether two start identities are one: equal terminals, nothing that contradicts, a location that is known is known to
+    both, and a device or a board in common; null where either is in conflict with itself."""
+    both = lambda name: (original[name].isNotNull() & scanned[name].isNotNull())
+    equal = lambda name: F.coalesce(original[name] == scanned[name], F.lit(False))
+    against = lambda name: both(name) & ~equal(name)
+    lost = original["location"].isNotNull() & scanned["location"].isNull()
+    same = equal("terminal") & ~lost & ~against("location") & ~against("device") & ~against("board") & (equal("device") | equal("board"))
+    return F.when(~original["conflict"] & ~scanned["conflict"], same)
+
+
+def correction_route(issue: Column, cross_page: Column) -> Column:
+    """Where a correction goes: (action, stages, calls), calls being the model calls to expect."""
+
+    def plan(action: str, stages, calls) -> Column:
+        named = F.array(*[F.lit(x) for x in stages]).cast("array<string>")
+        return F.struct(F.lit(action).alias("action"), named.alias("stages"), F.lit(calls).cast("int").alias("calls"))
+
+    at_home = cross_page == "same_page"
+    route = F.when(at_home, plan("RERUN_STAGE_2", SCAN_STAGES, 1)).otherwise(plan("RERUN_STAGE_2", SCAN_STAGES, 2))
+    pages = ("PAGE_CLASSIFICATION", *SCAN_STAGES)
+    reclassify = F.when(at_home, plan("RERUN_STAGE_1", pages, 1)).otherwise(plan("RERUN_STAGE_1", pages, 2))
+    route = F.when(issue == "PAGE_CLASSIFICATION_ERROR", reclassify).otherwise(route)
+    for name, how in ROUTES.items():
+        route = F.when(issue == name, plan(*how)).otherwise(route)
+    return route
+
+
+def full_terminal(terminal: Column, board: Column, device: Column) -> Column:
+    """`board:pin` of an endpoint, or null: a supply's name alone is no terminal, and neither is a pin of nothing."""
+    bare = lambda c: F.regexp_replace(F.trim(c), "^-", "")
+    t = F.nullif(bare(F.nullif(terminal, F.lit(""))), F.lit(""))
+    owner = F.coalesce(F.nullif(board, F.lit("")), F.nullif(device, F.lit("")))
+    return F.when(t.contains(":"), t).when(~F.upper(t).isin(*SUPPLIES), F.concat(bare(owner), F.lit(":"), t))
+
+
+def principle_number(start_marker: Column, end_marker: Column, unreadable: Column, start: Column, end: Column, sheet: Column) -> Column:
+    """(number, rule, field, detail) of a connection: the digits read at a marker, else a full terminal, times the sheet; no
+    terminal stands in for a marker that is there but unreadable. `field` and `detail` say why there is no number."""
+    marked = F.coalesce(F.nullif(start_marker, F.lit("")), F.nullif(end_marker, F.lit("")))
+    by_marker = F.when(F.coalesce(start_marker, F.lit("")) != "", "start_marker").otherwise("end_marker")
+    fallback = marked.isNull() & ~unreadable
+    selected = F.when(fallback, F.coalesce(start, end)).otherwise(marked)
+    page = F.when(sheet != 0, sheet)
+    why = lambda i: F.when(page.isNull(), NO_SHEET[i]).when(selected.isNotNull(), F.lit(None)).when(unreadable, UNREADABLE[i]).otherwise(NO_MARKER[i])
+    return F.struct(
+        F.concat(selected, page.cast("string")).alias("number"),
+        F.when(fallback, "actual_terminal").otherwise(by_marker).alias("rule"),
+        why(0).alias("field"),
+        why(1).alias("detail"),
+    )
+
+
+def auto_select(recognised: Column, key: Column, status: Column, confidence: Column, least: float = 0.85) -> Column:
+    """(status, detected, assigned, reason) of a detected profile; `status` is that of the registered profile `key`, null if there is none.
+    What can't be assigned waits for the user, with the first reason that applies."""
+    known = F.coalesce(recognised, F.lit(False)) & status.isNotNull()
+    sure = confidence >= least
+    chosen = known & sure & (status == "active")
+    reason = (
+        F.when(chosen, "model")
+        .when(known & (status == "experimental"), "experimental")
+        .when(known & ~sure, "low_confidence")
+        .when((F.coalesce(key, F.lit("")) != "") & status.isNull(), "unregistered")
+        .otherwise("model")
+    )
+    return F.struct(
+        F.when(chosen, "PROFILE_SELECTED").otherwise("WAITING_INPUT").alias("status"),
+        F.when(known, key).alias("detected"),
+        F.when(chosen, key).alias("assigned"),
+        reason.alias("reason"),
     )
 
 
-def auto_select(recognised: Column, confidence: Column, active: Column, least: float = 0.8) -> Column:
-    return F.when(~recognised, "unrecognised").when(confidence < least, "low_confidence").when(~active, "inactive").otherwise("selected")
+def rescan_score(old: dict[str, Column], new: dict[str, Column]) -> Column:
+    """How well a new row fits an old one of its page. Both have id, page, no, and for start and end *_terminal, *_code and
+    *_point (x, y, page). A kept id is 10000. Else 4 for the number, 2 for each equal end; 64 for a pin of the page that both have
+    in any role, 16 more if its device is known and equal, unless devices contradict; 5 for points nearer than 0.025."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    score = F.when(given(old["no"].cast("string")) == given(new["no"].cast("string")), 4).otherwise(0)
+    anchors, near = [], F.lit(False)
+    for a in ("start", "end"):
+        score = score + F.when(given(old[f"{a}_terminal"]) == given(new[f"{a}_terminal"]), 2).otherwise(0)
+        for b in ("start", "end"):
+            x, y = given(old[f"{a}_code"]), given(new[f"{b}_code"])
+            met = given(old[f"{a}_terminal"]) == given(new[f"{b}_terminal"])
+            here = (old[f"{a}_point"]["page"] == old["page"]) & (new[f"{b}_point"]["page"] == new["page"])
+            anchors.append(F.when(met & here & (x.isNull() | y.isNull() | (x == y)), F.when(x == y, 80).otherwise(64)).otherwise(0))
+            p, q = old[f"{a}_point"], new[f"{b}_point"]
+            near = near | F.coalesce((p["page"] == q["page"]) & (F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < 0.025), F.lit(False))
+    score = score + F.greatest(*anchors) + F.when(near, 5).otherwise(0)
+    return F.when(old["page"] != new["page"], 0).when(given(old["id"].cast("string")) == given(new["id"].cast("string")), 10000).otherwise(score)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as ru
@@ -14,6 +15,8 @@ def records(t):
     return t.lineitem.select(
         "l_orderkey",
         "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
         F.when(p % 11 == 0, F.lit(None)).when(p % 11 == 1, "I1.2").when(p % 11 == 2, "A_L1").otherwise(q.cast("int").cast("string")).alias("start_terminal"),
         F.when(s % 4 == 0, F.lit(None)).when(s % 4 == 1, "X4:7").otherwise(n.cast("string")).alias("end_terminal"),
         F.when(p % 3 == 0, "-K1").alias("device"),
@@ -25,7 +28,7 @@ def records(t):
     )
 
 
-_RECORDS = """r AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'I1.2' WHEN 2 THEN 'A_L1' ELSE l_quantity::INT::VARCHAR END AS st,
+_RECORDS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'I1.2' WHEN 2 THEN 'A_L1' ELSE l_quantity::INT::VARCHAR END AS st,
    CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'X4:7' ELSE l_linenumber::VARCHAR END AS et, CASE WHEN l_partkey % 3 = 0 THEN '-K1' END AS device,
    CASE WHEN l_suppkey % 3 = 0 THEN 'XD3' END AS board, CASE l_linenumber WHEN 1 THEN 'SPARE' WHEN 2 THEN 'PE' WHEN 3 THEN '' ELSE l_partkey::VARCHAR END AS number,
    CASE WHEN l_suppkey % 5 = 0 THEN 'unknown' ELSE 'source' END AS role, l_suppkey % 2 = 0 AS ref,
@@ -42,25 +45,37 @@ def x6(t):
 
 @query(
     "x7_x8_terminal_strips",
-    f"WITH {_RECORDS} SELECT l_orderkey, l_linenumber, CASE WHEN board = 'XD3' THEN 'X3' ELSE 'X' || (l_linenumber % 2 + 3) END AS strip FROM r",
+    f"""WITH {_RECORDS} SELECT l_orderkey, l_linenumber, CASE WHEN board = 'XD3' THEN 'X3' ELSE 'X' || (l_linenumber % 2 + 3) END AS strip,
+        CASE l_suppkey % 5 WHEN 0 THEN 'X0' WHEN 1 THEN 'X21/X23' WHEN 2 THEN 'X61' WHEN 3 THEN 'X5' END AS own FROM r""",
 )
 def x7(t):
-    """The board's class first, then the strip that is named."""
+    """The board's class first, then the strip that is named; and names by a mapping of one's own, which aliases precede."""
     rows = records(t)
     named = F.concat(F.lit("-x"), (F.col("l_linenumber") % 2 + 3).cast("string"))
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce(ru.terminal_strip(F.col("board")), ru.terminal_strip(named)).alias("strip"))
+    s = F.col("l_suppkey") % 5
+    odd = F.when(s == 0, "-XD0").when(s == 1, "xd21/xd23").when(s == 2, "x61").when(s == 3, " own ").otherwise("XD3")
+    own = ru.terminal_strip(odd, {"XD0": "X3", "OWN": "-x5", "XD3": "Y9"})
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce(ru.terminal_strip(F.col("board")), ru.terminal_strip(named)).alias("strip"), own.alias("own"))
 
 
 @query(
     "x9_x13_special_rows",
-    f"""WITH {_RECORDS} SELECT l_orderkey, l_linenumber, concat_ws('|',
-        CASE WHEN number = 'SPARE' AND NOT (st IS NULL AND et IS NULL) THEN 'SPARE record has a non-* terminal' END,
-        CASE WHEN number = 'PE' AND NOT (st IS NULL AND et IS NULL) THEN 'PE record has a non-PE terminal' END,
-        CASE WHEN number NOT IN ('SPARE', 'PE') AND device IS NOT NULL AND st IS NULL THEN 'start device without start terminal' END) AS warnings FROM r""",
+    f"""WITH {_RECORDS}, q AS (SELECT *, CASE WHEN number = 'PE' AND l_suppkey % 5 = 0 THEN 'X1:pe' WHEN number = 'PE' AND l_suppkey % 5 = 1 THEN 'PE-BAR' WHEN number = 'SPARE' AND l_suppkey % 5 < 3 THEN '*' ELSE st END AS s2,
+        CASE WHEN number IN ('PE', 'SPARE') AND l_suppkey % 5 < 2 THEN NULL ELSE et END AS e2 FROM r),
+        w AS (SELECT l_orderkey, l_linenumber, CASE WHEN number = 'SPARE' AND ((s2 IS NOT NULL AND s2 <> '*') OR e2 IS NOT NULL) THEN 'SPARE record has a non-* terminal'
+          WHEN number NOT IN ('SPARE', 'PE') AND device IS NOT NULL AND s2 IS NULL THEN 'page ' || l_linenumber || ' has a start device but no start terminal' ELSE '' END AS other,
+        number = 'PE' AS pe, s2 IS NOT NULL AND s2 <> 'X1:pe' AS odd, s2 = 'PE-BAR' AS bar, e2 IS NOT NULL AS e FROM q)
+        SELECT l_orderkey, l_linenumber, CASE WHEN pe AND (odd OR e) THEN 'PE record has a non-PE terminal' ELSE other END AS warnings,
+        CASE WHEN pe AND ((odd AND NOT bar) OR e) THEN 'PE record has a non-PE terminal' ELSE other END AS strict_warnings FROM w""",
 )
 def x13(t):
-    w = ru.consistency_warnings(F.col("number"), F.col("start_terminal"), F.col("end_terminal"), F.col("device"))
-    return records(t).select("l_orderkey", "l_linenumber", F.array_join(w, "|").alias("warnings"))
+    """PE-BAR passes only where endpoints must have an identity."""
+    number, s = F.col("number"), F.col("l_suppkey") % 5
+    start = F.when((number == "PE") & (s == 0), "X1:pe").when((number == "PE") & (s == 1), "PE-BAR").when((number == "SPARE") & (s < 3), "*").otherwise(F.col("start_terminal"))
+    end = F.when(number.isin("PE", "SPARE") & (s < 2), F.lit(None)).otherwise(F.col("end_terminal"))
+    source = F.concat(F.lit("page "), F.col("l_linenumber").cast("string"))
+    w = lambda strict: F.array_join(ru.consistency_warnings(number, start, end, F.col("device"), strict, source), "|")
+    return records(t).select("l_orderkey", "l_linenumber", w(False).alias("warnings"), w(True).alias("strict_warnings"))
 
 
 @query(
@@ -104,29 +119,51 @@ def x14(t):
 
 
 def _review(t, phase, strict):
-    c = {k: F.col(k) for k in ("role", "number", "start_terminal", "end_terminal", "has_reference", "completion")}
-    codes = ru.review_codes(c["role"], c["number"], c["start_terminal"], c["end_terminal"], c["has_reference"], c["completion"], phase, strict, F.lit("arrow"))
-    status = ru.processing_status(c["end_terminal"], c["has_reference"], phase)
-    return records(t).select("l_orderkey", "l_linenumber", F.array_join(codes, ",").alias("codes"), (F.size(codes) > 0).alias("needs_review"), status.alias("status"))
-
-
-@query(
-    "x15_review_final",
-    f"""WITH {_RECORDS} SELECT l_orderkey, l_linenumber, codes, codes <> '' AS needs_review, 'completed' AS status FROM (SELECT *, concat_ws(',',
-        CASE WHEN role = 'unknown' THEN 'direction_unconfirmed' END, CASE WHEN st IS NULL THEN 'missing_start_terminal' END,
-        CASE WHEN number <> 'SPARE' AND st IN ('I1.2', 'A_L1') THEN 'non_physical_terminal' END, CASE WHEN et IS NULL THEN 'missing_end_terminal' END,
-        CASE completion WHEN 'conflicting' THEN 'target_conflict' WHEN 'failed' THEN 'completion_failed' END) AS codes FROM r)""",
-)
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    reason = F.when(q % 3 == 0, "outside the atlas").when(q % 3 == 1, "")
+    seen = F.array(F.struct(F.lit("end").alias("field"), F.lit("blurred").alias("detail")), F.struct(F.lit("start").alias("field"), F.lit("").alias("detail")))
+    r = {k: F.col(k) for k in ("line_number", "start_terminal", "end_terminal", "start_device", "end_device", "start_terminal_board", "end_terminal_board", "completion_state")}
+    rows = records(t).withColumnsRenamed({"number": "line_number", "device": "start_device", "board": "end_terminal_board", "completion": "completion_state"})
+    rows = rows.withColumns({"end_device": F.lit(None).cast("string"), "start_terminal_board": F.when(p % 4 == 0, "X3")})
+    r |= {
+        "endpoint_role": F.col("role"),
+        "direction_basis": F.when(p % 17 != 0, "arrow"),
+        "has_evidence": p % 2 == 0,
+        "references": F.when(F.col("has_reference"), F.array(F.struct(reason.alias("reason")))),
+        "uncertainties": F.when(p % 13 == 0, seen),
+        "warnings": F.when(F.col("l_linenumber") == 7, F.array(F.lit("odd"), F.lit("odd"))),
+    }
+    shown = F.transform(ru.review_reasons(r, phase, strict), lambda x: F.concat_ws(":", x["code"], F.coalesce(x["field"], F.lit("-")), x["message"]))
+    status = ru.processing_status(F.col("end_terminal"), F.col("has_reference"), phase)
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(shown, "|").alias("reasons"), (F.size(shown) > 0).alias("needs_review"), status.alias("status"))
+
+
+def _review_sql(final: bool) -> str:
+    """The rule for all of final and strict, or neither."""
+    on = "TRUE" if final else "FALSE"
+    return f"""WITH {_RECORDS}, c AS (SELECT *, {"FALSE" if final else "et IS NULL AND ref"} AS pending FROM r),
+      d AS (SELECT l_orderkey, l_linenumber, pending, concat_ws('|',
+        CASE WHEN role = 'unknown' OR ({on} AND l_partkey % 17 = 0) THEN 'direction_unconfirmed:direction:起终点方向缺少可确认的图纸依据' END,
+        CASE WHEN st IS NULL THEN 'missing_start_terminal:start_terminal:起点端子未确认' END,
+        CASE WHEN {on} AND number <> 'SPARE' AND st IN ('I1.2', 'A_L1') THEN 'non_physical_terminal:start_terminal:PLC地址或电位名称不能作为实际端子' END,
+        CASE WHEN {on} AND number <> 'SPARE' AND st IS NOT NULL AND device IS NULL AND l_partkey % 4 <> 0 THEN 'endpoint_identity_incomplete:start:缺少所属元件或端子排身份' END,
+        CASE WHEN et IS NULL AND NOT pending THEN 'missing_end_terminal:end_terminal:终点端子未确认' END,
+        CASE WHEN {on} AND number <> 'SPARE' AND et IS NOT NULL AND et <> 'X4:7' AND board IS NULL THEN 'endpoint_identity_incomplete:end:缺少所属元件或端子排身份' END,
+        CASE WHEN {on} THEN CASE completion WHEN 'conflicting' THEN 'target_conflict:end:多个目标返回不同终点' WHEN 'failed' THEN 'completion_failed:end:补全未能产生可确认的结果'
+             ELSE CASE WHEN l_partkey % 2 <> 0 THEN 'completion_evidence_missing:end:补全结果缺少目标路径依据' END END END,
+        CASE WHEN {on} AND et IS NULL AND ref AND l_suppkey % 3 = 0 THEN 'reference_unresolved:references:outside the atlas' END,
+        CASE WHEN l_partkey % 13 = 0 AND NOT pending THEN 'visual_uncertainty:end:blurred' END,
+        CASE WHEN l_partkey % 13 = 0 THEN 'visual_uncertainty:start:图像信息不明确' END,
+        CASE WHEN l_linenumber = 7 THEN 'profile_validation:-:odd' END) AS reasons FROM c)
+      SELECT l_orderkey, l_linenumber, reasons, reasons <> '' AS needs_review, CASE WHEN pending THEN 'pending_completion' ELSE '{"completed" if final else "scanned"}' END AS status FROM d"""
+
+
+@query("x15_review_final", _review_sql(True))
 def x15(t):
     return _review(t, "final", True)
 
 
-@query(
-    "x15_review_scan",
-    f"""WITH {_RECORDS} SELECT l_orderkey, l_linenumber, codes, codes <> '' AS needs_review, CASE WHEN et IS NULL AND ref THEN 'pending_completion' ELSE 'scanned' END AS status
-        FROM (SELECT *, concat_ws(',', CASE WHEN role = 'unknown' THEN 'direction_unconfirmed' END, CASE WHEN st IS NULL THEN 'missing_start_terminal' END,
-        CASE WHEN et IS NULL AND NOT ref THEN 'missing_end_terminal' END) AS codes FROM r)""",
-)
+@query("x15_review_scan", _review_sql(False))
 def x15b(t):
     return _review(t, "scan", False)
 
@@ -191,39 +228,107 @@ def x19(t):
 
 @query(
     "x16_principle_number",
-    f"WITH {_RECORDS} SELECT l_orderkey, l_linenumber, coalesce(regexp_extract(nullif(number, ''), '([0-9])$', 1), '') || '/' || l_linenumber AS principle FROM r WHERE number <> ''",
+    f"""WITH {_RECORDS}, m AS (SELECT *, CASE WHEN l_partkey % 4 = 0 THEN '12' WHEN l_partkey % 4 = 1 THEN '' END AS sm, CASE WHEN l_suppkey % 3 = 1 THEN '7' END AS em, l_partkey % 5 = 0 AS unread,
+        CASE l_partkey % 6 WHEN 0 THEN '-X4:7' WHEN 1 THEN 'pe' WHEN 2 THEN '' ELSE ' 5' END AS t, nullif(l_linenumber - 1, 0) AS sheet FROM r),
+      n AS (SELECT *, coalesce(nullif(sm, ''), em) AS marked, CASE WHEN l_partkey % 6 = 0 THEN 'X4:7' WHEN l_partkey % 6 IN (1, 2) THEN NULL WHEN board IS NOT NULL THEN board || ':5' WHEN device IS NOT NULL THEN 'K1:5' END AS ft FROM m),
+      s AS (SELECT *, CASE WHEN marked IS NULL AND NOT unread THEN ft ELSE marked END AS sel FROM n)
+      SELECT l_orderkey, l_linenumber, sel || sheet AS number, CASE WHEN marked IS NULL AND NOT unread THEN 'actual_terminal' WHEN sm <> '' THEN 'start_marker' ELSE 'end_marker' END AS rule,
+        CASE WHEN sheet IS NULL THEN 'page' WHEN sel IS NULL THEN 'connection' END AS field,
+        CASE WHEN sheet IS NULL THEN '来源Sheet无法确认，原理号留空' WHEN sel IS NOT NULL THEN NULL WHEN unread THEN '标记数字可见但无法辨认，原理号留空' ELSE '本段无可确认标记编号或完整实际端子，原理号留空' END AS detail FROM s""",
 )
 def x16(t):
-    digit = F.regexp_extract("number", r"([0-9])$", 1)
-    return records(t).where("number <> ''").select("l_orderkey", "l_linenumber", F.concat(digit, F.lit("/"), F.col("l_linenumber").cast("string")).alias("principle"))
+    p = F.col("l_partkey")
+    marks = F.when(p % 4 == 0, "12").when(p % 4 == 1, ""), F.when(F.col("l_suppkey") % 3 == 1, "7")
+    pin = F.when(p % 6 == 0, "-X4:7").when(p % 6 == 1, "pe").when(p % 6 == 2, "").otherwise(" 5")
+    start = ru.full_terminal(pin, F.col("board"), F.col("device"))
+    made = ru.principle_number(*marks, p % 5 == 0, start, F.lit(None).cast("string"), F.col("l_linenumber") - 1)
+    return records(t).select("l_orderkey", "l_linenumber", made.alias("m")).select("l_orderkey", "l_linenumber", "m.*")
 
 
 @query(
     "x36_correction_route",
-    """SELECT event_id, CASE WHEN value < 10 THEN 'apply_rule' WHEN event_type IN ('purchase') THEN 'manual_review' WHEN user_id % 4 >= 2 THEN 'improvement' ELSE 'single_fix' END AS route FROM events""",
+    """WITH f AS (SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'SOURCE_INSUFFICIENT' WHEN 1 THEN 'DIRECT_VALUE_CHANGE' WHEN 2 THEN 'FORMAT_OR_ORDER' WHEN 3 THEN 'PAGE_CLASSIFICATION_ERROR' WHEN 4 THEN 'RECOGNITION_ERROR' ELSE 'MISSING_START' END AS issue,
+        CASE event_id % 3 WHEN 0 THEN 'same_page' WHEN 1 THEN 'cross_page' ELSE 'unknown' END AS state FROM events)
+      SELECT event_id, CASE issue WHEN 'SOURCE_INSUFFICIENT' THEN 'NO_ACTION' WHEN 'DIRECT_VALUE_CHANGE' THEN 'DIRECT_PATCH' WHEN 'FORMAT_OR_ORDER' THEN 'DETERMINISTIC_ONLY' WHEN 'PAGE_CLASSIFICATION_ERROR' THEN 'RERUN_STAGE_1' ELSE 'RERUN_STAGE_2' END AS action,
+        CASE issue WHEN 'SOURCE_INSUFFICIENT' THEN '' WHEN 'DIRECT_VALUE_CHANGE' THEN 'VALIDATION,PROPOSAL' WHEN 'FORMAT_OR_ORDER' THEN 'VALIDATION,PROPOSAL'
+          WHEN 'PAGE_CLASSIFICATION_ERROR' THEN 'PAGE_CLASSIFICATION,PAGE_SCAN,VALIDATION,PROPOSAL' ELSE 'PAGE_SCAN,VALIDATION,PROPOSAL' END AS stages,
+        (CASE WHEN issue IN ('SOURCE_INSUFFICIENT', 'DIRECT_VALUE_CHANGE', 'FORMAT_OR_ORDER') THEN 0 WHEN state = 'same_page' THEN 1 ELSE 2 END)::INT AS calls FROM f""",
 )
 def x36(t):
-    severity = F.when(F.col("event_type") == "purchase", "critical").otherwise("low")
-    return t.events.select("event_id", ru.correction_route(severity, F.col("value") < 10, F.col("user_id") % 4).alias("route"))
+    names = ("SOURCE_INSUFFICIENT", "DIRECT_VALUE_CHANGE", "FORMAT_OR_ORDER", "PAGE_CLASSIFICATION_ERROR", "RECOGNITION_ERROR", "MISSING_START")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    route = ru.correction_route(pick(names, F.col("user_id")), pick(("same_page", "cross_page", "unknown"), F.col("event_id")))
+    made = t.events.select("event_id", route.alias("r"))
+    return made.select("event_id", "r.action", F.array_join("r.stages", ",").alias("stages"), "r.calls")
 
 
 @query(
     "x37_start_identity",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 AND l_suppkey % 2 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN 'XD3' WHEN l_suppkey % 2 = 0 THEN 'XD4' ELSE '' END AS board FROM lineitem""",
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 0 AS q, l_suppkey % 2 = 0 AS b, l_partkey % 3 AS d FROM lineitem)
+      SELECT l_orderkey, l_linenumber, CASE WHEN d = 0 THEN '+ES1' END AS location, CASE WHEN d = 1 THEN 'K1' END AS device, CASE WHEN q THEN 'A:XD3' WHEN b THEN 'XD4' END AS board, '7' AS terminal,
+        q AND b AS conflict, CASE WHEN NOT (q AND b) THEN (q OR b OR d = 1) AND d <> 0 END AS same_without_place FROM f""",
 )
 def x37(t):
-    terminal = F.when(F.col("l_linenumber") % 3 == 0, " xd3 : 7").otherwise("7")
-    board = F.when(F.col("l_suppkey") % 2 == 0, "xd 4")
-    return t.lineitem.select("l_orderkey", "l_linenumber", ru.start_identity(terminal, board)["board"].alias("board"))
+    """Identities, and whether a scan that leaves out the place still is the same start."""
+    p = F.col("l_partkey") % 3
+    r = {
+        "start_terminal": F.when(F.col("l_linenumber") % 3 == 0, " -a:xd3 : 7").otherwise("7"),
+        "start_terminal_board": F.when(F.col("l_suppkey") % 2 == 0, "-xd 4"),
+        "start_code": F.when(p == 0, "+es1").when(p == 1, "-k 1"),
+    }
+    there = ru.start_identity(r)
+    bare = ru.start_identity(r | {"start_code": F.when(p == 1, "K1")})
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", there.alias("i"), ru.same_start(there, bare).alias("same_without_place"))
+    return rows.select("l_orderkey", "l_linenumber", "i.*", "same_without_place")
 
 
 @query(
     "x38_auto_selection",
-    """SELECT event_id, CASE WHEN event_type = 'view' THEN 'unrecognised' WHEN value / 100 < 0.8 THEN 'low_confidence' WHEN user_id % 2 = 0 THEN 'inactive' ELSE 'selected' END AS decision FROM events""",
+    """WITH f AS (SELECT event_id, event_type <> 'view' AS rec, CASE user_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN 'abb' WHEN 2 THEN 'other' END AS k, value / 100 AS c FROM events),
+      g AS (SELECT *, CASE k WHEN 'zh' THEN 'active' WHEN 'abb' THEN 'experimental' END AS s FROM f), h AS (SELECT *, rec AND s IS NOT NULL AS known FROM g)
+      SELECT event_id, CASE WHEN known AND c >= 0.85 AND s = 'active' THEN 'PROFILE_SELECTED' ELSE 'WAITING_INPUT' END AS status, CASE WHEN known THEN k END AS detected,
+        CASE WHEN known AND c >= 0.85 AND s = 'active' THEN k END AS assigned,
+        CASE WHEN known AND c >= 0.85 AND s = 'active' THEN 'model' WHEN known AND s = 'experimental' THEN 'experimental' WHEN known AND c < 0.85 THEN 'low_confidence' WHEN k = 'other' THEN 'unregistered' ELSE 'model' END AS reason FROM h""",
 )
 def x38(t):
-    d = ru.auto_select(F.col("event_type") != "view", F.col("value") / 100, F.col("user_id") % 2 != 0)
-    return t.events.select("event_id", d.alias("decision"))
+    u = F.col("user_id") % 4
+    key = F.when(u == 0, "zh").when(u == 1, "abb").when(u == 2, "other")
+    status = F.when(u == 0, "active").when(u == 1, "experimental")
+    d = ru.auto_select(F.col("event_type") != "view", key, status, F.col("value") / 100)
+    return t.events.select("event_id", d.alias("d")).select("event_id", "d.*")
+
+
+@query(
+    "j20_rescan_score",
+    """WITH b AS (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS id, l_partkey AS no, l_suppkey % 6 AS st, l_linenumber % 4 AS en, l_partkey % 3 AS sc, l_suppkey % 2 AS ec, l_quantity / 50 AS x, l_discount AS y FROM lineitem),
+      w AS (SELECT *, lead(id) OVER o AS id2, lead(no) OVER o AS no2, lead(st) OVER o AS st2, lead(en) OVER o AS en2, lead(sc) OVER o AS sc2, lead(ec) OVER o AS ec2, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM b WINDOW o AS (PARTITION BY page ORDER BY id, no, st, en, x)),
+      p AS (SELECT id, id2, no = no2 AS same_no, (id % 5 = 0 AND id = id2) AS kept,
+        CASE WHEN st > 0 THEN 'X:' || st END AS a1, CASE WHEN en > 0 THEN 'X:' || en END AS a2, CASE WHEN st2 > 0 THEN 'X:' || st2 END AS b1, CASE WHEN en2 > 0 THEN 'X:' || en2 END AS b2,
+        CASE WHEN sc > 0 THEN 'K' || sc END AS c1, CASE WHEN ec > 0 THEN 'K' || ec END AS c2, CASE WHEN sc2 > 0 THEN 'K' || sc2 END AS d1, CASE WHEN ec2 > 0 THEN 'K' || ec2 END AS d2, x, y, x2, y2 FROM w WHERE id2 IS NOT NULL),
+      s AS (SELECT *, CASE WHEN a1 = b1 AND coalesce(c1 = d1, TRUE) THEN CASE WHEN c1 = d1 THEN 80 ELSE 64 END ELSE 0 END AS k11 FROM p)
+      SELECT id, id2, (CASE WHEN same_no THEN 4 ELSE 0 END + CASE WHEN a1 = b1 THEN 2 ELSE 0 END + CASE WHEN a2 = b2 THEN 2 ELSE 0 END + k11
+        + CASE WHEN sqrt((x - x2) ** 2 + (y - y2) ** 2) < 0.025 THEN 5 ELSE 0 END)::INT AS score FROM s""",
+)
+def j20_score(t):
+    """A line against the next of its order: points of starts lie on the page, those of ends on another."""
+    order = Window.partitionBy("page").orderBy("id", "no", "st", "en", "x")
+    base = t.lineitem.select(
+        F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("no"), (F.col("l_suppkey") % 6).alias("st"),
+        (F.col("l_linenumber") % 4).alias("en"), (F.col("l_partkey") % 3).alias("sc"), (F.col("l_suppkey") % 2).alias("ec"), (F.col("l_quantity") / 50).alias("x"), F.col("l_discount").alias("y"),
+    )
+    names = ("id", "no", "st", "en", "sc", "ec", "x", "y")
+    pairs = base.select("*", *[F.lead(c).over(order).alias(f"{c}2") for c in names]).where("id2 is not null")
+
+    def side(n: str) -> dict:
+        col = lambda c: F.col(c + n)
+        named = lambda c, before: F.when(col(c) > 0, F.concat(F.lit(before), col(c).cast("string")))
+        at = lambda page: F.struct(col("x").alias("x"), col("y").alias("y"), page.alias("page"))
+        return {
+            "id": F.lit(None).cast("long"), "page": F.col("page"), "no": col("no"), "start_terminal": named("st", "X:"), "end_terminal": named("en", "X:"),
+            "start_code": named("sc", "K"), "end_code": named("ec", "K"), "start_point": at(F.col("page")), "end_point": at(-F.col("page") - 1),
+        }
+
+    return pairs.select("id", "id2", ru.rescan_score(side(""), side("2")).alias("score"))
 
 
 @query("x39_cross_page_state", f"WITH {_RECORDS} SELECT l_orderkey, l_linenumber, CASE WHEN ref THEN 'cross_page' WHEN et IS NOT NULL THEN 'same_page' ELSE 'unknown' END AS state FROM r")
