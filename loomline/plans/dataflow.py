@@ -34,7 +34,7 @@ def cross_page_tasks(flat: DataFrame, pages: DataFrame) -> DataFrame:
     """(unit, at, target_page, refs): references exploded, those to their own page or outside the atlas dropped, and grouped by the
     page they lead to."""
     refs = flat.select("unit", "source_page", "at", F.explode("references").alias("r")).select("unit", "source_page", "at", "r.page", "r.raw")
-    known = refs.join(F.broadcast(pages), "page").where("page <> source_page")
+    known = refs.join(pages, "page").where("page <> source_page")
     return known.groupBy("unit", "at", F.col("page").alias("target_page")).agg(F.array_sort(F.collect_set("raw")).alias("refs"))
 
 
@@ -96,12 +96,16 @@ def a13(t):
 )
 def p6(t):
     refs = flatten(units(t)).select("unit", "source_page", "no", F.col("references")[0]["page"].alias("ref"))
-    met = refs.join(F.broadcast(atlas(t)), F.col("ref") == F.col("page"), "left")
+    met = refs.join(atlas(t), F.col("ref") == F.col("page"), "left")
     state = F.when(F.col("page").isNull(), "external").when(F.col("page") == F.col("source_page"), "same_page").otherwise("cross_page")
     return met.select("unit", "no", F.col("page").alias("target_page"), state.alias("state"))
 
 
-@query("x22_published_ids")
+@query(
+    "x22_published_ids",
+    """SELECT unit, no, lower(left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1)::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS id
+       FROM (SELECT l_orderkey AS unit, l_linenumber AS no, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(l_orderkey || ':' || l_linenumber)) AS h FROM lineitem)""",
+)
 def x22(t):
     """Deterministic row ids: a name-based UUID of what identifies the row."""
     flat = flatten(units(t))
@@ -137,13 +141,18 @@ def a34(t):
     return groups.agg(F.count("*").alias("ops"), F.min("o_orderkey").alias("first"))
 
 
-@query("a28_a29_a37_canonical_receipts")
+@query(
+    "a28_a29_a37_canonical_receipts",
+    """WITH e AS (SELECT o_orderpriority, o_orderkey::VARCHAR AS k, (o_totalprice * 100)::DECIMAL(30, 6) AS v, substr(md5(o_orderkey::VARCHAR), 1, 3) AS b FROM orders),
+       p AS (SELECT o_orderpriority, b, count(*) AS n, sha256('{' || string_agg('"' || k || '":' || trunc(v)::BIGINT, ',' ORDER BY k) || '}') AS d FROM e GROUP BY 1, 2)
+       SELECT o_orderpriority, sha256(string_agg(d, ',' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM p GROUP BY 1""",
+)
 def a37(t):
     """A map of ids to versions per group, as canonical JSON: keys sorted, numbers without trailing zeros. Its digest is taken in two
     levels: of each bucket of ids, then of the buckets' digests in order, so no row holds a group."""
     key = F.col("o_orderkey").cast("string")
-    entry = F.struct(key.alias("key"), (F.col("o_totalprice") * 100).cast("long").alias("value"))
-    rows = t.orders.select("o_orderpriority", entry.alias("entry"), F.pmod(F.xxhash64(key), F.lit(1024)).alias("b"))
+    entry = F.struct(key.alias("key"), (F.col("o_totalprice") * 100).cast("decimal(30,6)").cast("long").alias("value"))
+    rows = t.orders.select("o_orderpriority", entry.alias("entry"), F.substring(F.md5(key), 1, 3).alias("b"))
     per = rows.groupBy("o_orderpriority", "b").agg(F.array_sort(F.collect_list("entry")).alias("e"))
     parts = per.select("o_orderpriority", "b", F.sha2(F.to_json(F.map_from_entries("e")), 256).alias("d"), F.size("e").alias("n"))
     digest = F.sha2(F.array_join(ag.ordered_list(F.col("d"), F.col("b")), ","), 256)

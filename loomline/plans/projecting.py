@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..registry import ORACLES, query
+from ..registry import query
 
 _CODE = "'=' || lpad((p_partkey % 200)::VARCHAR, 3, '0') || '.' || chr(65 + (p_partkey % 26)::INT)"
 
@@ -81,14 +81,9 @@ def p11(t):
 @query(
     "p12_p14_leaf_paths",
     """SELECT l_orderkey, 'lines[' || (rn - 1) || '].' || f AS path, CASE f WHEN 'part' THEN l_partkey ELSE l_suppkey END::VARCHAR AS value
-       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, unnest(['part', 'supp']) AS f FROM lineitem WHERE l_orderkey % 20 = 0)""",
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, unnest(['part', 'supp']) AS f FROM lineitem)""",
 )
 def p14(t):
-    return leaf_paths(t.lineitem.where("l_orderkey % 20 = 0"))
-
-
-@query("p12_p14_leaf_paths_whole", ORACLES["p12_p14_leaf_paths"].replace(" WHERE l_orderkey % 20 = 0", ""))
-def p14_whole(t):
     return leaf_paths(t.lineitem)
 
 
@@ -142,9 +137,9 @@ def p18(t):
     return t.orders.select("o_orderkey", F.when(has, new).otherwise(F.col("o_orderstatus")).alias("v"))
 
 
-@query("p23_flatten_groups", "SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem WHERE l_orderkey < 200")
+@query("p23_flatten_groups", "SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem")
 def p23(t):
-    return flattened(t.lineitem.where("l_orderkey < 200"))
+    return flattened(t.lineitem)
 
 
 def flattened(lines, ranges: int = 4096):
@@ -162,11 +157,6 @@ def flattened(lines, ranges: int = 4096):
     return placed.select("l_orderkey", (F.col("before") + F.col("i")).alias("place"))
 
 
-@query("p23_flatten_groups_whole", ORACLES["p23_flatten_groups"].replace(" WHERE l_orderkey < 200", ""))
-def p23_whole(t):
-    return flattened(t.lineitem)
-
-
 @query(
     "x1_x2_codes",
     f"SELECT p_partkey, upper(substr({_CODE}, 2)) AS code, regexp_replace(upper(substr({_CODE}, 2)) || '-' || replace(p_type, ' ', '-'), '[^A-Z0-9._-]+', '-', 'g') IS NOT NULL AS safe FROM part",
@@ -199,7 +189,8 @@ def x20(t):
 
 @query(
     "x22_uuid5",
-    None,
+    """SELECT n_nationkey, lower(left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1)::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS id
+       FROM (SELECT n_nationkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('nation:' || n_name)) AS h FROM nation)""",
 )
 def x22(t):
     return t.nation.select("n_nationkey", sc.uuid5(F.concat(F.lit("nation:"), "n_name")).alias("id"))
@@ -218,13 +209,8 @@ def x24(t):
     return t.supplier.select("s_suppkey", sc.name_key(F.col("s_name")).alias("k"))
 
 
-@query("x25_file_names", "SELECT event_id, regexp_replace(trim(props), '[\\\\/:*?\"<>|]+', '_', 'g') AS f FROM events WHERE event_id % 50 = 0")
+@query("x25_file_names", "SELECT event_id, regexp_replace(trim(props), '[\\\\/:*?\"<>|]+', '_', 'g') AS f FROM events")
 def x25(t):
-    return file_names(t.events.where("event_id % 50 = 0"))
-
-
-@query("x25_file_names_whole", ORACLES["x25_file_names"].replace(" WHERE event_id % 50 = 0", ""))
-def x25_whole(t):
     return file_names(t.events)
 
 
@@ -243,13 +229,8 @@ def x28(t):
     return t.events.select("event_id", F.concat_ws(":", m["type"], F.lit("set")).alias("edited"), F.map_contains_key(m, "v").alias("has"))
 
 
-@query("x29_full_matches", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[0-9]+') AND p_size % 2 = 0")
+@query("x29_full_matches", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[0-9]+')")
 def x29(t):
-    return full_matches(t.part.where("p_size % 2 = 0"))
-
-
-@query("x29_full_matches_whole", ORACLES["x29_full_matches"].replace(" AND p_size % 2 = 0", ""))
-def x29_whole(t):
     return full_matches(t.part)
 
 

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline import catalog
-from loomline.llm.chat import op7_chat
 from loomline.plans.projecting import leaf_paths
 from loomline.plans.reconciling import rescan_matches
 
@@ -24,21 +23,21 @@ def test_every_order_is_in_a_receipt(spark, sf_dir, tmp_path):
 
 
 def test_all_groups_are_flattened(spark, sf_dir):
-    got = catalog.QUERIES["p23_flatten_groups_whole"](spark, sf_dir).orderBy("place").collect()
+    got = catalog.QUERIES["p23_flatten_groups"](spark, sf_dir).orderBy("place").collect()
     keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").orderBy("l_orderkey").collect()
     assert [(r.l_orderkey, r.place) for r in got] == [(r.l_orderkey, i) for i, r in enumerate(keys)]
-    plan = catalog.QUERIES["p23_flatten_groups_whole"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.QUERIES["p23_flatten_groups"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
 
 
 def test_all_rows_are_exported(spark, sf_dir):
-    got = catalog.QUERIES["k1_export_columns_whole"](spark, sf_dir)
+    got = catalog.QUERIES["k1_export_columns"](spark, sf_dir)
     assert {c for _, c in got.dtypes} == {"string"}
     assert got.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
 
 
 def test_rescan_matches_all_pages_without_pairs(spark, sf_dir):
-    got = catalog.QUERIES["j20_rescan_match_whole"](spark, sf_dir).selectExpr("id div 10 % 5 AS r").distinct().collect()
+    got = catalog.QUERIES["j20_rescan_match"](spark, sf_dir).selectExpr("id div 10 % 5 AS r").distinct().collect()
     assert sorted(r.r for r in got) == [0, 1, 2, 3, 4]
     # 200,000 old and new rows of one page and number: 4e10 pairs, all tied; id 1 has its own match by both ends
     many = spark.range(10, 200010).selectExpr("id", "1L AS page", "5L AS no", "id AS st", "1 AS en")
@@ -48,8 +47,8 @@ def test_rescan_matches_all_pages_without_pairs(spark, sf_dir):
 
 
 @pytest.mark.parametrize("name, table, key", [
-    ("x25_file_names_whole", "events", "event_id"), ("p12_p14_leaf_paths_whole", "lineitem", "l_orderkey"), ("a3_ordered_json_whole", "lineitem", "l_orderkey"),
-    ("s8_unnest_object_whole", "events", "event_id"), ("j3_lateral_unnest_whole", "events", "event_id"), ("x29_full_matches_whole", "part", "p_partkey"),
+    ("x25_file_names", "events", "event_id"), ("p12_p14_leaf_paths", "lineitem", "l_orderkey"), ("a3_ordered_json", "lineitem", "l_orderkey"),
+    ("s8_unnest_object", "events", "event_id"), ("j3_lateral_unnest", "events", "event_id"), ("x29_full_matches", "part", "p_partkey"),
 ])
 def test_no_key_is_left_out(spark, sf_dir, name, table, key):
     got = catalog.QUERIES[name](spark, sf_dir).select(key).distinct()
@@ -69,11 +68,3 @@ def test_ignored_keys_have_no_paths(spark, sf_dir):
     assert last(leaf_paths(lines, ())) == {"line", "part", "supp"}
     assert last(leaf_paths(lines)) == {"part", "supp"}
     assert last(leaf_paths(lines, ("line", "supp"))) == {"part"}
-
-
-def test_op7_keeps_turns_of_any_length(spark, tmp_path):
-    n = 21_000_000  # above the longest string that Spark's JSON parser takes
-    rows = spark.range(2).selectExpr("7L AS conv_id", "id AS turn", "'assistant' AS role", f"if(id = 1, repeat('a', {n}), 'b') AS text")
-    rows.write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: r for r in op7_chat(spark, str(tmp_path)).collect()}
-    assert (got[7].n_turns, got[7].loss_chars, got[-1].n_turns) == (2, n + 1, 2)
