@@ -278,10 +278,21 @@ def a38(t):
 
 @query(
     "a39_merge_by_target",
-    """SELECT l_partkey, count(*) AS ops, count(DISTINCT l_returnflag) > 1 AS conflict FROM lineitem GROUP BY 1""",
+    """SELECT l_partkey, count(*) AS ops, count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') > 1 OR count(DISTINCT l_linestatus) FILTER (l_linestatus <> 'O') > 1 AS conflict,
+         CASE WHEN count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') <= 1 THEN coalesce(max(l_returnflag) FILTER (l_returnflag <> 'N'), 'N') END AS flag,
+         CASE WHEN count(DISTINCT l_linestatus) FILTER (l_linestatus <> 'O') <= 1 THEN coalesce(max(l_linestatus) FILTER (l_linestatus <> 'O'), 'O') END AS status FROM lineitem GROUP BY 1""",
 )
 def a39(t):
-    return t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("ops"), (F.count_distinct("l_returnflag") > 1).alias("conflict"))
+    """Corrections of one target become one: a field takes the value that some correction changes it to; two such values conflict.
+    Before them flags are N and states O. A lowest and a highest value are all that has to be kept of a field."""
+    merged = t.lineitem.groupBy("l_partkey")
+    changed = lambda c, before: F.nullif(F.col(c), F.lit(before))
+    fields = {"flag": ("l_returnflag", "N"), "status": ("l_linestatus", "O")}
+    ends = [x for name, how in fields.items() for x in (F.min(changed(*how)).alias(f"{name}_low"), F.max(changed(*how)).alias(f"{name}_high"))]
+    rows = merged.agg(F.count("*").alias("ops"), *ends)
+    differ = lambda name: F.coalesce(F.col(f"{name}_low") != F.col(f"{name}_high"), F.lit(False))
+    value = lambda name: F.when(~differ(name), F.coalesce(f"{name}_low", F.lit(fields[name][1])))
+    return rows.select("l_partkey", "ops", (differ("flag") | differ("status")).alias("conflict"), *[value(name).alias(name) for name in fields])
 
 
 @query(

@@ -49,10 +49,21 @@ def k9(t):
 
 @query(
     "k11_sealed_manifest",
-    "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1",
+    """WITH e AS (SELECT o_orderstatus, o_orderkey::VARCHAR AS k, o_totalprice >= 1000 AS done, substr(md5(o_orderkey::VARCHAR), 1, 3) AS b FROM orders),
+       p AS (SELECT o_orderstatus, b, count(*) AS n, count(*) FILTER (done) AS c, sha256(string_agg(k, ',' ORDER BY k)) AS d FROM e GROUP BY 1, 2)
+       SELECT o_orderstatus, sum(n)::BIGINT AS expected, sum(c)::BIGINT AS completed, sum(n - c)::BIGINT AS skipped, sha256(string_agg(d, ',' ORDER BY b)) AS ids_digest FROM p GROUP BY 1""",
 )
 def k11(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    """Per stage what was expected, done and skipped, and a digest of the ids, in two levels so that no row holds a stage."""
+    key = F.col("o_orderkey").cast("string")
+    rows = t.orders.select("o_orderstatus", key.alias("k"), (F.col("o_totalprice") >= 1000).alias("done"), F.substring(F.md5(key), 1, 3).alias("b"))
+    parts = rows.groupBy("o_orderstatus", "b").agg(
+        F.count("*").alias("n"), F.count_if("done").alias("c"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("d")
+    )
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256)
+    return parts.groupBy("o_orderstatus").agg(
+        F.sum("n").alias("expected"), F.sum("c").alias("completed"), F.sum(F.col("n") - F.col("c")).alias("skipped"), digest.alias("ids_digest")
+    )
 
 
 @query(

@@ -134,11 +134,14 @@ def p8(t):
 
 @query(
     "a34_operation_groups",
-    "SELECT o_custkey % 20 AS ws, o_orderpriority AS k, count(*) AS ops, min(o_orderkey) AS first FROM orders GROUP BY 1, 2",
+    """SELECT o_custkey AS ws, o_orderpriority AS k, count(*) AS ops, string_agg(CASE WHEN o_orderstatus = 'F' THEN 'remove' ELSE 'add' END || ' ' || o_orderkey, ',' ORDER BY o_orderkey) AS operations
+       FROM orders GROUP BY 1, 2""",
 )
 def a34(t):
-    groups = t.orders.groupBy((F.col("o_custkey") % 20).alias("ws"), F.col("o_orderpriority").alias("k"))
-    return groups.agg(F.count("*").alias("ops"), F.min("o_orderkey").alias("first"))
+    """Operations of one workspace and logical key are a unit, in order."""
+    what = F.concat(F.when(F.col("o_orderstatus") == "F", "remove ").otherwise("add "), F.col("o_orderkey").cast("string"))
+    units_ = t.orders.groupBy(F.col("o_custkey").alias("ws"), F.col("o_orderpriority").alias("k"))
+    return units_.agg(F.count("*").alias("ops"), F.array_join(ag.ordered_list(what, F.col("o_orderkey")), ",").alias("operations"))
 
 
 @query(

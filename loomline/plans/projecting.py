@@ -159,12 +159,12 @@ def flattened(lines, ranges: int = 4096):
 
 @query(
     "x1_x2_codes",
-    f"SELECT p_partkey, upper(substr({_CODE}, 2)) AS code, regexp_replace(upper(substr({_CODE}, 2)) || '-' || replace(p_type, ' ', '-'), '[^A-Z0-9._-]+', '-', 'g') IS NOT NULL AS safe FROM part",
+    f"SELECT p_partkey, upper(substr({_CODE}, 2)) AS code, regexp_replace(upper(substr({_CODE}, 2)) || '-' || replace(p_type, ' ', '-'), '[^A-Z0-9._-]+', '-', 'g') AS slug FROM part",
 )
 def x1(t):
     rows = coded(t)
     slug = sc.folder_slug(F.concat(F.lit("="), "code", F.lit(" "), "p_type"))
-    return rows.select("p_partkey", sc.function_code(F.col("code")).alias("code"), (~slug.rlike("[^A-Z0-9._-]")).alias("safe"))
+    return rows.select("p_partkey", sc.function_code(F.col("code")).alias("code"), slug.alias("slug"))
 
 
 @query(
@@ -248,7 +248,10 @@ def x31(t):
     return t.orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 120 seconds") < F.to_timestamp(F.lit("1997-01-01"))).alias("expired"))
 
 
-@query("x32_signatures")
+@query(
+    "x32_signatures",
+    """SELECT s_suppkey, sha256('{"s_name":"' || s_name || '","s_nationkey":' || coalesce(nullif(s_nationkey, 3)::VARCHAR, 'null') || '}') AS signature FROM supplier""",
+)
 def x32(t):
     """Digest of an endpoint's fields, nulls kept, coordinates left out."""
-    return t.supplier.select("s_suppkey", sc.row_digest(F.col("s_name"), F.nullif("s_nationkey", F.lit(3))).alias("signature"))
+    return t.supplier.select("s_suppkey", sc.row_digest(F.col("s_name"), F.nullif("s_nationkey", F.lit(3)).alias("s_nationkey")).alias("signature"))

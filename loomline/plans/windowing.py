@@ -103,3 +103,8 @@ def w13(t):
 def w15(t):
     """Versions compare as text here, so 9 is above 10."""
     return wn.latest(t.part, ["p_brand"], F.col("p_size").cast("string").desc(), F.col("p_partkey").desc()).select("p_brand", "p_partkey")
+
+
+@query("w4_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders")
+def w4(t):
+    return t.orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("n"))

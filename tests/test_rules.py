@@ -1,11 +1,14 @@
 """Rules and operators on hand-built rows."""
 
+import hashlib
+import json
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import dialects as dl
+from loomline.functions import json_text as jt
 from loomline.functions import rules as ru
 from loomline.functions import scalars as sc
 from loomline.operators import aggregates as ag
@@ -13,6 +16,7 @@ from loomline.operators import changes as ch
 from loomline.operators import filters as fl
 from loomline.operators import joins as jn
 from loomline.operators import windows as wn
+from loomline.plans import artifacts as ar
 from loomline.plans.reconciling import reconcile
 from loomline.sources import tables
 
@@ -136,3 +140,118 @@ def test_sources(spark, tmp_path):
     tables.write_units(df.where("k = 1").withColumnRenamed("k", "unit_id"), str(tmp_path / "u"))
     tables.write_sheet(df.where("k = 1"), str(tmp_path / "s"))
     assert spark.read.option("header", True).csv(str(tmp_path / "s")).first()["t"] == "x"
+
+
+def review(spark, phase="final", strict=True, **given):
+    record = {"endpoint_role": "source", "direction_basis": "arrow", "line_number": "1", "start_terminal": "X1:1", "end_terminal": "X2:1", "completion_state": None} | given
+    names = ("endpoint_role direction_basis line_number start_terminal end_terminal start_device end_device start_terminal_board end_terminal_board completion_state").split()
+    row = {n: F.lit(record.get(n)).cast("string") for n in names}
+    row["has_evidence"] = F.lit(record.get("evidence", True))
+    lists = {"references": ("reason", "array<struct<reason: string>>"), "uncertainties": ("field,detail", "array<struct<field: string, detail: string>>"), "warnings": (None, "array<string>")}
+    for name, (_, kind) in lists.items():
+        row[name] = F.from_json(F.lit(json.dumps(record.get(name))), kind) if record.get(name) is not None else F.lit(None).cast(kind)
+    return [(r.code, r.field) for r in spark.range(1).select(ru.review_reasons(row, phase, strict).alias("r")).first().r]
+
+
+def test_review_reasons(spark):
+    assert review(spark) == []
+    waiting = {"end_terminal": None, "references": [{"reason": None}], "uncertainties": [{"field": "end", "detail": "x"}, {"field": "start", "detail": ""}]}
+    assert review(spark, "scan", False, **waiting) == [("visual_uncertainty", "start")]
+    assert review(spark, **waiting) == [("missing_end_terminal", "end_terminal"), ("visual_uncertainty", "end"), ("visual_uncertainty", "start")]
+    assert review(spark, completion_state="conflicting") == [("target_conflict", "end")]
+    assert review(spark, completion_state="resolved", evidence=False) == [("completion_evidence_missing", "end")]
+    assert review(spark, strict=False, completion_state="resolved", evidence=False) == []
+    assert review(spark, end_terminal=" ", references=[{"reason": "external"}, {"reason": ""}]) == [("missing_end_terminal", "end_terminal")]
+    assert review(spark, end_terminal=None, references=[{"reason": "external"}, {"reason": "external"}]) == [("missing_end_terminal", "end_terminal"), ("reference_unresolved", "references")]
+    assert review(spark, direction_basis=" ", warnings=["w", "w"]) == [("direction_unconfirmed", "direction"), ("profile_validation", None)]
+    assert review(spark, start_terminal="I1.2", end_terminal="7") == [
+        ("non_physical_terminal", "start_terminal"), ("endpoint_identity_incomplete", "start"), ("endpoint_identity_incomplete", "end")
+    ]
+    assert review(spark, start_terminal="*", end_terminal="*", line_number="spare") == []
+    assert review(spark, end_terminal="7", end_device="-K1") == [] and review(spark, end_terminal="pe-bar") == []
+
+
+@pytest.mark.parametrize(
+    ("issue", "state", "want"),
+    [
+        ("DIRECT_VALUE_CHANGE", "same_page", ("DIRECT_PATCH", 2, 0)), ("FORMAT_OR_ORDER", "same_page", ("DETERMINISTIC_ONLY", 2, 0)), ("SOURCE_INSUFFICIENT", "cross_page", ("NO_ACTION", 0, 0)),
+        ("RECOGNITION_ERROR", "same_page", ("RERUN_STAGE_2", 3, 1)), ("RECOGNITION_ERROR", "cross_page", ("RERUN_STAGE_2", 3, 2)), ("MISSING_START", "unknown", ("RERUN_STAGE_2", 3, 2)),
+        ("PAGE_CLASSIFICATION_ERROR", "same_page", ("RERUN_STAGE_1", 4, 1)), ("PAGE_CLASSIFICATION_ERROR", "unknown", ("RERUN_STAGE_1", 4, 2)),
+    ],
+)
+def test_correction_routes(spark, issue, state, want):
+    got = one(spark, ru.correction_route(F.col("i"), F.col("s")), i=issue, s=state)
+    assert (got.action, len(got.stages), got.calls) == want
+
+
+def test_start_identities(spark):
+    def identity(**r):
+        return ru.start_identity({k: F.lit(v).cast("string") for k, v in r.items()})
+
+    def same(a, b):
+        return spark.range(1).select(ru.same_start(identity(**a), identity(**b)).alias("x")).first().x
+
+    plain = spark.range(1).select(identity(start_code="+es 1", device="-k1", start_terminal="- xd 3:4:7").alias("i")).first().i
+    assert tuple(plain) == ("+ES1", "K1", "XD3:4", "7", False)
+    assert spark.range(1).select(identity(start_terminal="XD3:7", start_terminal_board="XD4").alias("i")).first().i.conflict
+    whole = {"start_location": "+A", "start_device": "-K1", "start_terminal": "7"}
+    assert same(whole, whole | {"start_device": "k1"}) and not same(whole, whole | {"start_device": "K2"}) and not same(whole, whole | {"start_location": "+B"})
+    assert not same(whole, {"start_device": "K1", "start_terminal": "7"})  # a known place is not left out
+    assert same({"start_device": "K1", "start_terminal": "7"}, whole)
+    assert same({"start_terminal": "XD3:0"}, {"start_terminal_board": "-XD3", "start_terminal": "0"})
+    assert not same({"start_terminal": "7"}, {"start_terminal": "7"}) and same({"start_terminal": "X1:7", "start_terminal_board": "X2"}, whole) is None
+
+
+def test_principle_numbers(spark):
+    def number(start_mark, end_mark, unreadable, terminal, board, sheet):
+        full = ru.full_terminal(F.lit(terminal).cast("string"), F.lit(board).cast("string"), F.lit(None).cast("string"))
+        got = ru.principle_number(F.lit(start_mark).cast("string"), F.lit(end_mark).cast("string"), F.lit(unreadable), full, F.lit(None).cast("string"), F.lit(sheet).cast("int"))
+        return tuple(spark.range(1).select(got.alias("x")).first().x)[:3]
+
+    assert number("12", "7", False, None, None, 5) == ("125", "start_marker", None)
+    assert number(None, "7", False, "9", "X1", 5) == ("75", "end_marker", None)
+    assert number(None, None, False, "-9", "-X1", 5) == ("X1:95", "actual_terminal", None)
+    assert number(None, None, True, "9", "X1", 5) == (None, "end_marker", "connection")
+    assert number(None, None, False, "L1", "X1", 5) == (None, "actual_terminal", "connection")
+    assert number("12", None, False, None, None, None) == (None, "start_marker", "page")
+
+
+def test_rescan_scores(spark):
+    point = lambda x, page: F.struct(F.lit(x).alias("x"), F.lit(0.5).alias("y"), F.lit(page).alias("page"))
+
+    def row(id=None, page=1, no=None, a=None, b=None, ac=None, bc=None, ax=0.1, bx=0.9, ap=1, bp=1):
+        text = lambda v: F.lit(v).cast("string")
+        return {"id": text(id), "page": F.lit(page), "no": text(no), "start_terminal": text(a), "end_terminal": text(b), "start_code": text(ac), "end_code": text(bc), "start_point": point(ax, ap), "end_point": point(bx, bp)}
+
+    def score(old, new):
+        return spark.range(1).select(ru.rescan_score(old, new).alias("x")).first().x
+
+    assert score(row(id="r", no="1"), row(id="r", no="2")) == 10000 and score(row(id="r"), row(id="r", page=2)) == 0
+    assert score(row(no="1", ax=0.1, bx=0.9), row(no="1", ax=0.3, bx=0.6)) == 4
+    assert score(row(a="X1:1", ac="K1"), row(b="X1:1", bc="K1", ax=0.3, bx=0.6)) == 80  # the same pin in the other role
+    assert score(row(a="X1:1", ac="K1"), row(b="X1:1", bc="K2", ax=0.3, bx=0.6)) == 0
+    assert score(row(a="X1:1"), row(a="X1:1", ax=0.3, bx=0.6, ap=2)) == 2  # not on its page: no anchor
+    assert score(row(ax=0.1, bx=0.9), row(ax=0.5, bx=0.124)) == 5 and score(row(ax=0.1, bx=0.9), row(ax=0.5, bx=0.126)) == 0
+
+
+def test_json_texts():
+    assert jt.canonical('{"b": 1.50, "a": [-0.0, 1e3, "\\u00e9\\n", null], "b": 2}') == '{"a":[0,1000,"é\\n",null],"b":2}'
+    assert jt.without_fields('{"status": 1, "x": [{"needs_review": true, "y": {}}], "required": ["status", "y"]}') == '{"x":[{"y":{}}],"required":["y"]}'
+    assert jt.canonical(None) is None and jt.without_fields(None) is None
+
+
+def test_fingerprints(spark):
+    said = 'a "b" \\ / é\n\t'
+    made = jt.request_fingerprint(F.lit("m"), F.array(F.struct(F.lit("user").alias("role"), F.lit(said).alias("content"))), F.lit(0.5), F.lit(None), F.lit(False), F.lit(True))
+    request = {"model": "m", "messages": [{"role": "user", "content": said}], "temperature": 0.5, "max_tokens": None, "json_mode": False, "thinking": True}
+    want = hashlib.sha256(json.dumps(request, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert spark.range(1).select(made.alias("x")).first().x == want
+
+
+def test_evaluation_metrics(spark):
+    cases = "g string, kind string, valid boolean, failed boolean, cost long, duration long, right long, predicted long, expected long"
+    rows = [("a", "target", True, False, 1, 5, 2, 2, 2), ("a", "target", True, False, 1, 6, 1, 2, 2), ("a", "negative", True, False, 1, 7, 0, 3, 0), ("a", "protected", False, False, 1, 8, 1, 1, 1), ("b", "negative", True, False, 0, 1, 0, 0, 0)]
+    got = {r.g: r for r in ar.metrics(spark.createDataFrame(rows, cases), "g").collect()}
+    a, b = got["a"], got["b"]
+    assert (a.total, a.passed, a.target_pass_rate, a.protected_regressions, a.negative_hallucinations, a.schema_valid_rate) == (4, 1, 0.5, 1, 1, 0.75)
+    assert (a.field_precision, a.field_recall, a.cost, a.p95) == (0.5, 0.8, 4, 8) and (b.passed, b.target_pass_rate, b.field_precision, b.field_recall) == (1, 1, 1, 1)
