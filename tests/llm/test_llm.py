@@ -612,6 +612,14 @@ def test_chat_long_texts(spark):
         assert (got[c].n_turns, got[c].loss_chars) == (1, len(text)) and got[c].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_op7_keeps_turns_of_any_length(spark, tmp_path):
+    n = 21_000_000  # above the longest string that Spark's JSON parser takes
+    rows = spark.range(2).selectExpr("7L AS conv_id", "id AS turn", "'assistant' AS role", f"if(id = 1, repeat('a', {n}), 'b') AS text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in chat.op7_chat(spark, str(tmp_path)).collect()}
+    assert (got[7].n_turns, got[7].loss_chars, got[-1].n_turns) == (2, n + 1, 2)
+
+
 def test_chat_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}]},
