@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 @query("t5_t9_event_tail", "SELECT event_id, user_id, event_type FROM events")
 def event_tail(t):
-    """All events through a stream, each once."""
+    """All events through a stream that reads each file once; `unique_events` is for senders that repeat themselves."""
     static = t.events
     stream = event_stream(t.spark, f"{t.folder}/events.parquet*", static.schema)
     return run_to_end(stream.select("event_id", "user_id", "event_type"), shared_folder(t.spark))
