@@ -68,16 +68,19 @@ def k11(t):
 
 @query(
     "k12_versioned_commit",
-    """SELECT 'unit' AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'connection', count(*) FROM lineitem UNION ALL SELECT 'evidence', count(*) * 2 FROM lineitem""",
+    """SELECT 'unit' AS kind, l_orderkey AS unit, NULL::INT AS no, NULL::BIGINT AS evidence FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'connection', l_orderkey, l_linenumber, NULL FROM lineitem
+       UNION ALL SELECT 'evidence', l_orderkey, l_linenumber, unnest([l_partkey, l_suppkey]) FROM lineitem""",
 )
 def k12(t):
-    """One nested result fanned out into three tables; their sizes are shown."""
+    """One nested result fanned out into the rows of three tables."""
     from .dataflow import flatten
 
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("unit")).agg(F.collect_list(F.struct("l_linenumber", F.array("l_partkey", "l_suppkey").alias("references"))).alias("connections"))
     flat = flatten(lines.withColumn("source_page", F.lit(0)))
-    size = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
-    return size(lines, "unit").union(size(flat, "connection")).union(size(flat.select(F.explode("references")), "evidence"))
+    no, none = F.col("l_linenumber").alias("no"), lambda kind, name: F.lit(None).cast(kind).alias(name)
+    units = lines.select(F.lit("unit").alias("kind"), "unit", none("int", "no"), none("long", "evidence"))
+    connections = flat.select(F.lit("connection").alias("kind"), "unit", no, none("long", "evidence"))
+    return units.unionByName(connections).unionByName(flat.select(F.lit("evidence").alias("kind"), "unit", no, F.explode("references").alias("evidence")))
 
 
 @query(
@@ -102,10 +105,21 @@ def t10(t):
     return ch.conflicts(now, expected, ["k"])
 
 
-@query("t12_failed_pages", "SELECT event_id, CASE WHEN value > 90 THEN 'failed' ELSE 'done' END AS state FROM events")
+@query(
+    "t12_failed_pages",
+    """SELECT event_id, CASE WHEN value > 90 THEN 'scan_failed' ELSE 'scan' END AS stage, CASE WHEN value > 90 THEN 'failed' ELSE 'scanned' END AS page_state, CASE WHEN value > 90 THEN 'PAGE_SCAN_FAILED' END AS code,
+              CASE WHEN value > 90 THEN 'PDF第' || event_id || '页初扫失败，已记录；继续处理后续页面。' END AS message FROM events""",
+)
 def t12(t):
-    """A failure is a row, and the others go on."""
-    return t.events.select("event_id", F.when(F.col("value") > 90, "failed").otherwise("done").alias("state"))
+    """A page whose scan fails is a step with its error, and the others go on."""
+    failed, page = F.col("value") > 90, F.col("event_id")
+    return t.events.select(
+        page,
+        F.when(failed, "scan_failed").otherwise("scan").alias("stage"),
+        F.when(failed, "failed").otherwise("scanned").alias("page_state"),
+        F.when(failed, "PAGE_SCAN_FAILED").alias("code"),
+        F.when(failed, F.concat(F.lit("PDF第"), page.cast("string"), F.lit("页初扫失败，已记录；继续处理后续页面。"))).alias("message"),
+    )
 
 
 @query("t13_unexpired", "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 24 HOUR >= TIMESTAMP '1998-01-01'")

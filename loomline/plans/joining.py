@@ -103,22 +103,6 @@ def j8(t):
     return jn.first_candidate(rows, lookup, ["n_nationkey", "n_regionkey"], "k", "r_name").select("n_nationkey", "r_name")
 
 
-@query(
-    "j9_literal_reference",
-    """SELECT p_partkey, b FROM (
-         SELECT p_partkey, s.p_type AS b, row_number() OVER (PARTITION BY p_partkey ORDER BY s.p_type) AS rn
-         FROM part JOIN (SELECT DISTINCT p_size, p_type FROM part) s ON part.p_size = s.p_size
-         AND (contains(part.p_type, left(s.p_type, 8)) OR contains(left(s.p_type, 8), part.p_type))) WHERE rn = 1""",
-)
-def j9(t):
-    """Equal or either containing the other, on the same page; the first in order wins. The page is an equi-key, so the text
-    test runs inside a page only."""
-    seen = t.part.select("p_size", F.col("p_type").alias("b")).distinct()
-    short = F.substring("b", 1, 8)
-    met = t.part.select("p_partkey", "p_size", "p_type").join(seen, "p_size").where(F.col("p_type").contains(short) | short.contains(F.col("p_type")))
-    return met.groupBy("p_partkey").agg(F.min("b").alias("b"))
-
-
 @query(
     "j10_unique_lookup",
     """SELECT o_orderkey, CASE WHEN m = 1 THEN k END AS l_suppkey, coalesce(m, 0) AS matches FROM orders

@@ -30,11 +30,11 @@ def x3(t):
     return parsed.select("l_orderkey", "l_linenumber", "a.function", "a.page", F.col("a.column").alias("col"), "a.object")
 
 
-@query("x3_ambiguous_addresses", "SELECT count(*) AS n FROM lineitem WHERE false")
+@query("x3_ambiguous_addresses", "SELECT l_orderkey, l_linenumber, l_partkey % 2 = 1 AS named FROM lineitem")
 def x3b(t):
-    """Two addresses in one reference name nothing; the count is of what was named."""
-    twice = addressed(t).select(F.concat_ws(" ", "raw", "raw").alias("r"))
-    return twice.where(dl.parse_address(F.col("r"), F.lit("082.R")).isNotNull()).agg(F.count("*").alias("n"))
+    """Two addresses in one reference name nothing, one does."""
+    raw = F.when(F.col("l_partkey") % 2 == 0, F.concat_ws(" ", "raw", "raw")).otherwise(F.col("raw"))
+    return addressed(t).select("l_orderkey", "l_linenumber", dl.parse_address(raw, F.lit("082.R")).isNotNull().alias("named"))
 
 
 @query(

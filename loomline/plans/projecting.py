@@ -16,20 +16,6 @@ def coded(t):
     return t.part.withColumn("code", F.concat(F.lit("="), F.lpad((F.col("p_partkey") % 200).cast("string"), 3, "0"), F.lit("."), letter))
 
 
-@query(
-    "p1_canonical_projection",
-    f"""SELECT p_partkey, coalesce(nullif(trim(nullif(p_brand, 'Brand#1')), ''), p_type) AS device,
-              replace(upper(substr({_CODE}, 2)), '.', '') || printf('%02d', p_size) AS page FROM part""",
-)
-def p1(t):
-    rows = coded(t)
-    return rows.select(
-        "p_partkey",
-        sc.first_filled(F.nullif("p_brand", F.lit("Brand#1")), F.col("p_type")).alias("device"),
-        sc.page_label(sc.function_code(F.col("code")), F.col("p_size")).alias("page"),
-    )
-
-
 @query(
     "p2_json_rendering",
     "SELECT vec_id, CASE WHEN label >= 0 THEN '{\"label\":' || label || '}' END AS point FROM embeddings",
@@ -38,11 +24,6 @@ def p2(t):
     return t.embeddings.select("vec_id", F.when(F.col("label") >= 0, F.to_json(F.struct("label"))).alias("point"))
 
 
-@query("p3_read_model", "SELECT doc_id, coalesce(nullif(lang, 'en'), '未分类') AS lang, coalesce(n_chars, 0) AS n FROM documents")
-def p3(t):
-    return t.documents.select("doc_id", F.coalesce(F.nullif("lang", F.lit("en")), F.lit("未分类")).alias("lang"), F.coalesce("n_chars", F.lit(0)).alias("n"))
-
-
 @query("p4_json_projection", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v FROM events")
 def p4(t):
     keys = F.json_object_keys("props")
@@ -55,12 +36,6 @@ def p7(t):
     return coded(t).select("p_partkey", sc.drawing_label(sc.function_code(F.col("code")), page).alias("label"))
 
 
-@query("p9_fallback_chain", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), nullif(left(o_orderpriority, 1), '1'), 'none') AS status FROM orders")
-def p9(t):
-    status = sc.first_filled(F.nullif("o_orderstatus", F.lit("O")), F.nullif(F.substring("o_orderpriority", 1, 1), F.lit("1")), F.lit("none"))
-    return t.orders.select("o_orderkey", status.alias("status"))
-
-
 @query(
     "p10_evidence_rows",
     """SELECT o_orderkey, l_suppkey AS page, CASE WHEN l_suppkey = o_custkey THEN 'source' WHEN l_linenumber = 1 THEN 'target' ELSE 'other' END AS kind
