@@ -156,6 +156,17 @@ def s22(t):
     return drawn.orderBy("page_id")
 
 
-@query("s23_draft_store", "SELECT doc_id FROM documents WHERE source = 'src1' ORDER BY n_chars DESC, doc_id LIMIT 30")
+@query(
+    "s23_draft_store",
+    """SELECT 'draft' AS kind, o_custkey AS of_, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders WHERE o_orderstatus <> 'F' QUALIFY place <= 100
+       UNION ALL SELECT 'proposal', user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS p FROM events WHERE event_type = 'view' QUALIFY p <= 30
+       UNION ALL SELECT 'turn', user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 8)""",
+)
 def s23(t):
-    return t.documents.where("source = 'src1'").orderBy(F.desc("n_chars"), "doc_id").limit(30).select("doc_id")
+    """Drafts of each owner that aren't deleted, newest first, at most 100; proposals of each draft, newest first, at most 30; the last 8
+    turns of each, oldest first. The limits reach the rows before the shuffle."""
+    newest = lambda df, of, item, n: df.select(F.col(of).alias("of_"), F.col(item).alias("item")).withColumn("place", F.row_number().over(Window.partitionBy("of_").orderBy(F.desc("item")))).where(f"place <= {n}")
+    drafts, proposals = newest(t.orders.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey", 100), newest(t.events.where("event_type = 'view'"), "user_id", "event_id", 30)
+    turns = newest(t.events, "user_id", "event_id", 8).withColumn("place", F.row_number().over(Window.partitionBy("of_").orderBy("item")))
+    named = [df.select(F.lit(kind).alias("kind"), "of_", "item", F.col("place").cast("long")) for kind, df in (("draft", drafts), ("proposal", proposals), ("turn", turns))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
