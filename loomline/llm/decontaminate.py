@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_name, pin
+from .scratch import free_name, pin, small_batches
 
 WINDOW = 10
 MAX_ITEM_WORDS = 250_000
@@ -265,6 +265,7 @@ def found_in(
     """What the items hit of each text: a column struct<n, spans, items> where the items are one part, with the `text` less
     its hit spans if asked; else, written part by part, a table (key, spans, items) of the texts that are hit, `key` their SHA-256."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
 
     def scan(part, cutting=False):
         held = context.broadcast(build_automaton(part, window))

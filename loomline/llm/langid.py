@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_name, pin
+from .scratch import free_name, pin, small_batches
 from .wordhash import U64, mix64
 
 ORDERS = (3, 4)
@@ -173,6 +173,7 @@ def fit(
 ) -> LanguageFilters:
     """Learn from rows with a text and a language. At most about `max_docs` of each language are read, by a hash of the id.
     More than `max_languages` values are taken for a column that doesn't hold languages, and refused; none is dropped."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")
     ).where("lang is not null and text is not null")
@@ -206,6 +207,7 @@ def fit(
 
 def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
     """`docs` with a struct of (lang_pred, score), named `language` or, beside such a column, `language_`."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import pin, release
+from .scratch import pin, release, small_batches
 from .wordhash import SPACED, U64, hashes_of, mix64
 
 BUCKET_BITS = 7
@@ -344,6 +344,7 @@ def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """A row per document: (doc_id, text_hash, n_shingles, component_id, kept)."""
+    small_batches(docs.sparkSession)
     made = pin(sketches(docs, id_col, text_col, k), "sketches")
     nodes = pin(
         made.where("n_shingles > 0 and doc_id is not null")

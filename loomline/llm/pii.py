@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -319,6 +321,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 }
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = "array<struct<kind: string, start: long, end: long>>"
     found = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInPandas(
@@ -334,6 +337,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
+    small_batches(docs.sparkSession)
     made = docs.withColumn("__text", cleaned(F.col(f"`{text_col}`")))
     changed = ~F.col("__text").eqNullSafe(F.col(f"`{text_col}`"))
     columns = []

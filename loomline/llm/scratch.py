@@ -7,6 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts that a Python worker holds at once; the session's limit on a batch's bytes holds beside it.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's rows per Arrow batch to BATCH_ROWS, unless the session sets them itself. The plan alone changes by it: a
+    batch is held in the executor, in its worker and once more as Python strings."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`. Where it is unset a temporary folder that it is set to, on one machine only."""
