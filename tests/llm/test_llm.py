@@ -848,3 +848,16 @@ def test_pipeline(spark, sf_dir):
             assert out.columns == columns
             docs = spark.createDataFrame(after, out.schema)
     assert cp.run(spark, sf_dir).count() == len(after)
+
+
+def test_batches_keep_the_sessions_own_rows(spark):
+    from loomline.llm import scratch
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    scratch.small_batches(spark)
+    assert spark.conf.get(key) == str(scratch.BATCH_ROWS)
+    spark.conf.set(key, 77)
+    scratch.small_batches(spark)
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)
