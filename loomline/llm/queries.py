@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, neardup, pii, suffixdedup, toxicity, warc, winnow
+from . import align, chat, decontaminate, langid, merkle, mixing, neardup, packing, pii, suffixdedup, toxicity, warc, winnow
 
 QUERIES = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_winnowing": winnow.op8_winnowing,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "op11_align": align.op11_align,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLES = {
@@ -24,4 +27,5 @@ ORACLES = {
     "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }

@@ -20,14 +20,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`. Where it is unset a temporary folder that it is set to, on one machine only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's `spark.checkpoint.dir`, or the checkpoint folder set on its context. Where neither is, a temporary folder that
+    the application keeps, on one machine only: a core setting can't be changed in a running session, so it is set on the context."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomline-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
