@@ -94,13 +94,13 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
     need = exact + 0.01 * (np.arange(m) * 0.618 % 1)  # no two ratios tie, so a round seldom enters a column at nothing
     columns = _first_patterns(lengths, need, capacity)
     cost = np.array([padded(int(lengths @ c), capacity) for c in columns.T], float)
-    inverse = np.linalg.inv(columns)
-    used = np.maximum(inverse @ need, 0)
+    inverse = _inverted(columns)
+    used = np.maximum((inverse * need).sum(1), 0)
+    dual = (cost[:, None] * inverse).sum(0)
     tokens = float(lengths @ need)
     for round_ in range(max_rounds):
         if cost @ used <= tokens * (1 + gap):
             break
-        dual = cost @ inverse
         for drawn in (0.9, 0.5, 0.0):
             column = _priced(lengths, drawn * lengths + (1 - drawn) * dual, capacity)
             price = padded(int(lengths @ column), capacity)
@@ -108,7 +108,8 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
                 break
         else:
             break
-        step = inverse @ column
+        has = np.flatnonzero(column)
+        step = (inverse[:, has] * column[has]).sum(1)
         rising = np.flatnonzero(step > 1e-9)
         leaving = used[rising] / step[rising]
         leave = int(rising[np.argmin(leaving)])
@@ -117,6 +118,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
         used[leave] = amount
         np.maximum(used, 0, out=used)
         pivot = inverse[leave] / step[leave]
+        dual = dual + (price - dual @ column) * pivot
         inverse -= step[:, None] * pivot
         inverse[leave] = pivot
         columns[:, leave], cost[leave] = column, price
@@ -131,6 +133,17 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
     return found
 
 
+def _inverted(columns: np.ndarray) -> np.ndarray:
+    """The inverse of an upper triangular matrix of few entries, last row first; the driver's threads of a linear algebra library aren't needed."""
+    out = np.zeros_like(columns)
+    for i in range(len(columns) - 1, -1, -1):
+        out[i, i] = 1
+        for j in np.flatnonzero(columns[i, i + 1 :]) + i + 1:
+            out[i] -= columns[i, j] * out[j]
+        out[i] /= columns[i, i]
+    return out
+
+
 def _first_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarray:
     """A basis to start from: for each length, longest first, a pattern of it and shorter ones of which as many remain, filled as far
     as sums of the commonest of them reach."""
