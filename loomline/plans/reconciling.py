@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance
+from ..operators.rescan import NEAR, rescan_matches, review_positions
 from ..registry import query
 
-NEAR = 0.025
-
 
 def reconcile(answers: DataFrame, actuals: DataFrame, scope: list[str], number: str, identity: list[str], fields: list[str], ends: list[str]) -> DataFrame:
     """(status, answer_id, actual_id, differences): a sequence of passes, each over what the one before left.
@@ -115,85 +114,76 @@ def j28(t):
     return reconcile(answers, actuals, ["page"], "no", ["no", "start", "end"], ["no", "start", "end", "color"], ["start", "end"])
 
 
-@query(
-    "j20_rescan_match",
-    """WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS page, l_partkey AS no, l_suppkey AS st, l_quantity::INT AS en FROM lineitem),
-    n AS (SELECT id AS nid, page, CASE WHEN id % 3 = 0 THEN no + 7 ELSE no END AS no, st, CASE WHEN id % 4 = 0 THEN en + 1 ELSE en END AS en FROM o WHERE id % 9 <> 0),
-    uo AS (SELECT no FROM o GROUP BY 1 HAVING count(*) = 1), un AS (SELECT no FROM n GROUP BY 1 HAVING count(*) = 1),
-    s AS (SELECT o.id, n.nid, CASE WHEN o.no = n.no THEN 4 ELSE 0 END + CASE WHEN o.st = n.st THEN 2 ELSE 0 END + CASE WHEN o.en = n.en THEN 2 ELSE 0 END
-            + CASE WHEN o.no = n.no AND o.no IN (SELECT no FROM uo) AND n.no IN (SELECT no FROM un) THEN 4 ELSE 0 END AS score FROM o JOIN n USING (page)),
-    t AS (SELECT * FROM s QUALIFY score = max(score) OVER (PARTITION BY id) AND score >= 4),
-    c AS (SELECT id, count(*) AS k, min(nid) AS nid, max(score) AS score FROM t GROUP BY id),
-    bad AS (SELECT nid FROM t WHERE id IN (SELECT id FROM c WHERE k > 1) UNION SELECT nid FROM c WHERE k = 1 GROUP BY nid HAVING count(*) > 1)
-    SELECT id, nid, score::BIGINT AS score FROM c WHERE k = 1 AND nid NOT IN (SELECT nid FROM bad)""",
-)
-def j20(t):
-    return rescan_matches(*rescan(t.lineitem))
-
-
 def rescan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old rows, and new ones made from them with other numbers and ends."""
-    old = lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("no"),
-        F.col("l_suppkey").alias("st"), F.col("l_quantity").cast("int").alias("en"),
-    )
-    i = F.col("id")
+    """Old rows, about sixteen a page, and new ones made from them: some gone, some twice, some with other numbers, ends in the other order,
+    unread devices or points that moved."""
+    col, text = F.col, lambda before, c: F.concat(F.lit(before), c.cast("string"))
+    base = lines.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_extendedprice").alias("price"), F.min("l_discount").alias("d")
+    )
+    page = F.floor(col("l_orderkey") / 4)
+    point = lambda x, page: F.struct(x.alias("x"), (col("d") * 9).alias("y"), page.alias("page"))
+    x = (col("price") % 100) / 100
+    old = base.select(
+        (col("l_orderkey") * 10 + col("l_linenumber")).alias("id"),
+        page.alias("page"),
+        F.when(col("p") % 7 > 0, (col("p") % 300).cast("string")).alias("no"),
+        F.when(col("p") % 13 > 0, F.concat(text("X", col("s") % 3), text(":", col("l_linenumber")))).alias("start_terminal"),
+        F.when(col("s") % 6 > 0, text("Y:", col("p") % 5)).alias("end_terminal"),
+        F.when(col("s") % 3 > 0, text("K", col("s") % 2)).alias("start_code"),
+        F.when(col("p") % 3 > 0, text("M", col("p") % 3)).alias("end_code"),
+        F.when(col("p") % 17 > 0, point(x, F.when(col("p") % 4 > 0, page).otherwise(page + 1))).alias("start_point"),
+        point(1 - x, F.when(col("s") % 2 > 0, page).otherwise(page + 1)).alias("end_point"),
+    )
+    i = col("id")
+    swaps = lambda a, b: F.when(i % 4 == 0, b).otherwise(a)
+    moved = lambda c: F.when(c.isNotNull(), F.struct((c["x"] + i % 7 * 0.006).alias("x"), c["y"].alias("y"), c["page"].alias("page")))
     new = old.where(i % 9 != 0).select(
-        i.alias("nid"), "page", F.when(i % 3 == 0, F.col("no") + 7).otherwise(F.col("no")).alias("no"), "st", F.when(i % 4 == 0, F.col("en") + 1).otherwise(F.col("en")).alias("en")
+        F.when(i % 50 == 0, i).alias("id"),
+        "page",
+        F.when(i % 3 == 0, F.concat("no", F.lit("a"))).otherwise(col("no")).alias("no"),
+        swaps(col("start_terminal"), col("end_terminal")).alias("start_terminal"),
+        swaps(col("end_terminal"), col("start_terminal")).alias("end_terminal"),
+        F.when(i % 5 > 0, swaps(col("start_code"), col("end_code"))).alias("start_code"),
+        swaps(col("end_code"), col("start_code")).alias("end_code"),
+        moved(swaps(col("start_point"), col("end_point"))).alias("start_point"),
+        moved(swaps(col("end_point"), col("start_point"))).alias("end_point"),
+        F.explode(F.when(i % 25 == 0, F.array(i * 2, i * 2 + 1)).otherwise(F.array(i * 2))).alias("nid"),
     )
     return old, new
 
 
-#: What an old and a new row of a score of 4 or more have in common, and the points for it.
-LEVELS = {"all": (["page", "no", "st", "en"], 8), "no_st": (["page", "no", "st"], 6), "no_en": (["page", "no", "en"], 6), "no": (["page", "no"], 4), "st_en": (["page", "st", "en"], 4)}
-LEVEL_KEYS = ["level", "k_page", "k_no", "k_st", "k_en"]
+_RESCAN = """b AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_extendedprice) AS price, min(l_discount) AS d FROM lineitem GROUP BY 1, 2),
+    o AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey // 4 AS page, CASE WHEN p % 7 > 0 THEN (p % 300)::VARCHAR END AS no,
+        CASE WHEN p % 13 > 0 THEN 'X' || (s % 3) || ':' || l_linenumber END AS st, CASE WHEN s % 6 > 0 THEN 'Y:' || (p % 5) END AS en,
+        CASE WHEN s % 3 > 0 THEN 'K' || (s % 2) END AS sc, CASE WHEN p % 3 > 0 THEN 'M' || (p % 3) END AS ec, d * 9 AS y,
+        CASE WHEN p % 17 > 0 THEN (price % 100) / 100 END AS sx, CASE WHEN p % 17 > 0 THEN CASE WHEN p % 4 > 0 THEN l_orderkey // 4 ELSE l_orderkey // 4 + 1 END END AS sp,
+        1 - (price % 100) / 100 AS ex, CASE WHEN s % 2 > 0 THEN l_orderkey // 4 ELSE l_orderkey // 4 + 1 END AS ep FROM b),
+    m AS (SELECT *, id % 4 = 0 AS w, (id % 7) * 0.006::DOUBLE AS j FROM o WHERE id % 9 <> 0),
+    n AS (SELECT unnest(CASE WHEN id % 25 = 0 THEN [id * 2, id * 2 + 1] ELSE [id * 2] END) AS nid, CASE WHEN id % 50 = 0 THEN id END AS kept, page, CASE WHEN id % 3 = 0 THEN no || 'a' ELSE no END AS no2,
+        CASE WHEN w THEN en ELSE st END AS st2, CASE WHEN w THEN st ELSE en END AS en2, CASE WHEN id % 5 > 0 THEN CASE WHEN w THEN ec ELSE sc END END AS sc2, CASE WHEN w THEN sc ELSE ec END AS ec2, y AS y2,
+        j + CASE WHEN w THEN ex ELSE sx END AS sx2, CASE WHEN w THEN ep ELSE sp END AS sp2, j + CASE WHEN w THEN sx ELSE ex END AS ex2, CASE WHEN w THEN sp ELSE ep END AS ep2 FROM m)"""
 
+#: One pair of ends: whether they are the same pin of the page, without a contradiction between their devices.
+_ANCHOR = "CASE WHEN {a} = {b} AND {ap} = page AND {bp} = page AND coalesce({ac} = {bc}, TRUE) THEN CASE WHEN {ac} = {bc} THEN 80 ELSE 64 END ELSE 0 END"
+_ENDS = [(dict(a=a, ac=ac, ap=ap, ax=ax), dict(b=b, bc=bc, bp=bp, bx=bx)) for a, ac, ap, ax in (("st", "sc", "sp", "sx"), ("en", "ec", "ep", "ex")) for b, bc, bp, bx in (("st2", "sc2", "sp2", "sx2"), ("en2", "ec2", "ep2", "ex2"))]
 
-def leveled(df: DataFrame, *keep: str) -> DataFrame:
-    """`keep` and LEVEL_KEYS: a row per level whose columns are filled, with nulls for the columns it doesn't ask."""
 
-    def key(level: str, used: list[str]):
-        made = F.struct(F.lit(level).alias("level"), *[F.when(F.lit(c in used), F.col(c)).alias(f"k_{c}") for c in ("page", "no", "st", "en")])
-        return F.when(F.concat(*[F.col(c).cast("string") for c in used]).isNotNull(), made)
-
-    return df.select(*keep, F.inline(F.array_compact(F.array(*[key(level, used) for level, (used, _) in LEVELS.items()]))))
-
-
-def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Each old row (id, page, no, st, en) with its one best new row (nid, ...) on the same page, by a weighted score of at least 4;
-    ties and shared winners match nothing. New rows are counted per key of each level; a row's best score, how many have it, and
-    which one if it is one follow from those counts, so no pair of rows is made, however many rows share a page or a number."""
-    once = lambda df: df.groupBy("no").count().where("count = 1").select("no")
-    both = once(old).join(once(new), "no").withColumn("once", F.lit(True))
-    row = ["id", "page", "no", "st", "en"]
-    rows = old.groupBy(*row).agg(F.count("*").alias("copies")).join(both, "no", "left").withColumn("once", F.coalesce("once", F.lit(False)))
-    sizes = leveled(new, "nid").groupBy(*LEVEL_KEYS).agg(F.count("*").alias("n"), F.min("nid").alias("first"))
-    a, b = leveled(rows, *row, "copies", "once").alias("a"), sizes.alias("b")
-    met = a.join(b, F.expr(" AND ".join(f"a.{k} <=> b.{k}" for k in LEVEL_KEYS))).select(*[f"a.{c}" for c in [*row, "copies", "once", "level"]], "n", "first")
-    found = met.groupBy(*row, "copies", "once").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "first")))).alias("m"))
-    has = lambda level: F.map_contains_key("m", level)
-    names = lambda *levels: F.array(*[F.lit(x) for x in levels])
-    best = (
-        F.when(has("all"), names("all")).when(has("no_st") | has("no_en"), names("no_st", "no_en"))
-        .when(has("no") & F.col("once"), names("no")).when(has("no"), names("no", "st_en")).otherwise(names("st_en"))
-    )
-    points = F.lit(0)
-    for level, (_, p) in LEVELS.items():
-        points = F.when(F.array_contains("best", level), F.lit(p)).otherwise(points)
-    bonus = F.when(has("no") & F.col("once"), 4).otherwise(0)
-    taken = F.filter(F.transform("best", lambda x: F.col("m")[x]), lambda x: x.isNotNull())
-    scored = found.withColumn("best", best).select(
-        *row, "best", (points + bonus).cast("long").alias("score"),
-        (F.col("copies") * F.aggregate(taken, F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("n"),
-        F.array_min(F.transform(taken, lambda x: x["first"])).alias("nid"),
-    )
-    of_id = Window.partitionBy("id")  # an id is one row, or few
-    top = scored.withColumn("most", F.max("score").over(of_id)).where("score = most").withColumn("ties", F.sum("n").over(of_id))
-    single = top.where("ties = 1").select("id", "nid", "score")
-    repeated = single.groupBy("nid").count().where("count > 1").select("nid")
-    keys = leveled(top.where("ties > 1"), "best").where("array_contains(best, level)").select(*LEVEL_KEYS).distinct().alias("a")
-    tied = leveled(new, "nid").alias("b").join(keys, F.expr(" AND ".join(f"a.{k} <=> b.{k}" for k in LEVEL_KEYS)), "left_semi").select("nid")
-    return single.join(tied.union(repeated), "nid", "left_anti").select("id", "nid", "score")
+@query(
+    "j20_rescan_match",
+    f"""WITH {_RESCAN},
+    uo AS (SELECT no FROM o WHERE no IS NOT NULL GROUP BY 1 HAVING count(*) = 1), un AS (SELECT no2 FROM n WHERE no2 IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
+    s AS (SELECT o.id, n.nid, CASE WHEN id = kept THEN 10000 ELSE CASE WHEN no = no2 THEN 4 ELSE 0 END + CASE WHEN st = st2 THEN 2 ELSE 0 END + CASE WHEN en = en2 THEN 2 ELSE 0 END
+        + greatest({", ".join(_ANCHOR.format(**x, **y) for x, y in _ENDS)})
+        + CASE WHEN {" OR ".join(f"coalesce({x['ap']} = {y['bp']} AND sqrt(({x['ax']} - {y['bx']}) ** 2 + (o.y - y2) ** 2) < 0.025, FALSE)" for x, y in _ENDS)} THEN 5 ELSE 0 END END
+        + CASE WHEN no = no2 AND no IN (FROM uo) AND no2 IN (FROM un) THEN 4 ELSE 0 END AS score FROM o JOIN n USING (page)),
+    t AS (SELECT * FROM s QUALIFY score = max(score) OVER (PARTITION BY id) AND score >= 4),
+    c AS (SELECT id, count(*) AS k, min(nid) AS nid, max(score) AS score FROM t GROUP BY id),
+    bad AS (SELECT nid FROM t WHERE id IN (SELECT id FROM c WHERE k > 1) UNION SELECT nid FROM c WHERE k = 1 GROUP BY nid HAVING count(*) > 1)
+    SELECT id, nid, score::BIGINT AS score FROM c WHERE k = 1 AND nid NOT IN (SELECT nid FROM bad)""",
+)
+def j20(t):
+    return rescan_matches(*rescan(t.lineitem))
 
 
 _POINTS = "p AS (SELECT vec_id, label, vec_id % 40 AS page, (embedding[1] + 1)::DOUBLE / 2 AS x, (embedding[2] + 1)::DOUBLE / 2 AS y FROM embeddings)"
@@ -222,12 +212,27 @@ def j21(t):
 
 @query(
     "a19_position_conflicts",
-    f"WITH {_POINTS} SELECT label, page, count(*) AS n, max(x) - min(x) > 0.025 OR max(y) - min(y) > 0.025 AS far FROM p GROUP BY 1, 2",
+    """WITH p AS (SELECT vec_id AS id, CASE vec_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'plain' ELSE 'X' || (label % 3) || ':' || CASE vec_id % 8 WHEN 0 THEN 'pe' WHEN 1 THEN '*' WHEN 2 THEN 'N' ELSE (vec_id % 3)::VARCHAR END END AS terminal,
+        CASE WHEN vec_id % 5 > 0 THEN 'K' || (vec_id % 5) END AS code, (vec_id // 40) % 50 AS page, 0.5 + embedding[1]::DOUBLE / 8 AS x, 0.5 + embedding[2]::DOUBLE / 8 AS y, vec_id % 6 = 0 AS had FROM embeddings),
+      k AS (SELECT *, coalesce(contains(terminal, ':') AND upper(list_last(string_split(terminal, ':'))) NOT IN ('PE', 'N', '*'), FALSE) AS counts FROM p),
+      f AS (SELECT DISTINCT a.terminal, a.code, a.page FROM k a JOIN k b ON a.counts AND b.counts AND a.terminal = b.terminal AND a.code IS NOT DISTINCT FROM b.code AND a.page = b.page AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0.025)
+      SELECT id, CASE WHEN f.page IS NULL THEN k.x END AS x, CASE WHEN f.page IS NULL THEN k.y END AS y, had OR f.page IS NOT NULL AS needs_review,
+        CASE WHEN f.page IS NOT NULL THEN 'rescan_endpoint_position_conflict' END AS reason
+      FROM k LEFT JOIN f ON counts AND k.terminal = f.terminal AND k.code IS NOT DISTINCT FROM f.code AND k.page = f.page""",
 )
 def a19(t):
-    """Groups whose points can't be one place: wider than the tolerance along an axis, which min and max tell without pairs."""
-    wide = lambda c: F.max(c) - F.min(c) > NEAR
-    return points(t).groupBy("label", "page").agg(F.count("*").alias("n"), (wide("x") | wide("y")).alias("far"))
+    """Ends of vectors' places: a pin that was found at two places keeps neither."""
+    i, e = F.col("vec_id"), F.col("embedding")
+    last = F.when(i % 8 == 0, "pe").when(i % 8 == 1, "*").when(i % 8 == 2, "N").otherwise((i % 3).cast("string"))
+    at = lambda k: (F.lit(0.5) + e[k].cast("double") / 8).alias("xy"[k])
+    rows = t.embeddings.select(
+        i.alias("id"),
+        F.when(i % 11 == 0, F.lit(None)).when(i % 11 == 1, "plain").otherwise(F.concat(F.lit("X"), (F.col("label") % 3).cast("string"), F.lit(":"), last)).alias("end_terminal"),
+        F.when(i % 5 > 0, F.concat(F.lit("K"), (i % 5).cast("string"))).alias("end_code"),
+        F.struct(at(0), at(1), (F.floor(i / 40) % 50).alias("page")).alias("end_point"),
+        (i % 6 == 0).alias("needs_review"),
+    )
+    return review_positions(rows).select("id", "end_point.x", "end_point.y", "needs_review", "reason")
 
 
 @query(
