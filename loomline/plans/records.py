@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import windows as wn
+from ..operators.texts import first_related
 from ..registry import query
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -275,11 +276,9 @@ def s15(t):
 def literal_reference(asked: DataFrame, index: DataFrame) -> DataFrame:
     """`asked` (page, raw) with `at`, the first in order (`place`) of the index's references of that page whose text equals, contains or is
     contained in `raw`; null without one. Texts are met once per page, however often either side repeats them."""
-    texts = index.groupBy("page", F.coalesce("raw", F.lit("")).alias("known")).agg(F.min("place").alias("at"))
-    wanted = asked.where("raw <> ''").select("page", "raw").distinct()
-    met = wanted.join(texts, "page").where(F.contains("raw", "known") | F.contains("known", "raw"))
-    first = met.groupBy("page", "raw").agg(F.min("at").alias("at"))
-    return asked.join(first, ["page", "raw"], "left")
+    known = index.groupBy("page", F.coalesce("raw", F.lit("")).alias("text")).agg(F.min("place").alias("at"))
+    wanted = asked.where("raw <> ''").select("page", F.col("raw").alias("text")).distinct()
+    return asked.join(first_related(wanted, known).withColumnRenamed("text", "raw"), ["page", "raw"], "left")
 
 
 @query(
