@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +41,23 @@ def append_batch(path: str):
     return write
 
 
-def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is, and read what it wrote. `folder` is one that all executors share."""
-    spark = stream.sparkSession
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append", reader: SparkSession | None = None) -> DataFrame:
+    """Run a stream over all there is, and read what it wrote, in the session `reader`. `folder` is one that all executors share; run again with
+    it, the stream goes on from its checkpoint."""
+    spark = reader or stream.sparkSession
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
     writer.foreachBatch(append_batch(f"{folder}/out")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomline-stream-")
+    """A new folder below `spark.checkpoint.dir`. Where that is unset, a temporary one, on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomline-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
