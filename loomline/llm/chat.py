@@ -1,7 +1,7 @@
 """Chat formatting: records of any known layout become canonical turns, and turns become a marked, reversible text.
 
-A record is JSON. Its schema fingerprint is a hash of its nested field paths (`schema_of_variant`, without the types of leaves), and
-the fingerprint selects a declarative mapping: where the turns are, and which fields are a turn's role and text. Layouts are data; a
+A record is JSON, or columns. Its schema fingerprint is a hash of its nested field paths (`schema_of_variant`, without the types of leaves; of
+columns, their schema), and the fingerprint selects a declarative mapping: where the turns are, and which fields are a turn's role and text. Layouts are data; a
 new one is a new row of `LAYOUTS`, and layouts that differ in leaf types or nulls are one.
 
 The template marks each turn as `<|turn|>role<|text|>text<|end|>`. Control strings of common templates inside roles and texts
@@ -11,8 +11,8 @@ assistant's segment covers its escaped text. Nothing gathers a conversation, so
 
 Defined results: null texts and roles are empty; turns that tie are ordered by their segments; a record whose layout is
 unknown or that is no JSON has no turns and comes back from `unmapped`, and so does a JSON string of more than 20,000,000 characters,
-Spark's limit; turns that are columns take `row_turns`, which has no such limit; rows with a null id are one conversation; an empty
-table gives no rows.
+Spark's limit; records that are columns take `column_turns`, which has no such limit; rows with a null id are one conversation; an empty
+table gives no rows. A conversation numbered -1 in the query's table and the one it adds are one.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: First character, then the rest, of every control string of the templates in common use.
@@ -90,11 +91,40 @@ def to_turns(records: DataFrame, id_col: str, json_col: str, order_cols: list[st
     )
 
 
-def row_turns(rows: DataFrame, id_col: str, order_cols: list[str], role: str = "role", text: str = "text") -> DataFrame:
-    """(id, place, at, role, text) of the layout 'row' where its fields are columns: no JSON, so texts of any length."""
-    said = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    place = F.struct(*[F.col(f"`{c}`") for c in order_cols])
-    return rows.select(F.col(f"`{id_col}`").alias("id"), place.alias("place"), F.lit(0).alias("at"), said(role).alias("role"), said(text).alias("text"))
+def schema_paths(kind: T.DataType) -> str:
+    """The nested field paths of a column type, as `fingerprint` sees them in a VARIANT."""
+    if isinstance(kind, T.StructType):
+        return "OBJECT<" + ", ".join(f"{f.name}: {schema_paths(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name.encode())) + ">"
+    return f"ARRAY<{schema_paths(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+
+
+def column_turns(rows: DataFrame, id_col: str, order_cols: list[str] = (), fields: list[str] | None = None, layouts=LAYOUTS) -> DataFrame:
+    """`to_turns` of records that are columns, `fields` of `rows` or all but `id_col`. Their schema's fingerprint, the same that such a record has
+    as JSON, selects the mapping, once for all rows; it is applied to the columns themselves, so texts of any length are kept. Columns of no
+    known layout are refused."""
+    fields = fields or [c for c in rows.columns if c != id_col]
+    record = T.StructType([rows.schema[c] for c in fields])
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(name, example) for name, example, _, _ in layouts], "layout string, example string")
+    own = F.xxhash64(F.lit(schema_paths(record)))
+    found = known.where(fingerprint(F.parse_json("example")) == own).select("layout").collect()
+    if not found:
+        raise ValueError(f"no layout is known for {schema_paths(record)}")
+    _, _, path, mapped = next(x for x in layouts if x[0] == found[0]["layout"])
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+
+    def turn(at, role: str, text: str) -> Column:
+        named = F.lit(role[1:]) if role.startswith("=") else said(at(role))
+        if role == "from":
+            for other, canonical in ROLES.items():
+                named = F.when(said(at(role)) == other, F.lit(canonical)).otherwise(named)
+        return F.struct(named.alias("role"), said(at(text)).alias("text"))
+
+    column = lambda c: F.col(f"`{c}`")
+    turns = F.transform(column(path), lambda m: turn(lambda c: m[c], *mapped[0])) if path else F.array(*[turn(column, *f) for f in mapped])
+    place = F.struct(*[column(c) for c in order_cols]) if order_cols else F.struct(F.lit(0).alias("none"))
+    made = rows.select(column(id_col).alias("id"), place.alias("place"), F.posexplode_outer(turns).alias("at", "t"))
+    return made.select("id", "place", "at", "t.role", "t.text")
 
 
 def unmapped(turns: DataFrame) -> DataFrame:
@@ -188,7 +218,7 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
             )
         ).alias("record"),
     )
-    turns = row_turns(rows, "conv_id", ["turn"]).unionByName(to_turns(extra, "conv_id", "record", ["turn"]))
+    turns = column_turns(rows, "conv_id", ["turn"]).unionByName(to_turns(extra, "conv_id", "record", ["turn"]))
     return read_back(segments(turns))
 
 

@@ -606,7 +606,7 @@ def test_chat_long_texts(spark):
         F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"),
         F.repeat(F.lit("ab[INST]"), F.when(F.col("id") == 1, sizes[1] // 8).otherwise(sizes[2] // 8).cast("int")).alias("text"),
     )
-    got = {r.conv_id: r for r in chat.read_back(chat.segments(chat.row_turns(rows, "conv_id", ["turn"]))).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(chat.column_turns(rows, "conv_id", ["turn"]))).collect()}
     for c, n in sizes.items():
         text = "ab[INST]" * (n // 8)
         assert (got[c].n_turns, got[c].loss_chars) == (1, len(text)) and got[c].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
@@ -642,6 +642,26 @@ def test_chat_layouts(spark):
     assert sorted(r.id for r in chat.unmapped(turns).collect()) == [6, 9, 10]
 
 
+def test_chat_columns_by_their_fingerprint(spark):
+    """Columns take the mapping of their schema, whatever layout they are in, as the same records do as JSON; unknown ones are refused."""
+    said = [(1, 0, "user", "hi <|end|>"), (1, 1, "assistant", None), (2, 0, "user", ""), (None, 0, None, "x")]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    want = sorted(((r.id, r.role, r.text) for r in chat.column_turns(rows, "conv_id", ["turn"]).collect()), key=str)
+    assert want == sorted(((c, r or "", t or "") for c, _, r, t in said), key=str)
+    one = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
+    other = F.array(F.struct(F.when(F.col("role") == "assistant", "gpt").when(F.col("role") == "user", "human").alias("from"), F.col("text").alias("value")))
+    for moved in (rows.select("conv_id", one.alias("messages")), rows.select("conv_id", other.alias("conversations"))):
+        assert sorted(((r.id, r.role, r.text) for r in chat.column_turns(moved, "conv_id").collect()), key=str) == want
+    pairs = spark.createDataFrame([(1, "q", "a"), (2, None, "b")], "id long, question string, answer string")
+    assert sorted((r.id, r["at"], r.role, r.text) for r in chat.column_turns(pairs, "id").collect()) == [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", ""), (2, 1, "assistant", "b")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.column_turns(rows.withColumnRenamed("text", "words"), "conv_id")
+    for _, example, _, _ in chat.LAYOUTS:
+        kind = spark.read.json(spark.sparkContext.parallelize([example])).schema
+        both = spark.range(1).select((chat.fingerprint(F.parse_json(F.lit(example))) == F.xxhash64(F.lit(chat.schema_paths(kind)))).alias("same")).first()
+        assert both.same, example
+
+
 def test_chat_round_trip(spark):
     r = random.Random(1)
     bits = ["<|", "|>", "<|turn|>", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "<", "[", "|", "s>", "\n", "é", "\U0001f600", " "]
