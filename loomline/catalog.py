@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregation, artifacts, changes, dataflow, filtering, joining, ordering, parsing, projecting, reconciling, records, rules, windowing  # noqa: F401
+from .plans import aggregation, artifacts, changes, dataflow, filtering, joining, named, ordering, parsing, projecting, reconciling, records, rules, windowing  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .streaming import events, steps  # noqa: F401
 
