@@ -167,6 +167,40 @@ def exported(lines):
     return export_cells(lines, {"page": "l_orderkey", "no": "l_linenumber", "flag": "l_returnflag"})
 
 
+#: The columns of an export by what a row calls them.
+EXPORT = {
+    "页码": "page", "原理号": "no", "电压等级": "voltage", "端子排": "strip", "起点代号": "start_code", "起点描述": "start_text", "起点端子": "start", "终点代号": "end_code",
+    "终点描述": "end_text", "终点端子": "end", "电流": "current", "备注": "remark", "色标": "color",
+}
+
+
+def export_rows(lines):
+    """Lines as the 13 text columns of an export; `id` stands in the remark."""
+    q = lambda e: F.expr(e)
+    return lines.select(
+        q("string(l_orderkey)").alias("page"), q("string(l_partkey)").alias("no"), q("CASE WHEN l_suppkey % 2 = 0 THEN 'AC<220>' END").alias("voltage"), q("'X' || l_linenumber").alias("strip"),
+        q("CASE WHEN l_partkey % 3 > 0 THEN '-K' || l_suppkey END").alias("start_code"), q("' & ' || l_returnflag || ' '").alias("start_text"), q("'X1:' || l_linenumber").alias("start"),
+        q("''").alias("end_code"), q("'\"é\" 终'").alias("end_text"), q("string(l_suppkey)").alias("end"), q("string(int(l_quantity))").alias("current"),
+        q("l_orderkey || '\n' || l_linenumber").alias("remark"), q("l_linestatus").alias("color"),
+    )
+
+
+@query(
+    "k1_workbook",
+    """SELECT l_orderkey::VARCHAR AS page, l_partkey::VARCHAR AS no, CASE WHEN l_suppkey % 2 = 0 THEN 'AC<220>' ELSE '' END AS voltage, 'X' || l_linenumber AS strip, CASE WHEN l_partkey % 3 > 0 THEN '-K' || l_suppkey ELSE '' END AS start_code,
+       ' & ' || l_returnflag || ' ' AS start_text, 'X1:' || l_linenumber AS start, '' AS end_code, '"é" 终' AS end_text, l_suppkey::VARCHAR AS end, l_quantity::INT::VARCHAR AS current, l_orderkey || chr(10) || l_linenumber AS remark, l_linestatus AS color FROM lineitem""",
+)
+def k1_workbook(t):
+    """All rows written as workbooks, a text cell each, and read back from them below their headers."""
+    from ..sources.workbooks import export_workbooks, read_workbooks, table_of
+    from ..streaming.events import shared_folder
+
+    folder = shared_folder(t.spark)
+    export_workbooks(export_rows(t.lineitem), folder, EXPORT)
+    rows = table_of(read_workbooks(t.spark, folder))
+    return rows.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(EXPORT.values())])
+
+
 @query("k1_illegal_cells", "SELECT doc_id FROM documents WHERE length(text) > 32767 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')")
 def k1b(t):
     from ..sources.tables import illegal_cells

@@ -259,6 +259,14 @@ def answer_rows(rows: DataFrame) -> DataFrame:
         SELECT user_id AS sheet, event_id AS row, upper(p) AS page, 'n' || event_id AS number, 's' AS start, 'e' AS end_, CASE WHEN p IS NULL THEN 'no page' END AS error FROM f WHERE event_id % 7 <> 0""",
 )
 def s15(t):
+    return answers_of(answer_sheets(t)).select("sheet", "row", "page", "number", "start", "end_", "error")
+
+
+def answers_of(sheets: DataFrame) -> DataFrame:
+    return answer_rows(sheets).select("*", F.col("lineNumber").alias("number"), F.col("startTerminal").alias("start"), F.col("endTerminal").alias("end_"))
+
+
+def answer_sheets(t) -> DataFrame:
     """Users as sheets and their events as rows, below a header of either of two layouts, or of none. In the first layout an event whose
     number is divisible by 7 and that brings no page has no filled cell, so it is a blank row; in the second one cell is always filled."""
     u, e = F.col("user_id"), F.col("event_id")
@@ -270,7 +278,25 @@ def s15(t):
     cells = F.when(F.col("event_type") == "click", row("", " ", F.lit(None).cast("string"))).when(e % 5 == 0, head).otherwise(body)
     sheets = t.events.select(u.alias("sheet"), e.alias("row"), cells.alias("cells"))
     heads = t.events.select("user_id").distinct().select(u.alias("sheet"), F.lit(-1).cast("long").alias("row"), head.alias("cells"))
-    return answer_rows(heads.unionByName(sheets)).select("sheet", "row", "page", F.col("lineNumber").alias("number"), F.col("startTerminal").alias("start"), F.col("endTerminal").alias("end_"), "error")
+    return heads.unionByName(sheets)
+
+
+@query(
+    "s15_answer_workbooks",
+    """WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + 1 AS row, event_type = 'click' OR event_id % 5 = 0 OR user_id % 3 = 0 AND event_id % 7 = 0 AND event_type <> 'view' AS reset, CASE WHEN event_type = 'view' THEN 'p' || event_id END AS page FROM events WHERE user_id % 3 <> 2),
+        g AS (SELECT *, sum(reset::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM s),
+        f AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM g WHERE NOT reset)
+        SELECT user_id::VARCHAR AS sheet, row, upper(p) AS page, 'n' || event_id AS number, 's' AS start, 'e' AS end_, CASE WHEN p IS NULL THEN 'no page' END AS error FROM f WHERE event_id % 7 <> 0""",
+)
+def s15_workbooks(t):
+    """The answer book's sheets written as workbooks of many sheets, read by sheet, and their answers: `row` is that of the sheet."""
+    from ..sources.workbooks import read_workbooks, write_workbooks
+    from ..streaming.events import shared_folder
+
+    folder = shared_folder(t.spark)
+    sheets = answer_sheets(t).withColumn("sheet", F.col("sheet").cast("string"))
+    write_workbooks(sheets.repartition("sheet").sortWithinPartitions("sheet", "row"), folder)
+    return answers_of(read_workbooks(t.spark, folder)).select("sheet", "row", "page", "number", "start", "end_", "error")
 
 
 def literal_reference(asked: DataFrame, index: DataFrame) -> DataFrame:
