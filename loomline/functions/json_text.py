@@ -8,12 +8,24 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Fields that the program decides, not the model.
 CONTROL_FIELDS = ("scan_diagnostics", "status", "needs_review", "review_reasons", "processing_status", "completion_state", "completion_evidence")
 
 
+READ = StructType([StructField("text", StringType()), StructField("error", StringType())])
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def read_json(text: str, **numbers):
+    """The value of a JSON text; what other readers take for a number (NaN, Infinity) is refused."""
+    return json.loads(text, parse_constant=_no_number, **numbers)
+
+
 def canonical(text: str | None) -> str | None:
     """Compact JSON with keys in code point order and plain decimal numbers without trailing zeros; of equal keys the last."""
     if text is None:
@@ -30,7 +42,7 @@ def canonical(text: str | None) -> str | None:
             return "0" if number == "-0" else number
         return json.dumps(v, ensure_ascii=False)
 
-    return shown(json.loads(text, parse_float=Decimal, parse_int=Decimal))
+    return shown(read_json(text, parse_float=Decimal, parse_int=Decimal))
 
 
 def without_fields(text: str | None, fields: tuple[str, ...] = CONTROL_FIELDS) -> str | None:
@@ -48,17 +60,31 @@ def without_fields(text: str | None, fields: tuple[str, ...] = CONTROL_FIELDS) -
             out["required"] = [x for x in out["required"] if x not in fields]
         return out
 
-    return json.dumps(kept(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    return json.dumps(kept(read_json(text)), ensure_ascii=False, separators=(",", ":"))
+
+
+def _each(texts: pd.Series, made) -> pd.DataFrame:
+    """`made` of each text, or what is wrong with it: a bad record is a row with its error, not the end of the job."""
+    out = []
+    for t in texts:
+        try:
+            said = made(t)
+            out.append((said and said.encode().decode(), None))  # half a surrogate pair is no text
+        except RecursionError:
+            out.append((None, "nested too deep"))
+        except (ValueError, ArithmeticError) as e:
+            out.append((None, f"not JSON: {str(e).split(':')[0]}"))
+    return pd.DataFrame(out, columns=["text", "error"])
 
 
-@F.pandas_udf(StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical, na_action="ignore")
+@F.pandas_udf(READ)
+def canonical_json(texts: pd.Series) -> pd.DataFrame:
+    return _each(texts, canonical)
 
 
-@F.pandas_udf(StringType())
-def facts_only(texts: pd.Series) -> pd.Series:
-    return texts.map(without_fields, na_action="ignore")
+@F.pandas_udf(READ)
+def facts_only(texts: pd.Series) -> pd.DataFrame:
+    return _each(texts, without_fields)
 
 
 def json_digest(canonical_text: Column) -> Column:

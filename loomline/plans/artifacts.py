@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import json_text as jt
 from ..functions.scalars import exceeds_ratio
@@ -16,27 +18,48 @@ def texts_of(*parts):
 
 @query(
     "v5_canonical_json",
-    """SELECT o_orderkey, c AS canonical, 'sha256:' || sha256(c) AS digest FROM (SELECT o_orderkey,
-         '{"e":100,"key":' || o_orderkey || '.5,"list":[true,null,{"a":"é\\n","z":0}],"status":"' || o_orderstatus || '"}' AS c FROM orders)""",
+    """SELECT event_id, c AS canonical, 'sha256:' || sha256(c) AS digest, error FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"e":100,"key":' || event_id || '.5,"list":[true,null,{"a":"é\\n","z":0}],"status":"' || event_type || '"}'
+         WHEN 1 THEN '{"deep":{"props":{"k":' || json_extract_string(props, 'k') || '},"text":"[' || user_id || ']"},"deep2":[[],{},[[' || event_id || ']]]}'
+         WHEN 2 THEN '{"k":' || json_extract_string(props, 'k') || '}' WHEN 3 THEN NULL WHEN 4 THEN '{"a":"last","n":-0.00012}' ELSE NULL END AS c, CASE WHEN event_id % 6 = 5 THEN 'not JSON' END AS error FROM events)""",
 )
 def v5(t):
-    """Key order, blanks, exponents, trailing zeros and a negative zero make no difference."""
-    record = texts_of('{"status": "', F.col("o_orderstatus"), '", "key": ', F.col("o_orderkey"), '.500, "list": [true, null, {"z": -0.0, "a": "é\\n"}], "e": 1e2}')
-    made = t.orders.select("o_orderkey", jt.canonical_json(record).alias("canonical"))
-    return made.select("*", jt.json_digest(F.col("canonical")).alias("digest"))
+    """Key order, blanks, exponents, trailing zeros and a negative zero make no difference; of equal keys the last counts; a text that is no
+    JSON is a row with its error."""
+    i, props = F.col("event_id"), F.col("props")
+    text = (
+        F.when(i % 6 == 0, texts_of('{"status": "', F.col("event_type"), '", "key": ', i, '.500, "list": [true, null, {"z": -0.0, "a": "é\\n"}], "e": 1e2}'))
+        .when(i % 6 == 1, texts_of('{"deep2": [[], {}, [[', i, ']]], "deep": {"text": "[', F.col("user_id"), ']", "props": ', props, "}}"))
+        .when(i % 6 == 2, props)
+        .when(i % 6 == 4, '{"n": -1.2e-4, "a": 1, "a": "last"}')
+        .when(i % 12 == 5, F.substring(props, 1, 4))
+        .when(i % 12 == 11, '{"x": NaN}')
+    )
+    made = t.events.select("event_id", jt.canonical_json(text).alias("j"))
+    return made.select("event_id", F.col("j.text").alias("canonical"), jt.json_digest(F.col("j.text")).alias("digest"), F.substring_index("j.error", ":", 1).alias("error"))
 
 
 @query(
     "p13_facts_only",
-    """SELECT o_orderkey, '{"units":[{"number":' || o_custkey || ',"ends":[{"pin":"é"},7]}],"required":["pin"]}' AS facts FROM orders""",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"units":[{"number":' || user_id || ',"ends":[{"pin":"é"},7]}],"required":["pin"]}' WHEN 1 THEN '{"k":' || json_extract_string(props, 'k') || '}'
+         WHEN 2 THEN '{"required":{"k":1},"list":[[{"a":' || event_id || '}]]}' END AS facts, CASE WHEN event_id % 4 = 3 THEN 'not JSON' END AS error FROM events""",
 )
 def p13(t):
-    """What a model said, less the verdicts that are not its own, at any depth."""
-    said = texts_of(
-        '{"status": "', F.col("o_orderstatus"), '", "units": [{"number": ', F.col("o_custkey"),
-        ', "needs_review": true, "ends": [{"pin": "é", "review_reasons": [1]}, 7]}], "required": ["pin", "status", "completion_state"]}',
+    """What a model said, less the verdicts that are not its own, at any depth; what is no JSON has an error."""
+    i = F.col("event_id")
+    said = (
+        F.when(
+            i % 4 == 0,
+            texts_of(
+                '{"status": "', F.col("event_type"), '", "units": [{"number": ', F.col("user_id"),
+                ', "needs_review": true, "ends": [{"pin": "é", "review_reasons": [1]}, 7]}], "required": ["pin", "status", "completion_state"]}',
+            ),
+        )
+        .when(i % 4 == 1, F.col("props"))
+        .when(i % 4 == 2, texts_of('{"required": {"status": 0, "k": 1}, "list": [[{"a": ', i, ', "processing_status": {}}]], "scan_diagnostics": []}'))
+        .otherwise(texts_of('{"units": [', i))
     )
-    return t.orders.select("o_orderkey", jt.facts_only(said).alias("facts"))
+    made = t.events.select("event_id", jt.facts_only(said).alias("j"))
+    return made.select("event_id", F.col("j.text").alias("facts"), F.substring_index("j.error", ":", 1).alias("error"))
 
 
 @query(
@@ -64,24 +87,68 @@ def x34(t):
 
 # The columns of the raw sheet, in order.
 RAW_HEADERS = (
-    "source_image wire_number attribute model spec length current current_basis current_source_text line_number core_number color terminal_strip start_part start_location "
-    "start_device start_name start_terminal end_part end_location end_device end_name end_terminal remark confidence source_note source_pages source_type external_source_required "
-    "unit_id connection_id drawing_source_pages status start_terminal_strip end_terminal_strip intermediate_points references unit_identity_confidence raw_json "
-    "start_terminal_coordinates end_terminal_coordinates"
-).split()
-RAW_OF = {
-    "wire_number": "l_partkey", "line_number": "l_linenumber", "unit_id": "l_orderkey", "color": "l_returnflag", "status": "l_linestatus",
-    "start_terminal": "l_suppkey",
+    "source_image", "wire_number", "attribute", "model", "spec", "length", "current", "current_basis", "current_source_text", "line_number", "core_number", "color", "terminal_strip",
+    "start_part", "start_location", "start_device", "start_name", "start_terminal", "end_part", "end_location", "end_device", "end_name", "end_terminal", "remark", "confidence",
+    "source_note", "source_pages", "source_type", "external_source_required", "unit_id", "connection_id", "drawing_source_pages", "status", "start_terminal_strip",
+    "end_terminal_strip", "intermediate_points", "references", "unit_identity_confidence", "raw_json", "start_terminal_coordinates", "end_terminal_coordinates",
+)
+
+
+def raw_sheet(records: DataFrame) -> DataFrame:
+    """Records as the 41 text columns of the raw sheet: a field that is nested as its JSON, nulls in it left out, `raw_json` the whole record as it came, a
+    truth value as TRUE or FALSE, text trimmed and null where nothing is left. Fields that the sheet doesn't name stand in `raw_json` only, and those that a
+    record hasn't are null."""
+    kinds = {f.name: f.dataType for f in records.schema.fields}
+
+    def cell(name: str):
+        if name == "raw_json":
+            return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(records.columns)]))
+        if name not in kinds:
+            return F.lit(None).cast("string")
+        c = F.col(f"`{name}`")
+        if isinstance(kinds[name], (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(c)
+        return F.upper(c.cast("string")) if isinstance(kinds[name], T.BooleanType) else F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+    return records.select(*[cell(h).alias(h) for h in RAW_HEADERS])
+
+
+def raw_records(lines: DataFrame) -> DataFrame:
+    """Lines as extracted records, with nested references, points and pages."""
+    e = F.expr
+    return lines.select(
+        e("'page-' || l_orderkey || '.png'").alias("source_image"), e("string(l_partkey)").alias("wire_number"), e("CASE WHEN l_partkey % 2 = 0 THEN ' power ' ELSE ' ' END").alias("attribute"),
+        e("l_quantity").cast("int").alias("current"), e("string(l_linenumber)").alias("line_number"), e("l_returnflag").alias("color"), e("'X' || l_linenumber").alias("terminal_strip"),
+        e("CASE WHEN l_suppkey % 3 > 0 THEN '-K' || l_suppkey END").alias("start_device"), e("string(l_suppkey)").alias("start_terminal"), e("'X4:' || l_partkey").alias("end_terminal"),
+        e("'a \"remark\"'").alias("remark"), e("array(l_orderkey, l_linenumber)").alias("source_pages"), e("l_partkey % 2 = 0").alias("external_source_required"), e("string(l_orderkey)").alias("unit_id"),
+        e("l_orderkey || '-' || l_linenumber").alias("connection_id"), e("l_linestatus").alias("status"), e("array()").cast("array<string>").alias("intermediate_points"),
+        e("array(named_struct('raw', '=/' || l_partkey, 'page', l_suppkey, 'target', CASE WHEN l_suppkey % 2 = 0 THEN 'T' END))").alias("references"),
+        e("CASE WHEN l_partkey % 5 > 0 THEN named_struct('x', l_linenumber, 'y', 0, 'pdf_page_number', l_orderkey) END").alias("start_terminal_coordinates"), e("l_suppkey % 4").alias("unlisted"),
+    )
+
+
+#: The same records in SQL: field, its JSON or null, and its cell where that isn't the same text.
+_RAW = {
+    "attribute": ("CASE WHEN l_partkey % 2 = 0 THEN '\" power \"' ELSE '\" \"' END", "CASE WHEN l_partkey % 2 = 0 THEN 'power' END"),
+    "color": ("'\"' || l_returnflag || '\"'", "l_returnflag"), "connection_id": ("'\"' || l_orderkey || '-' || l_linenumber || '\"'", "l_orderkey || '-' || l_linenumber"),
+    "current": ("l_quantity::INT::VARCHAR", "l_quantity::INT::VARCHAR"), "end_terminal": ("'\"X4:' || l_partkey || '\"'", "'X4:' || l_partkey"),
+    "external_source_required": ("CASE WHEN l_partkey % 2 = 0 THEN 'true' ELSE 'false' END", "CASE WHEN l_partkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END"), "intermediate_points": ("'[]'", "'[]'"),
+    "line_number": ("'\"' || l_linenumber || '\"'", "l_linenumber::VARCHAR"),
+    "references": ("'[{\"raw\":\"=/' || l_partkey || '\",\"page\":' || l_suppkey || CASE WHEN l_suppkey % 2 = 0 THEN ',\"target\":\"T\"' ELSE '' END || '}]'", None),
+    "remark": ("'\"a \\\"remark\\\"\"'", "'a \"remark\"'"), "source_image": ("'\"page-' || l_orderkey || '.png\"'", "'page-' || l_orderkey || '.png'"),
+    "source_pages": ("'[' || l_orderkey || ',' || l_linenumber || ']'", None), "start_device": ("CASE WHEN l_suppkey % 3 > 0 THEN '\"-K' || l_suppkey || '\"' END", "CASE WHEN l_suppkey % 3 > 0 THEN '-K' || l_suppkey END"),
+    "start_terminal": ("'\"' || l_suppkey || '\"'", "l_suppkey::VARCHAR"),
+    "start_terminal_coordinates": ("CASE WHEN l_partkey % 5 > 0 THEN '{\"x\":' || l_linenumber || ',\"y\":0,\"pdf_page_number\":' || l_orderkey || '}' END", None),
+    "status": ("'\"' || l_linestatus || '\"'", "l_linestatus"), "terminal_strip": ("'\"X' || l_linenumber || '\"'", "'X' || l_linenumber"), "unit_id": ("'\"' || l_orderkey || '\"'", "l_orderkey::VARCHAR"),
+    "unlisted": ("(l_suppkey % 4)::VARCHAR", None), "wire_number": ("'\"' || l_partkey || '\"'", "l_partkey::VARCHAR"),
 }
+_RAW_JSON = "'{' || concat_ws(',', " + ", ".join(f"'\"{k}\":' || ({v[0]})" for k, v in sorted(_RAW.items())) + ") || '}'"
+_RAW_CELLS = [f'{_RAW_JSON} AS "{h}"' if h == "raw_json" else f'{_RAW[h][1] or _RAW[h][0]} AS "{h}"' if h in _RAW else f'NULL::VARCHAR AS "{h}"' for h in RAW_HEADERS]
 
 
-@query(
-    "k4_raw_sheet",
-    "SELECT " + ", ".join(f'{RAW_OF[h]}::VARCHAR AS "{h}"' if h in RAW_OF else f'NULL::VARCHAR AS "{h}"' for h in RAW_HEADERS) + " FROM lineitem",
-)
+@query("k4_raw_sheet", f"SELECT {', '.join(_RAW_CELLS)} FROM lineitem")
 def k4(t):
-    """All rows as the 41 text columns of the raw sheet; what a record hasn't is null."""
-    return t.lineitem.select(*[(F.col(RAW_OF[h]).cast("string") if h in RAW_OF else F.lit(None).cast("string")).alias(h) for h in RAW_HEADERS])
+    return raw_sheet(raw_records(t.lineitem))
 
 
 @query("f5_scope_and_pages", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 20 IN (3, 5)")

@@ -240,6 +240,15 @@ def test_json_texts():
     assert jt.canonical(None) is None and jt.without_fields(None) is None
 
 
+def test_bad_json_is_a_row(spark):
+    texts = ['{"a": 1.0}', None, "", "{", '{"a": NaN}', "[Infinity]", "[" * 100_000, "7", '"\\ud800"', "1e400000000000000000000"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, t string")
+    for made in (jt.canonical_json, jt.facts_only):
+        got = {r.i: r.j for r in df.select("i", made("t").alias("j")).collect()}
+        assert len(got) == len(texts) and got[1] == (None, None) and got[7] == ("7", None) and got[0].error is None
+        assert all(got[i].text is None and got[i].error for i in (2, 3, 4, 5, 6))
+
+
 def test_fingerprints(spark):
     said = 'a "b" \\ / é\n\t'
     made = jt.request_fingerprint(F.lit("m"), F.array(F.struct(F.lit("user").alias("role"), F.lit(said).alias("content"))), F.lit(0.5), F.lit(None), F.lit(False), F.lit(True))
