@@ -66,6 +66,22 @@ def k11(t):
     )
 
 
+@query(
+    "k11_changed_rows",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 501 = 3 THEN 'gone' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 501 = 3 OR o_orderkey % 97 = 7
+       UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 703 = 9""",
+)
+def k11_changed(t):
+    """What a table changed since its digests were taken, by descending two digest trees."""
+    from ..operators.ranges import changed_rows
+
+    k = F.col("o_orderkey")
+    old = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    kept = old.where(k % 501 != 3).withColumn("o_totalprice", F.when(k % 97 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    new = kept.unionByName(old.where(k % 703 == 9).withColumn("o_orderkey", -k))
+    return changed_rows(old, new, "o_orderkey")
+
+
 @query(
     "k12_versioned_commit",
     """SELECT 'unit' AS kind, l_orderkey AS unit, NULL::INT AS no, NULL::BIGINT AS evidence FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'connection', l_orderkey, l_linenumber, NULL FROM lineitem
@@ -193,7 +209,7 @@ def export_rows(lines):
 def k1_workbook(t):
     """All rows written as workbooks, a text cell each, and read back from them below their headers."""
     from ..sources.workbooks import export_workbooks, read_workbooks, table_of
-    from ..streaming.events import shared_folder
+    from ..sources.shared import shared_folder
 
     folder = shared_folder(t.spark)
     export_workbooks(export_rows(t.lineitem), folder, EXPORT)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators.ranges import in_order
 from ..registry import query
 
 _CODE = "'=' || lpad((p_partkey % 200)::VARCHAR, 3, '0') || '.' || chr(65 + (p_partkey % 26)::INT)"
@@ -114,22 +114,8 @@ def p18(t):
 
 @query("p23_flatten_groups", "SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem")
 def p23(t):
-    return flattened(t.lineitem)
-
-
-def flattened(lines, ranges: int = 4096):
-    """(l_orderkey, place): groups flattened in order of their id. Ids are cut into ranges of one width, rows are counted per range and
-    the counts add up to offsets; places within a range are counted there, so only one row per range meets in a task."""
-    k = F.col("l_orderkey")
-    lo_hi = lines.agg(F.min(k).alias("lo"), F.max(k).alias("hi"))
-    span = F.expr(f"(l_orderkey - lo) div ((hi - lo) div {ranges} + 1)")
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey").crossJoin(F.broadcast(lo_hi)).withColumn("span", span).drop("lo", "hi")
-    sizes = rows.groupBy(F.col("span").alias("s")).agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("s", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("span").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
-    placed = rows.withColumn("i", within).join(F.broadcast(offsets), F.col("span").eqNullSafe(F.col("s")))
-    return placed.select("l_orderkey", (F.col("before") + F.col("i")).alias("place"))
+    """Groups flattened in order of their id."""
+    return in_order(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "place")
 
 
 @query(

@@ -291,7 +291,7 @@ def answer_sheets(t) -> DataFrame:
 def s15_workbooks(t):
     """The answer book's sheets written as workbooks of many sheets, read by sheet, and their answers: `row` is that of the sheet."""
     from ..sources.workbooks import read_workbooks, write_workbooks
-    from ..streaming.events import shared_folder
+    from ..sources.shared import shared_folder
 
     folder = shared_folder(t.spark)
     sheets = answer_sheets(t).withColumn("sheet", F.col("sheet").cast("string"))

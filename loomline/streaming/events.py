@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import sequence_in
 from ..registry import query
+from ..sources.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -50,17 +48,6 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append", reader: Spa
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`. Where that is unset, a temporary one, on one machine only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomline-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("t5_t9_event_tail", "SELECT event_id, user_id, event_type FROM events")
 def event_tail(t):
     """All events through a stream that reads each file once; `unique_events` is for senders that repeat themselves."""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..registry import query
-from .events import event_stream, run_to_end, shared_folder
+from ..sources.shared import shared_folder
+from .events import event_stream, run_to_end
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
