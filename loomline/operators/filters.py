@@ -36,6 +36,11 @@ def search_text(text: str) -> str:
     return "".join(c for c in text.strip() if c.isalnum() or c in " :_-+")[:LONGEST_SEARCH]
 
 
+def searched(text: Column) -> Column:
+    """`search_text` of a column."""
+    return F.substring(F.regexp_replace(F.btrim(text), r"[^\p{L}\p{N} :_+\-]", ""), 1, LONGEST_SEARCH)
+
+
 def contains_any(df: DataFrame, columns: list[str], text: str) -> DataFrame:
     """Case-insensitive containment in any of the columns."""
     wanted = search_text(text)

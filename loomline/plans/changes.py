@@ -121,6 +121,39 @@ def t10(t):
     return ch.conflicts(now, expected, ["k"])
 
 
+@query(
+    "t12_failed_scans",
+    """SELECT event_id AS page, CASE WHEN event_id % 9 = 4 THEN 'failed' ELSE 'scanned' END AS state, CASE WHEN event_id % 9 <> 4 THEN json_extract_string(props, 'k')::BIGINT END AS found, CASE WHEN event_id % 9 = 4 THEN 'not JSON' END AS error FROM events""",
+)
+def t12_scans(t):
+    """Pages whose scan can't be read fail with what was wrong, as rows, and the others go on."""
+    from ..functions import json_text as jt
+
+    page = F.col("event_id")
+    said = F.when(page % 9 == 4, F.substring("props", 1, 3)).otherwise(F.col("props"))
+    read = t.events.select(page.alias("page"), jt.canonical_json(said).alias("scan"))
+    return read.select(
+        "page", F.when(F.col("scan.error").isNull(), "scanned").otherwise("failed").alias("state"), F.get_json_object("scan.text", "$.k").cast("long").alias("found"),
+        F.substring_index("scan.error", ":", 1).alias("error"),
+    )
+
+
+@query(
+    "k3_unit_files",
+    "SELECT l_suppkey AS unit_id, l_orderkey, l_linenumber, l_partkey AS part, l_returnflag || l_linestatus AS flags FROM lineitem",
+)
+def k3(t):
+    """Units written as JSON, a folder each, and read back."""
+    from ..sources.shared import shared_folder
+    from ..sources.tables import write_units
+
+    line = F.struct(F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("flags"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("unit_id"), "l_orderkey", "l_linenumber", line.alias("line"))
+    folder = shared_folder(t.spark)
+    write_units(rows, folder)
+    return t.spark.read.schema(rows.schema).json(folder).select("unit_id", "l_orderkey", "l_linenumber", "line.part", F.array_join("line.flags", "").alias("flags"))
+
+
 @query(
     "t12_failed_pages",
     """SELECT event_id, CASE WHEN value > 90 THEN 'scan_failed' ELSE 'scan' END AS stage, CASE WHEN value > 90 THEN 'failed' ELSE 'scanned' END AS page_state, CASE WHEN value > 90 THEN 'PAGE_SCAN_FAILED' END AS code,

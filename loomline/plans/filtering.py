@@ -191,3 +191,10 @@ def f24(t):
 )
 def f25(t):
     return t.events.where(F.get_json_object("props", "$.deleted_at").isNull() & (F.col("user_id") % 10 == 1)).select("event_id")
+
+
+@query("f3_search_text", r"SELECT page_id, left(regexp_replace(trim('  ' || url || '*%' || left(html, 300)), '[^\p{L}\p{N} :_+\-]', '', 'g'), 100) AS search FROM pages")
+def f3(t):
+    """What a search keeps of what is typed: no quotes, wildcards or signs, and its first 100 characters."""
+    typed = F.concat(F.lit("  "), F.col("url"), F.lit("*%"), F.substring("html", 1, 300))
+    return t.pages.select("page_id", fl.searched(typed).alias("search"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.tables import scan
 
 
 @query("o2_o3_page_has_more", "SELECT o_orderkey, 3 AS next_offset FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 20")
@@ -139,9 +140,18 @@ def s10(t):
     return seen.select("l_orderkey", F.explode(F.array_except(F.sequence(F.lit(1), F.array_max("s")), "s")).alias("missing"))
 
 
-@query("s11_constant_relation", "SELECT unnest(['add', 'replace', 'remove']) AS kind")
+@query("s11_constant_relation", "SELECT kind, count(o_orderkey) AS n FROM (SELECT unnest(['F', 'P', 'gone', 'O']) AS kind) LEFT JOIN orders ON o_orderstatus = kind GROUP BY 1")
 def s11(t):
-    return t.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("add", "replace", "remove")])).alias("kind"))
+    """Wanted kinds as a relation, each with its rows, none of them too."""
+    kinds = t.spark.createDataFrame([(k,) for k in ("F", "P", "gone", "O")], "kind string")
+    return kinds.join(t.orders, F.col("kind") == F.col("o_orderstatus"), "left").groupBy("kind").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("s4_s6_pushed_scan", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 25 ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 1000 OFFSET 1000")
+def s4(t):
+    """The second thousand of a filtered scan in order: filter and columns reach the reader, the order is a top-k."""
+    rows = scan(t.spark, t.folder, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], "l_returnflag = 'R' AND l_quantity >= 25")
+    return rows.orderBy("l_orderkey", "l_linenumber", "l_partkey").offset(1000).limit(1000).select("l_orderkey", "l_linenumber")
 
 
 @query("s17_event_tail", "SELECT event_id FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
