@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.shared import checkpointed
 
 #: Points nearer than this are one place.
 NEAR = 0.025
@@ -94,14 +95,18 @@ def _hit_score() -> Column:
 
 
 def near_pairs(old: DataFrame, new: DataFrame, near: float = NEAR) -> DataFrame:
-    """(id, nid) of rows of a page of which some points lie nearer than `near`. Points meet in cells of that width."""
-    at = lambda df, key: df.select(key, "page", F.explode(F.array_compact(F.array("start_point", "end_point"))).alias("p")).select(
-        F.col(key), "page", F.col("p.page").alias("p_page"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.floor(F.col("p.x") / near).alias("cx"), F.floor(F.col("p.y") / near).alias("cy")
-    ).where("p_page is not null and x is not null and y is not null")
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = at(old, "id").select("id", "page", "p_page", F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.inline(around))
-    spread = spread.select("id", "page", "p_page", "ox", "oy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    met = spread.join(at(new, "nid"), ["page", "p_page", "cx", "cy"]).where(F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) < near)
+    """(id, nid) of rows of a page of which some points lie nearer than `near`. Points meet in cells twice as wide; an old one is in each cell that
+    the square around it touches, two or three as a rule."""
+    cell = 2 * near
+
+    def at(df: DataFrame, key: str) -> DataFrame:
+        points = df.select(key, "page", F.explode(F.array_compact(F.array("start_point", "end_point"))).alias("p"))
+        return points.select(key, "page", F.col("p.page").alias("p_page"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).where("p_page is not null and x is not null and y is not null")
+
+    touched = lambda c: F.sequence(F.floor((F.col(c) - near) / cell), F.floor((F.col(c) + near) / cell))
+    spread = at(old, "id").withColumn("cx", F.explode(touched("x"))).withColumn("cy", F.explode(touched("y"))).withColumnsRenamed({"x": "ox", "y": "oy"})
+    there = at(new, "nid").withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    met = spread.join(there, ["page", "p_page", "cx", "cy"]).where(F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) < near)
     return met.select("id", "nid").distinct()
 
 
@@ -116,9 +121,10 @@ def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     score 5 more; they are scored in full and compared with that.
     """
     once = lambda df: df.where("no is not null").groupBy("no").count().where("count = 1").select("no")
-    o, n = _flat(old, "id"), _flat(new, "nid")
+    # both sides, and the best of each row, are read several times: computed once
+    o, n = _flat(old, "id"), checkpointed(_flat(new, "nid"))
     both = once(o).join(once(n), "no").withColumn("once", F.lit(True))
-    o = o.join(both, "no", "left").withColumn("once", F.coalesce("once", F.lit(False)))
+    o = checkpointed(o.join(both, "no", "left").withColumn("once", F.coalesce("once", F.lit(False))))
     groups = _groups(n)
     traits = ["start_on", "start_code", "end_on", "end_code"]
     met = groups.groupBy("g", "h", *KEY, *traits).agg(F.min("nid").alias("first"), F.max("nid").alias("last"))
@@ -128,17 +134,16 @@ def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
         same = same & F.col(c).eqNullSafe(F.col(f"n_{c}"))
     hits = _probes(o).join(met, same).select("id", _hit_score().cast("long").alias("score"), "first", "last", "g")
 
-    pairs = near_pairs(old, new)
-    side = lambda df, key: df.select(key, F.struct(F.col("id").alias("row_id"), *[c for c in df.columns if c not in ("id", "nid")]).alias(f"{key}_row"))
-    closer = pairs.join(side(old, "id"), "id").join(side(new, "nid"), "nid").join(o.select("id", "once"), "id")
-    fields = ["page", "no", *[f"{e}_{c}" for e in ("start", "end") for c in ("terminal", "code", "point")]]
-    of = lambda key: {"id": F.col(f"{key}_row.row_id")} | {c: F.col(f"{key}_row.{c}") for c in fields}
-    singular = F.when(F.col("once") & (F.col("id_row.no").cast("string") == F.col("nid_row.no").cast("string")), SINGULAR).otherwise(0)
+    side = lambda df, key: df.select(key, F.struct(*[c for c in df.columns if c not in ("id", "nid")]).alias(f"{key}_row"))
+    closer = near_pairs(o, n).join(side(o, "id"), "id").join(side(n, "nid"), "nid")
+    fields = {"id": "own_id", "page": "page", "no": "no"} | {f"{e}_{c}": f"{e}_{c}" for e in ("start", "end") for c in ("code", "point")} | {f"{e}_terminal": e for e in ("start", "end")}
+    of = lambda key: {k: F.col(f"{key}_row.{c}") for k, c in fields.items()}
+    singular = F.when(F.col("id_row.once") & (F.col("id_row.no") == F.col("nid_row.no")), SINGULAR).otherwise(0)
     close = closer.select("id", (rules.rescan_score(of("id"), of("nid")) + singular).cast("long").alias("score"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.lit(None).cast("long").alias("g"))
 
     of_id = Window.partitionBy("id")
     best = hits.where(F.col("score") >= LEAST).unionByName(close).withColumn("most", F.max("score").over(of_id)).where("score = most")
-    best = best.withColumn("low", F.min("first").over(of_id)).withColumn("high", F.max("last").over(of_id))
+    best = checkpointed(best.withColumn("low", F.min("first").over(of_id)).withColumn("high", F.max("last").over(of_id)))
     single = best.where("low = high").select("id", F.col("low").alias("nid"), "score").distinct()
     tied = best.where("low < high")
     shared = groups.join(tied.where("g is not null").select("g").distinct(), "g", "left_semi").select("nid")
