@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import decontaminate, langid, mixing, neardup, pii
-from loomline.llm.scratch import pin
+from loomline.llm.scratch import pin, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir), name)
+        docs = made = pin(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)  # the next stages read what this one has written
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -319,13 +319,14 @@ def with_hits(docs: DataFrame, text_col: str, found: Column | DataFrame, name: s
     if isinstance(found, Column):
         return docs.withColumn(name, found)
     text, none = F.col(f"`{text_col}`"), F.array()
-    hits = found.select(F.col("key").alias("__key"), F.struct("spans", "items").alias("__hit"))
-    return docs.join(hits, F.sha2(text, 256) == F.col("__key"), "left").select(
+    key, hit = free_name(docs, "__key"), free_name(docs, "__hit")
+    hits = found.select(F.col("key").alias(key), F.struct("spans", "items").alias(hit))
+    return docs.join(hits, F.sha2(text, 256) == F.col(key), "left").select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n"),
-            F.coalesce("__hit.spans", none.cast(SPANS)).alias("spans"),
-            F.coalesce("__hit.items", none.cast("array<string>")).alias("items"),
+            F.coalesce(f"{hit}.spans", none.cast(SPANS)).alias("spans"),
+            F.coalesce(f"{hit}.items", none.cast("array<string>")).alias("items"),
         ).alias(name),
     )
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_name, pin, small_batches
+from .scratch import free_name, pin, release, small_batches
 from .wordhash import U64, mix64
 
 ORDERS = (3, 4)
@@ -199,9 +199,11 @@ def fit(
     )
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
+        release(counted)
         return LanguageFilters.of({})
     need = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n * min_share)])
     frequent = counted.where(F.col("n") >= need[F.col("lang")]).select("lang", "gram").toPandas()
+    release(counted)
     return LanguageFilters.of({k: g["gram"].to_numpy().view(U64) for k, g in frequent.groupby("lang")})
 
 

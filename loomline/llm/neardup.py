@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import pin, release, small_batches
+from .scratch import free_name, pin, release, small_batches
 from .wordhash import SPACED, U64, hashes_of, mix64
 
 BUCKET_BITS = 7
@@ -410,8 +410,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """`docs` with one document of each group, that with the smallest id."""
     gone = labelled(docs, id_col, text_col, k, percent).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    same = (F.col(f"`{id_col}`").cast("long") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    name, hashed = free_name(docs, "__gone"), free_name(docs, "__hash")
+    gone = gone.select(F.col("doc_id").alias(name), F.col("text_hash").alias(hashed)).distinct()
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hashed))
     return docs.join(gone, same, "left_anti")
 
 

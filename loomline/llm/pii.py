@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import free_name, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -338,14 +338,15 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
         return texts.map(redact, na_action="ignore")
 
     small_batches(docs.sparkSession)
-    made = docs.withColumn("__text", cleaned(F.col(f"`{text_col}`")))
-    changed = ~F.col("__text").eqNullSafe(F.col(f"`{text_col}`"))
+    clean = free_name(docs, "__text")
+    made = docs.withColumn(clean, cleaned(F.col(f"`{text_col}`")))
+    changed = ~F.col(clean).eqNullSafe(F.col(f"`{text_col}`"))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("__text").alias(c))
+            columns.append(F.col(clean).alias(c))
         elif c == length_col:
-            new = F.char_length("__text").cast(docs.schema[c].dataType)
+            new = F.char_length(clean).cast(docs.schema[c].dataType)
             columns.append(F.when(changed, new).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import pin, release
+from .scratch import free_name, pin, release
 from .wordhash import SPACED, U64, mix64
 
 MIN_WORDS, K = 50, 8
@@ -221,17 +221,18 @@ def repeated_passages(
 def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """`docs` without the words that an earlier occurrence already has; the space before each goes with it."""
     found = repeated_passages(docs, id_col, text_col, min_words, k).where(F.size("later_spans") > 0)
-    cuts = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("later_spans").alias("__cuts"))
-    cuts = cuts.dropDuplicates(["__id", "__hash"])
+    by_id, by_hash, cut = (free_name(docs, n) for n in ("__id", "__hash", "__cuts"))
+    cuts = found.select(F.col("doc_id").alias(by_id), F.col("text_hash").alias(by_hash), F.col("later_spans").alias(cut))
+    cuts = cuts.dropDuplicates([by_id, by_hash])
     pieces = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     kept = F.filter(
         F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.cast("long").alias("i"))),
-        lambda s: ~F.exists("__cuts", lambda c: (c["start"] <= s["i"]) & (s["i"] < c["end"])),
+        lambda s: ~F.exists(cut, lambda c: (c["start"] <= s["i"]) & (s["i"] < c["end"])),
     )
     joined = docs.join(
-        cuts, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash")), "left"
+        cuts, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(by_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(by_hash)), "left"
     )
-    text = F.when(F.col("__cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda s: s["p"]), ""))
+    text = F.when(F.col(cut).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda s: s["p"]), ""))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

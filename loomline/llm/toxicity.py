@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_name, pin
+from .scratch import free_name, pin, release
 from .wordhash import U64, Words, mix64
 
 BITS = 20
@@ -119,7 +119,7 @@ def fit(
                 )
 
     # what is shuffled to the task that learns are features, at most 2**bits a text however long that is
-    made = pin(sample.mapInPandas(featured, "draw long, id string, label int, features array<int>"), "features")
+    made = table = pin(sample.mapInPandas(featured, "draw long, id string, label int, features array<int>"), "features")
     total = made.agg(F.sum(F.size("features"))).first()[0] or 0
     if total > max_features:
         made = made.where(F.col("draw") < int((1 << 20) * min(1.0, max_docs / max(1, rows)) * max_features / total))
@@ -133,6 +133,7 @@ def fit(
 
     sample = made.withColumn("shard", F.col("draw") % shards)
     learned = sample.groupBy("shard").applyInPandas(train, "rows long, at long, weight double").toPandas()
+    release(table)
     if learned.empty:
         return Model(bits, 0.0, np.empty(0, np.int64), np.empty(0))
     shard_rows = learned.loc[learned["at"] == -1, "rows"].sum()
