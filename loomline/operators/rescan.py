@@ -132,21 +132,21 @@ def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     same = F.col("h") == F.col("n_h")
     for c in KEY:
         same = same & F.col(c).eqNullSafe(F.col(f"n_{c}"))
-    hits = _probes(o).join(met, same).select("id", _hit_score().cast("long").alias("score"), "first", "last", "g")
+    hits = _probes(o).join(met, same).select("id", _hit_score().cast("long").alias("score"), "first", "last", "g", "page")
 
     side = lambda df, key: df.select(key, F.struct(*[c for c in df.columns if c not in ("id", "nid")]).alias(f"{key}_row"))
     closer = near_pairs(o, n).join(side(o, "id"), "id").join(side(n, "nid"), "nid")
     fields = {"id": "own_id", "page": "page", "no": "no"} | {f"{e}_{c}": f"{e}_{c}" for e in ("start", "end") for c in ("code", "point")} | {f"{e}_terminal": e for e in ("start", "end")}
     of = lambda key: {k: F.col(f"{key}_row.{c}") for k, c in fields.items()}
     singular = F.when(F.col("id_row.once") & (F.col("id_row.no") == F.col("nid_row.no")), SINGULAR).otherwise(0)
-    close = closer.select("id", (rules.rescan_score(of("id"), of("nid")) + singular).cast("long").alias("score"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.lit(None).cast("long").alias("g"))
+    close = closer.select("id", (rules.rescan_score(of("id"), of("nid")) + singular).cast("long").alias("score"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.lit(None).cast("long").alias("g"), F.col("id_row.page").alias("page"))
 
     of_id = Window.partitionBy("id")
     best = hits.where(F.col("score") >= LEAST).unionByName(close).withColumn("most", F.max("score").over(of_id)).where("score = most")
     best = checkpointed(best.withColumn("low", F.min("first").over(of_id)).withColumn("high", F.max("last").over(of_id)))
     single = best.where("low = high").select("id", F.col("low").alias("nid"), "score").distinct()
     tied = best.where("low < high")
-    shared = groups.join(tied.where("g is not null").select("g").distinct(), "g", "left_semi").select("nid")
+    shared = groups.join(tied.where("g is not null").select("g", "page").distinct(), ["g", "page"], "left_semi").select("nid")
     uncertain = shared.union(tied.where("g is null").select("first")).union(single.groupBy("nid").count().where("count > 1").select("nid"))
     return single.join(uncertain, "nid", "left_anti").select("id", "nid", "score")
 
