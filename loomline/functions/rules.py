@@ -132,36 +132,38 @@ def review_reasons(r: dict[str, Column], phase: str, strict: bool) -> Column:
     """What a reviewer must see, in order and each once: an array of (code, field, message). `r` has endpoint_role, direction_basis,
     line_number, for start and end *_terminal, *_device and *_terminal_board, completion_state, has_evidence, and arrays: references
     (reason), uncertainties (field, detail), warnings. While scanning, an end that a reference will bring isn't missing yet."""
-    kind = "struct<code: string, field: string, message: string>"
+    none = F.array().cast("array<struct<code: string, field: string, message: string>>")
     given = lambda c: F.coalesce(c, F.lit("")) != ""
-    reason = lambda code, field, message: F.struct(F.lit(code).alias("code"), field.alias("field"), message.alias("message"))
-    fixed = lambda code, field, message: reason(code, F.lit(field), F.lit(message))
-    many = lambda c: F.coalesce(c, F.array())
-    pending = F.lit(phase == "scan") & ~given(r["end_terminal"]) & (F.size(many(r["references"])) > 0)
+    reason = lambda code, field, message: F.struct(F.lit(code).alias("code"), field.cast("string").alias("field"), message.alias("message"))
+    fixed = lambda when, code, field, message: F.when(when, F.array(reason(code, F.lit(field), F.lit(message)))).otherwise(none)
+    # lambdas are interpreted with all below them, so only rows that have something for them get there
+    each = lambda when, values, made: F.when(when & (F.size(values) > 0), F.transform(values, made)).otherwise(none)
+    references, uncertainties = r["references"], r["uncertainties"]
+    pending = F.lit(phase == "scan") & ~given(r["end_terminal"]) & F.coalesce(F.size(references) > 0, F.lit(False))
     unsure = F.coalesce(r["endpoint_role"] == "unknown", F.lit(False)) | (F.lit(strict) & (text(r["direction_basis"]) == ""))
     spare = F.upper(F.coalesce(r["line_number"], F.lit(""))) == "SPARE"
-    cases = [F.when(unsure, fixed(*DIRECTION))]
+    parts = [fixed(unsure, *DIRECTION)]
     for side in ("start", "end"):
         asked = ~pending if side == "end" else F.lit(True)
         terminal = text(r[f"{side}_terminal"])
         strictly = asked & F.lit(strict) & ~spare & (terminal != "")
         owned = given(r[f"{side}_device"]) | given(r[f"{side}_terminal_board"]) | terminal.contains(":") | F.upper(terminal).isin(*BARS)
-        cases += [
-            F.when(asked & (terminal == ""), fixed(f"missing_{side}_terminal", f"{side}_terminal", MISSING_TERMINAL[side])),
-            F.when(strictly & (terminal.rlike(PLC_ADDRESS) | terminal.rlike(POTENTIAL_LABEL)), fixed("non_physical_terminal", f"{side}_terminal", NOT_PHYSICAL)),
-            F.when(strictly & ~owned, fixed("endpoint_identity_incomplete", side, NO_IDENTITY)),
+        parts += [
+            fixed(asked & (terminal == ""), f"missing_{side}_terminal", f"{side}_terminal", MISSING_TERMINAL[side]),
+            fixed(strictly & (terminal.rlike(PLC_ADDRESS) | terminal.rlike(POTENTIAL_LABEL)), "non_physical_terminal", f"{side}_terminal", NOT_PHYSICAL),
+            fixed(strictly & ~owned, "endpoint_identity_incomplete", side, NO_IDENTITY),
         ]
-    unresolved = F.array().cast(f"array<{kind}>")
     if phase == "final":
         state = r["completion_state"]
-        cases += [F.when(state == name, fixed(code, "end", message)) for name, (code, message) in UNCERTAIN_ENDS.items()]
-        cases.append(F.when((state == "resolved") & F.lit(strict) & ~F.coalesce(r["has_evidence"], F.lit(False)), fixed(*NO_EVIDENCE)))
-        open_ends = F.filter(many(r["references"]), lambda x: ~given(r["end_terminal"]) & given(x["reason"]))
-        unresolved = F.transform(open_ends, lambda x: reason("reference_unresolved", F.lit("references"), x["reason"]))
-    seen = F.filter(many(r["uncertainties"]), lambda u: ~(pending & F.coalesce(u["field"] == "end", F.lit(False))))
-    unclear = F.transform(seen, lambda u: reason("visual_uncertainty", u["field"], F.coalesce(F.nullif(u["detail"], F.lit("")), F.lit(UNCLEAR))))
-    warned = F.transform(many(r["warnings"]), lambda w: reason("profile_validation", F.lit(None).cast("string"), w))
-    return F.array_distinct(F.concat(*[x.cast(f"array<{kind}>") for x in (F.array_compact(F.array(*cases)), unresolved, unclear, warned)]))
+        parts += [fixed(state == name, code, "end", message) for name, (code, message) in UNCERTAIN_ENDS.items()]
+        parts.append(fixed((state == "resolved") & F.lit(strict) & ~F.coalesce(r["has_evidence"], F.lit(False)), *NO_EVIDENCE))
+        named = F.filter(references, lambda x: given(x["reason"]))
+        parts.append(each(~given(r["end_terminal"]), named, lambda x: reason("reference_unresolved", F.lit("references"), x["reason"])))
+    unclear = lambda u: reason("visual_uncertainty", u["field"], F.coalesce(F.nullif(u["detail"], F.lit("")), F.lit(UNCLEAR)))
+    brought = F.filter(uncertainties, lambda u: ~F.coalesce(u["field"] == "end", F.lit(False)))
+    parts.append(F.when(pending, each(F.lit(True), brought, unclear)).otherwise(each(F.lit(True), uncertainties, unclear)))
+    parts.append(each(F.lit(True), r["warnings"], lambda w: reason("profile_validation", F.lit(None), w)))
+    return F.array_distinct(F.concat(*parts))
 
 
 def processing_status(end: Column, has_reference: Column, phase: str) -> Column:

@@ -133,9 +133,12 @@ def _review(t, phase, strict):
         "uncertainties": F.when(p % 13 == 0, seen),
         "warnings": F.when(F.col("l_linenumber") == 7, F.array(F.lit("odd"), F.lit("odd"))),
     }
-    shown = F.transform(ru.review_reasons(r, phase, strict), lambda x: F.concat_ws(":", x["code"], F.coalesce(x["field"], F.lit("-")), x["message"]))
     status = ru.processing_status(F.col("end_terminal"), F.col("has_reference"), phase)
-    return rows.select("l_orderkey", "l_linenumber", F.array_join(shown, "|").alias("reasons"), (F.size(shown) > 0).alias("needs_review"), status.alias("status"))
+    # a column of its own, used twice: it stays in a projection below, where it is compiled
+    found = rows.select("l_orderkey", "l_linenumber", ru.review_reasons(r, phase, strict).alias("found"), status.alias("status"))
+    said = F.transform("found", lambda x: F.concat_ws(":", x["code"], F.coalesce(x["field"], F.lit("-")), x["message"]))
+    some = F.size("found") > 0
+    return found.select("l_orderkey", "l_linenumber", F.when(some, F.array_join(said, "|")).otherwise("").alias("reasons"), some.alias("needs_review"), "status")
 
 
 def _review_sql(final: bool) -> str:
