@@ -12,7 +12,8 @@ Spans found in normalised text are mapped back through all edit lists and added
 A bare `at` counts only before a host with a disguised dot, or with a name that has a digit, dot or underscore, so that prose
 with `at` stays as it is.
 
-Everything is one pass over whole texts where they are read. Each step is linear in a text's length: cores of disguises are found
+Everything is one pass over whole texts where they are read. What a text must hold for a transducer to find something is searched for
+first, so that most texts pay for a few plain searches. Each step is linear in a text's length: cores of disguises are found
 first, blanks around them are widened over by hand, and names and hosts are walked from them label by label, of any length.
 
 Defined results: null is as an empty text; spans are in code points, end exclusive; equal spans are given once; rows that repeat an
@@ -35,6 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+QUAD = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]")  # in every address, and quicker to search for
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -71,7 +73,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(start, end, index of the kind) of everything in a text."""
     out = [(s, e, 0) for s, e in emails(text)]
-    for m in IP.finditer(text):
+    for m in IP.finditer(text) if QUAD.search(text) else ():
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
     for m in CARD.finditer(text):
@@ -162,6 +164,30 @@ def fold(c: str) -> str:
     return plain if len(plain) == 1 and plain < "\x7f" else c
 
 
+#: What a text must hold, in lower case, for a transducer to find something in it; cheap to search for.
+THREE_DIGITS = re.compile(rf"{_DIGIT}[\s,-]+{_DIGIT}[\s,-]+{_DIGIT}")
+CASELESS = "\u0130\u0131\u017f"  # equal to i or s where case is ignored, but not once in lower case
+PLAIN = str.maketrans(CASELESS, "iis")
+BRACKET_DOT = re.compile(r"[(\[{<][ \t]*\.")
+BRACKET_AT = re.compile(r"[(\[{<][ \t]*(?:at|@)")
+AT_HOST = re.compile(r"at[ \t]+[a-z0-9-]+\.[a-z0-9-]")
+
+
+def may_spell(text: str) -> bool:
+    return any(c in text for c in CASELESS) or THREE_DIGITS.search(text.lower()) is not None
+
+
+def may_hide_dot(low: str) -> bool:
+    return "dot" in low or "&#46;" in low or "%2e" in low or BRACKET_DOT.search(low) is not None
+
+
+def may_hide_at(low: str) -> bool:
+    """Beside a text without hidden dots: an `@` in disguise, or `at` before a host."""
+    if "@" in low and any(c in low for c in (" @", "\t@", "@ ", "@\t")):
+        return True
+    return "&#64;" in low or "&commat;" in low or "%40" in low or BRACKET_AT.search(low) is not None or AT_HOST.search(low) is not None
+
+
 class _Folds(dict):
     def __missing__(self, c: str) -> str:
         self[c] = found = fold(c)
@@ -172,15 +198,17 @@ _folds = _Folds()  # of the characters FOLDED names, some thousands
 
 
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii():
+        return []
     return [(i, i + 1, new) for m in FOLDED.finditer(text) for i, c in enumerate(m[0], m.start()) if (new := _folds[c]) != c]
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in SPELLED.finditer(text):
+    for m in SPELLED.finditer(text) if may_spell(text) else ():
         parts = list(SPELLED_PART.finditer(text, m.start(), m.end()))
         for p in parts:
-            word = p[1].lower()
+            word = p[1].translate(PLAIN).lower()
             out.append((p.start(), p.end() if p is not parts[-1] else p.end(1), "+" if word == "plus" else str(DIGIT_WORDS.index(word))))
     return out
 
@@ -233,7 +261,11 @@ def name_before(text: str, end: int, floor: int, dots: dict[int, int]) -> tuple[
 
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
     out, last = [], 0
-    hidden = disguises(DOT_CORE, text)
+    low = text.lower()
+    dotted = may_hide_dot(low)
+    if not dotted and not may_hide_at(low):
+        return out
+    hidden = disguises(DOT_CORE, text) if dotted else []
     ahead, behind = {s: e for s, e, _ in hidden}, {e: s for s, e, _ in hidden}
     for start, end, core in disguises(AT_CORE, text):
         host = host_after(text, end, ahead) if start >= last else None
@@ -252,7 +284,7 @@ def at_and_dot(text: str) -> list[tuple[int, int, str]]:
         out.append((start, end, "@"))
         out += [(s, e, ".") for s, e in host[1]]
         last = host[0]
-    if MAY_HIDE_IP.search(text):
+    if dotted and MAY_HIDE_IP.search(text):
         starts, more = [s for s, _, _ in out], []
         for m in HIDDEN_IP.finditer(text):
             i = bisect.bisect_left(starts, m.end()) - 1
