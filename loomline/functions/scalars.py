@@ -112,4 +112,6 @@ def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
 
 def reasons(cases: list[tuple[Column, str]]) -> Column:
     """The texts of the conditions that hold, in order, each once; a null condition doesn't hold."""
-    return F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in cases]), lambda x: x.isNotNull()))
+    # arrays put together are compiled, a filter by a lambda is interpreted with all below it
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(c, F.array(F.lit(t))).otherwise(none) for c, t in cases]))
