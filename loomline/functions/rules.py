@@ -15,6 +15,7 @@ STRIP_OF_DEVICE = {
 }
 STRIP_ALIASES = {"XD0": "X0", "XD21/XD23": "X21/X23", "XD22/XD24": "X22/X24"}
 CURRENT_BASES = ("IR", "IN", "IE")
+# Patterns of what is no physical terminal, and bars that need no device.
 PLC_ADDRESS = r"(?i)^[IQ]\d+\.\d+$"
 POTENTIAL_LABEL = r"(?i)(?:^|:)\w+_(?:L\d?|N|PE|\+|-)(?:\.\d+)?$"
 BARS = ("N-BAR", "PE-BAR")
