@@ -37,3 +37,16 @@ def allocate_numbers(df: DataFrame, keys: list[str], order: list[str], explicit:
     )
     base = F.greatest(F.coalesce(lead, F.lit(start - 1)), F.lit(start - 1))
     return numbered.withColumn("number", F.coalesce(F.col(explicit), base + F.col("__free"))).drop("__free")
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], cap: int, found: str = "found") -> DataFrame:
+    """The first `cap` rows of each key, with how many there are in `found`, counted to cap + 1: more than `cap` says that there are more.
+    The bound is applied before the shuffle too, so that a key brings at most cap + 1 rows from each task. `order` should leave no ties;
+    null keys are a key, an empty table gives no rows, and a column named `found` is refused."""
+    if found in df.columns:
+        raise ValueError(f"there is a column {found}")
+    # a filter right on the row number is what lets it go below the shuffle; the count is over what that leaves
+    some = df.withColumn(found, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(found) <= cap + 1)
+    whole = Window.partitionBy(*keys)
+    counted = some.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(F.col(found).alias("place"), F.max(found).over(whole).alias("all")).alias(found))
+    return counted.where(F.col(found)["place"] <= cap).withColumn(found, F.col(found)["all"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import first_of_each
 from ..registry import query
 from ..sources.tables import scan
 
@@ -51,6 +52,33 @@ def o9(t):
     return t.events.orderBy(F.col("ts").desc_nulls_first(), F.col("event_id").desc()).limit(51).select("event_id")
 
 
+@query(
+    "o9_turn_caps",
+    """SELECT user_id, event_id, n > 50 AS has_more FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, event_id DESC NULLS FIRST) AS i FROM events) WHERE i <= 50""",
+)
+def o9_turns(t):
+    """The newest 50 of each user, and whether there are more."""
+    newest = [F.col("ts").desc_nulls_first(), F.col("event_id").desc_nulls_first()]
+    turns = first_of_each(t.events.select("user_id", "event_id", "ts"), ["user_id"], newest, 50)
+    return turns.select("user_id", "event_id", (F.col("found") > 50).alias("has_more"))
+
+
+@query(
+    "o9_target_caps",
+    """WITH g AS (SELECT l_suppkey, l_partkey, count(*) AS page_count, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY seen, l_partkey) AS i FROM g)
+    SELECT l_suppkey, l_partkey, page_count, n > 50 AS has_more, CASE WHEN n > 1 THEN 'selection_required' END AS event FROM r WHERE i <= 50""",
+)
+def o9_targets(t):
+    """The first 50 targets of each search, by first appearance with their pages; more than one asks for a selection."""
+    seen = F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen")
+    targets = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("page_count"), seen)
+    first = first_of_each(targets, ["l_suppkey"], [F.col("seen").asc(), F.col("l_partkey").asc()], 50)
+    event = F.when(F.col("found") > 1, "selection_required").alias("event")
+    return first.select("l_suppkey", "l_partkey", "page_count", (F.col("found") > 50).alias("has_more"), event)
+
+
 @query("o11_s18_oldest_eligible", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 def o11(t):
     return t.orders.where("o_orderstatus = 'P'").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey").limit(1).select("o_orderkey")
