@@ -102,11 +102,12 @@ def decode_sheet(function: Column, number: Column) -> Column:
     return F.when(function == "GCR.TD", report).when(function.rlike(r"^GCR\.\d+$"), sheet)
 
 
-def title_block(text: Column) -> Column:
-    """Struct (function, sheet, object) of a page's title block."""
+def title_block(text: Column, digits: int = 4) -> Column:
+    """Struct (function, sheet, object) of a page's title block. A sheet has four digits at most in the dialect's drawings, a longer number is
+    none; `digits` is for a plant that numbers more."""
     return F.struct(
         F.regexp_replace(F.upper(group(text, TITLE_FUNCTION, 1)), "^=", "").alias("function"),
-        group(text, TITLE_SHEET, 1).cast("int").alias("sheet"),
+        group(text, TITLE_SHEET.replace("{1,4}", f"{{1,{digits}}}"), 1).cast("int").alias("sheet"),
         group(text, TITLE_OBJECT, 1).alias("object"),
     )
 

@@ -82,7 +82,8 @@ def s14b(t):
 )
 def s13(t):
     text = F.format_string("Plant Function: =AB%02d Object Loc. +K%d\nSheet %d", (F.col("s_suppkey") % 100).cast("int"), F.col("s_nationkey"), F.col("s_suppkey").cast("int"))
-    return t.supplier.select("s_suppkey", dl.title_block(text).alias("b")).select("s_suppkey", "b.function", "b.sheet", "b.object")
+    # sheets are numbered by supplier, up to any INT
+    return t.supplier.select("s_suppkey", dl.title_block(text, digits=10).alias("b")).select("s_suppkey", "b.function", "b.sheet", "b.object")
 
 
 @query(
