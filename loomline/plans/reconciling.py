@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import distance
 from ..operators.rescan import NEAR, rescan_matches, review_positions
@@ -18,55 +19,61 @@ def reconcile(answers: DataFrame, actuals: DataFrame, scope: list[str], number:
     3. Equal number, one row of it on either side.
     The rest is ambiguous if the other side still has its number, else missing or extra.
 
-    Ids are unique on their side. Both sides go through as one narrow table with a mark of what each row met, one window a
-    pass, and nothing is computed twice.
+    Ids are unique on their side. Both sides go through as one narrow table. Where the number is part of the identity and that of the fields, as
+    a rule, every pass works inside a scope's number: rows are dealt by that once, and all windows and the pairs stay where they are.
     """
-    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    sized = lambda c: F.concat(F.char_length(said(c)).cast("string"), F.lit(":"), said(c))
-    within = lambda cols: F.sha2(F.concat(*[sized(c) for c in [*scope, *cols]]), 256)
+    columns = list(dict.fromkeys([*scope, number, *identity, *fields, *ends]))
+    kinds = [{f.name: f.dataType for f in df.schema.fields} for df in (answers, actuals)]
+
+    def said(c: str) -> Column:
+        """A column by which rows are compared, as text with null as '' unless it is a whole number or a date on either side."""
+        exact = all(isinstance(k[c], (T.IntegralType, T.DateType)) for k in kinds) and kinds[0][c] == kinds[1][c]
+        return F.col(c) if exact else F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    named = {c: f"c{i}" for i, c in enumerate(columns)}
+    of_all = lambda cols: [named[c] for c in dict.fromkeys([*scope, *cols])]
+    given = lambda c: F.coalesce(F.col(named[c]).cast("string"), F.lit("")) != ""
+    side = lambda df, mark: df.select(F.lit(mark).alias("answer"), "id", *[said(c).alias(k) for c, k in named.items()])
+    rows = side(answers, True).unionByName(side(actuals, False))
+    nested = number in identity and set(identity) <= set(fields)
+    if nested:
+        rows = rows.repartition(*[F.col(c) for c in of_all([number])])
+
+    answer, free = F.col("answer"), F.col("by").isNull()
     filled = F.lit(True)
     for c in ends:
-        filled = filled & (said(c) != "")
-
-    def keyed(df: DataFrame, answer: bool) -> DataFrame:
-        own = F.concat_ws(":", F.lit(answer).cast("string"), F.col("id").cast("string"))
-        numbered = said(number) != ""
-        return df.select(
-            F.lit(answer).alias("answer"),
-            "id",
-            within(fields).alias("signature"),
-            # a row without both ends is a group of its own, so such rows are dealt like any others
-            F.when(filled, within(identity)).otherwise(own).alias("identity"),
-            within([number]).alias("number"),
-            numbered.alias("numbered"),
-            own.alias("own"),
-            F.struct(*[F.col(c).cast("string").alias(c) for c in fields]).alias("row"),
-        )
-
-    answer = F.col("answer")
-    equal = Window.partitionBy("signature")
+        filled = filled & given(c)
+    # in this order of columns a sort by all serves the windows over the first ones
+    first = [c for c in columns if c in {*scope, *fields}] if nested else [*scope, *fields]
+    equal = Window.partitionBy(*of_all(first))
     rows = (
-        keyed(answers, True)
-        .unionByName(keyed(actuals, False))
+        rows.withColumn("nth", F.row_number().over(Window.partitionBy(*of_all(first), "answer").orderBy("id")))
         .withColumn("both", F.least(F.count_if(answer).over(equal), F.count_if(~answer).over(equal)))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("signature", "answer").orderBy("id")))
-        .withColumn("met", F.when(F.col("nth") <= F.col("both"), F.concat_ws("|", "signature", F.col("nth").cast("string"))))
-        .drop("signature", "both", "nth")
+        .withColumn("by", F.when(F.col("nth") <= F.col("both"), F.lit("fields")))
     )
-    free = F.col("met").isNull()
-    for by in ("identity", "number"):
-        group = Window.partitionBy(by)
-        left = lambda side: F.count_if(side & free).over(group)  # noqa: B023, E731
-        alone = free & (left(answer) == 1) & (left(~answer) == 1) & (F.lit(True) if by == "identity" else F.col("numbered"))
-        rows = rows.withColumn("met", F.when(alone, F.concat_ws("|", by, F.lit(by))).otherwise(F.col("met")))
-    group = Window.partitionBy("number")
+    # a row without both ends has no identity, a row without a number can't be met by it
+    for by, cols, counts in (("identity", [c for c in columns if c in {*scope, *identity}], filled), ("number", [*scope, number], given(number))):
+        group = Window.partitionBy(*of_all(cols))
+        left = lambda mark: F.count_if(mark & free & counts).over(group)  # noqa: B023, E731
+        rows = rows.withColumn("by", F.when(free & counts & (left(answer) == 1) & (left(~answer) == 1), F.lit(by)).otherwise(F.col("by")))
+    group = Window.partitionBy(*of_all([number]))
     there = (F.count_if(answer & free).over(group) > 0) & (F.count_if(~answer & free).over(group) > 0)
-
-    of = lambda side, c: F.max(F.when(side, F.col(c)))
-    groups = rows.withColumn("there", there).groupBy(F.coalesce("met", "own").alias("met")).agg(
+    rows = rows.withColumn("there", there)
+
+    # two rows of a pair have in common what their pass compared; a row that met none is alone by its side and id
+    met = {"fields": fields, "identity": identity, "number": [number]}
+    parts = [*of_all([number] if nested else [])]
+    for c, k in named.items():
+        if k not in parts:
+            rows = rows.withColumn(f"by_{k}", F.when(F.col("by").isin([by for by, cols in met.items() if c in cols or c in scope]), F.col(k)))
+            parts.append(f"by_{k}")
+    rows = rows.withColumn("by_nth", F.when(F.col("by") == "fields", F.col("nth"))).withColumn("alone", F.when(free, F.struct("answer", "id")))
+    of = lambda mark, c: F.max(F.when(mark, F.col(c)))
+    values = F.struct(*[F.col(named[c]).alias(c) for c in fields]).alias("row")
+    groups = rows.select("answer", "id", "by", "by_nth", "alone", "there", *parts, values).groupBy(*parts, "by", "by_nth", "alone").agg(
         of(answer, "id").alias("answer_id"), of(~answer, "id").alias("actual_id"), of(answer, "row").alias("x"), of(~answer, "row").alias("y"), F.max("there").alias("there")
     )
-    same = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit("")) == F.coalesce(F.col(f"y.{c}"), F.lit(""))
+    same = lambda c: F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
     differences = F.array_join(F.array_compact(F.array(*[F.when(~same(c), F.lit(c)) for c in fields])), ",")
     paired = F.col("answer_id").isNotNull() & F.col("actual_id").isNotNull()
     status = (
