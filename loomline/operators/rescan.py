@@ -18,6 +18,10 @@ from ..sources.shared import checkpointed
 NEAR = 0.025
 #: The least score of a match, the points of a kept id, and those of a number that no other row of its side has.
 LEAST, KEPT, SINGULAR = 4, 10000, 4
+#: A page with more rows than this on either side is met by keys; the result is the same for any.
+CROWD = 64
+#: Pages and numbers up to so many are broadcast.
+FEW = 100_000
 #: What rows may have in common beside their page: number, start and end, alone and together.
 PARTS = [("n", "s", "e"), ("n", "s"), ("n", "e"), ("s", "e"), ("n",), ("s",), ("e",)]
 KEY = ["level", "page", "k_id", "k_no", "k_start", "k_end"]
@@ -110,21 +114,85 @@ def near_pairs(old: DataFrame, new: DataFrame, near: float = NEAR) -> DataFrame:
     return met.select("id", "nid").distinct()
 
 
-def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
+def _full_score(of_old: dict[str, Column], of_new: dict[str, Column], once: Column) -> Column:
+    """`rules.rescan_score`, and the points of a number that no other row has."""
+    singular = F.when(once & (of_old["no"] == of_new["no"]), SINGULAR).otherwise(0)
+    return (rules.rescan_score(of_old, of_new) + singular).cast("long")
+
+
+#: The fields that the score asks for, by their names in `_flat`.
+FIELDS = {"id": "own_id", "page": "page", "no": "no"} | {f"{e}_{c}": f"{e}_{c}" for e in ("start", "end") for c in ("code", "point")} | {f"{e}_terminal": e for e in ("start", "end")}
+
+
+def rescan_matches(old: DataFrame, new: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(id, nid, score): each old row with the one new row of its page that scores highest by `rules.rescan_score`, and 4 more where both have a
     number that is the only one on either side; 4 at least. An old row with several best ones matches none of them, and they match nothing; nor does
     a new row that is the best of several.
 
-    No pair of rows is made but of those whose points are near. New rows are grouped by each set of parts that they can have in common with
+    A row meets all rows of its page where these are `crowd` at most on either side: both sides are dealt by page, once, and the rest is done where
+    they are. Pages with more rows are met by keys, so that no pair of their rows is made but of those whose points are near.
+    """
+    o, n = _flat(old, "id"), _flat(new, "nid")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in ("no", "page")])).alias("k")
+    seen = lambda df, mine, theirs: df.select(kinds, F.lit(mine).alias("o"), F.lit(theirs).alias("n")).select("k.*", "o", "n")
+    counts = seen(o, 1, 0).union(seen(n, 0, 1)).groupBy("kind", "key").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
+    alone = (F.col("kind") == "no") & F.col("key").isNotNull() & (F.col("o") == 1) & (F.col("n") == 1)
+    full = (F.col("kind") == "page") & (F.least("o", "n") > 0) & (F.col("key").isNull() | (F.greatest("o", "n") > crowd))
+    marks = checkpointed(counts.where(alone | full).select("kind", "key"))
+    found = {r.kind: r["count"] for r in marks.groupBy("kind").count().collect()}
+    of = lambda kind, name: (lambda df: F.broadcast(df) if found.get(kind, 0) <= FEW else df)(marks.where(F.col("kind") == kind).select(F.col("key").alias(name)))
+    if "no" in found:
+        o = o.join(of("no", "once_no"), F.col("no") == F.col("once_no"), "left").withColumn("once", F.col("once_no").isNotNull()).drop("once_no")
+    else:
+        o = o.withColumn("once", F.lit(False))
+    if "page" not in found:
+        return _met_in_pages(o, n)
+    crowded = of("page", "crowded")
+    part = lambda df, how: df.join(crowded, F.col("page").cast("string").eqNullSafe(F.col("crowded")), how)
+    return _met_in_pages(part(o, "left_anti"), part(n, "left_anti")).unionByName(_met_by_keys(part(o, "left_semi"), part(n, "left_semi")))
+
+
+def _traits(df: DataFrame, before: str, *keep: str) -> DataFrame:
+    """What a pair's score asks of a row of `_flat`: ends on their page as `*_pin`, points as numbers."""
+    col, own = F.col, ["own_id", "page", "no", "start", "end", "start_code", "end_code"]
+    pins = [F.when(col(f"{e}_on"), col(e)).alias(f"{before}{e}_pin") for e in ("start", "end")]
+    points = [col(f"{e}_point.{c}").alias(f"{before}{e}_{c if c != 'page' else 'at'}") for e in ("start", "end") for c in ("page", "x", "y")]
+    return df.select(*keep, *[col(c).alias(before + c) for c in own], *pins, *points)
+
+
+def _pair_score() -> Column:
+    """`_full_score` of `_traits` of an old row and a new one (`n_`). It is compiled with the join, and a method that is too long isn't, so it asks
+    for little: what a row alone decides is decided before."""
+    col, ends = F.col, ("start", "end")
+    score = F.when(col("no") == col("n_no"), F.when(col("once"), 4 + SINGULAR).otherwise(4)).otherwise(0)
+    anchors, near = [], F.lit(False)
+    for a in ends:
+        score = score + F.when(col(a) == col(f"n_{a}"), 2).otherwise(0)
+        for b in ends:
+            devices = F.coalesce(F.when(col(f"{a}_code") == col(f"n_{b}_code"), 80).otherwise(F.when(col(f"{a}_code").isNull() | col(f"n_{b}_code").isNull(), 64)), F.lit(0))
+            anchors.append(F.when(col(f"{a}_pin") == col(f"n_{b}_pin"), devices).otherwise(0))
+            x, y = col(f"{a}_x") - col(f"n_{b}_x"), col(f"{a}_y") - col(f"n_{b}_y")
+            near = near | F.coalesce((col(f"{a}_at") == col(f"n_{b}_at")) & (F.abs(x) < NEAR) & (F.hypot(x, y) < NEAR), F.lit(False))
+    kept = F.when(col("once") & (col("no") == col("n_no")), KEPT + SINGULAR).otherwise(KEPT)
+    score = score + F.greatest(*anchors) + F.when(near, 5).otherwise(0)
+    return F.when(col("own_id") == col("n_own_id"), kept).otherwise(score).cast("long")
+
+
+def _met_in_pages(o: DataFrame, n: DataFrame) -> DataFrame:
+    """Matches of rows that meet all of their page."""
+    met = _traits(o, "", "id", "once").join(_traits(n, "n_", "nid"), F.col("page") == F.col("n_page"))
+    met = met.select("page", "id", "nid", _pair_score().alias("score")).where(F.col("score") >= LEAST)
+    of_id, of_nid = Window.partitionBy("page", "id"), Window.partitionBy("page", "nid")
+    tops = met.withColumn("most", F.max("score").over(of_id)).where("score = most").withColumn("tied", F.count("*").over(of_id))
+    return tops.withColumn("chosen", F.count("*").over(of_nid)).where("tied = 1 and chosen = 1").select("id", "nid", "score")
+
+
+def _met_by_keys(o: DataFrame, n: DataFrame) -> DataFrame:
+    """Matches without pairs of rows but of those whose points are near. New rows are grouped by each set of parts that they can have in common with
     an old one; the score of the parts that a group shares is the least that its rows score, and the highest of these is reached by the
     parts that count. A group tells its first and last row, so the best of an old row is one row if its best groups' first and last are one. Near rows
-    score 5 more; they are scored in full and compared with that.
-    """
-    once = lambda df: df.where("no is not null").groupBy("no").count().where("count = 1").select("no")
-    # both sides, and the best of each row, are read several times: computed once
-    o, n = _flat(old, "id"), checkpointed(_flat(new, "nid"))
-    both = once(o).join(once(n), "no").withColumn("once", F.lit(True))
-    o = checkpointed(o.join(both, "no", "left").withColumn("once", F.coalesce("once", F.lit(False))))
+    score 5 more; they are scored in full and compared with that."""
+    o, n = checkpointed(o), checkpointed(n)  # both sides, and the best of each row, are read several times: computed once
     groups = _groups(n)
     traits = ["start_on", "start_code", "end_on", "end_code"]
     met = groups.groupBy("g", "h", *KEY, *traits).agg(F.min("nid").alias("first"), F.max("nid").alias("last"))
@@ -136,10 +204,8 @@ def rescan_matches(old: DataFrame, new: DataFrame) -> DataFrame:
 
     side = lambda df, key: df.select(key, F.struct(*[c for c in df.columns if c not in ("id", "nid")]).alias(f"{key}_row"))
     closer = near_pairs(o, n).join(side(o, "id"), "id").join(side(n, "nid"), "nid")
-    fields = {"id": "own_id", "page": "page", "no": "no"} | {f"{e}_{c}": f"{e}_{c}" for e in ("start", "end") for c in ("code", "point")} | {f"{e}_terminal": e for e in ("start", "end")}
-    of = lambda key: {k: F.col(f"{key}_row.{c}") for k, c in fields.items()}
-    singular = F.when(F.col("id_row.once") & (F.col("id_row.no") == F.col("nid_row.no")), SINGULAR).otherwise(0)
-    close = closer.select("id", (rules.rescan_score(of("id"), of("nid")) + singular).cast("long").alias("score"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.lit(None).cast("long").alias("g"), F.col("id_row.page").alias("page"))
+    of = lambda key: {k: F.col(f"{key}_row.{c}") for k, c in FIELDS.items()}
+    close = closer.select("id", _full_score(of("id"), of("nid"), F.col("id_row.once")).alias("score"), F.col("nid").alias("first"), F.col("nid").alias("last"), F.lit(None).cast("long").alias("g"), F.col("id_row.page").alias("page"))
 
     of_id = Window.partitionBy("id")
     best = hits.where(F.col("score") >= LEAST).unionByName(close).withColumn("most", F.max("score").over(of_id)).where("score = most")

@@ -66,6 +66,33 @@ def test_matches_are_those_of_all_pairs(spark):
     assert len(seen) > 8  # of many kinds
 
 
+def test_matches_are_the_same_however_pages_are_met(spark):
+    r = random.Random(5)
+    old = [(f"o{i}", 0 if i % 3 else i % 9, *side(r, 30)) for i in range(90)]
+    new = [(i, r.choice([None, f"o{r.randrange(90)}", None]), 0 if i % 4 else i % 6, *side(r, 30)) for i in range(90)]
+    old.append(("none", None, "n", *[None] * 6))
+    new.append((900, None, None, "n", *[None] * 6))
+    sides = spark.createDataFrame(old, OLD), spark.createDataFrame(new, NEW)
+    got = [sorted(map(tuple, rescan_matches(*sides, crowd=crowd).collect())) for crowd in (0, 10, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 5
+
+
+def test_rows_of_small_pages_are_dealt_once(spark):
+    none = F.lit(None).cast(POINT)
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("id"), F.floor(F.col("id") / 10).alias("page"), F.lit("1").alias("no"), F.concat(F.lit("X:"), F.col("id").cast("string")).alias("start_terminal"),
+        F.lit("Y").alias("end_terminal"), F.lit("K").alias("start_code"), F.lit("M").alias("end_code"), none.alias("start_point"), none.alias("end_point"),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = rescan_matches(rows, rows.withColumn("nid", F.col("id").cast("long")).withColumn("id", F.lit(None).cast("string")))
+        assert got.count() == 400
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_nothing_to_match(spark):
     none = spark.createDataFrame([], OLD), spark.createDataFrame([], NEW)
     one = spark.createDataFrame([("a", 1, "5", None, None, None, None, None, None)], OLD)
