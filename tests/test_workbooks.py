@@ -79,3 +79,27 @@ def test_a_books_rows_are_counted():
     book.close()
     with zipfile.ZipFile(held) as z:
         assert z.testzip() is None and "xl/worksheets/sheet2.xml" in z.namelist()
+
+
+def test_small_sheets_share_a_task(spark, tmp_path):
+    rows = spark.range(900).select(F.concat(F.lit("s"), (F.col("id") % 300).cast("string")).alias("sheet"), F.array(F.col("id").cast("string")).alias("cells"))
+    wb.write_workbooks(rows.repartition(2, "sheet").sortWithinPartitions("sheet"), str(tmp_path / "out"))
+    got = wb.read_workbooks(spark, str(tmp_path / "out"))
+    assert got.rdd.getNumPartitions() == 1  # one a sheet before
+    assert {(r.sheet, int(r.cells[0])) for r in got.collect()} == {(f"s{i % 300}", i) for i in range(900)}
+
+
+def test_rows_are_plain_as_far_as_they_are(tmp_path):
+    """Rows as this module writes them, then whatever XML allows: each comes once, as the parser says it."""
+    cell = lambda t: wb.OPEN + t + wb.SHUT
+    plain = [f'<row r="{i}">{cell("a&amp;lt;" + str(i))}{cell("")}</row>' for i in range(1, 60_001)]
+    for odd, want in (
+        (f'<row r="60001">{cell("&#65;")}</row>', ["A"]), (f'<row r="60001">{cell("<!-- no -->b")}</row>', ["b"]), (f'<row r="60001">{cell("l" + chr(13) + "m")}</row>', ["l\nm"]),
+        (f'<row  r="60001">{cell("c")}</row >', ["c"]), ('<row r="60001"><c t="b"><v>1</v></c></row>', ["TRUE"]), (f'<row r="60003">{cell("d")}</row>', ["d"]), ('<row r="60001"></row>', []),
+    ):
+        with zipfile.ZipFile(tmp_path / "b.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("s.xml", wb.SHEET + "".join(plain) + odd + "</sheetData></worksheet>")
+        reader = wb.XlsxReader({"path": str(tmp_path / "b.xlsx")})
+        rows = [r for b in reader.read(wb.Sheets([wb.Sheet(str(tmp_path / "b.xlsx"), "s.xml", "S")])) for r in b.to_pylist()]
+        assert [r["row"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) == (60_003 if want == ["d"] else 60_001)
+        assert rows[-1]["cells"] == want and all(r["cells"] == [f"a&lt;{r['row']}", ""] for r in rows[:60_000])
