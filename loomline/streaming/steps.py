@@ -38,15 +38,18 @@ class Publisher(StatefulProcessor):
         self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getMapState("done", "task string", "content string")
+        self.done = handle.getListState("done", "task string, content string")
         self.progress = handle.getValueState("progress", "ended long, last long, page long, published boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ended, last, page, published = self.progress.get() if self.progress.exists() else (0, -1, 0, False)
+        # every call to the state is a message: four a connection and batch, however many tasks it has
+        ended, last, page, published = self.progress.get() or (0, -1, 0, False)
+        known = dict(map(tuple, self.done.get())) if ended else {}
         new, out = {}, []
         for r in sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: (r.seq, r.task, r.content)):
-            before = new.get(r.task) or (self.done.getValue((r.task,))[0] if self.done.containsKey((r.task,)) else None)
+            before = known.get(r.task)
             if before is None:
+                known[r.task] = r.content
                 new[r.task] = r.content
                 ended += 1
                 last, page = max((last, page), (int(r.seq), int(r.page)))
@@ -55,9 +58,9 @@ class Publisher(StatefulProcessor):
                     out.append((*key, "published", r.task, page, last, ended))
             elif before != r.content:
                 out.append((*key, "mismatch", r.task, int(r.page), int(r.seq), ended))
-        for task, content in new.items():
-            self.done.updateValue((task,), (content,))
-        self.progress.update((ended, last, page, published))
+        if new:
+            self.done.appendList(list(new.items()))
+            self.progress.update((ended, last, page, published))
         if out:
             yield pd.DataFrame(out, columns=self.names)
 

@@ -41,3 +41,30 @@ def test_repeats_are_dropped_by_the_mark_of_their_run(spark, tmp_path):
     assert run() == [(1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "c")]
     write([(1, 1, "a"), (1, 3, "d"), (1, 4, "e"), (3, 1, "f")])
     assert run() == [(1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (1, 4, "e"), (2, 1, "c"), (3, 1, "f")]
+
+
+def test_messages_to_the_state_follow_connections_not_tasks():
+    import pandas as pd
+
+    calls = []
+
+    class Held:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append(f"{self.name}.{call}")
+                if call == "get":
+                    return iter(self.value or []) if self.name == "done" else self.value
+                self.value = [*(self.value or []), *args[0]] if call == "appendList" else args[0]
+
+            return run
+
+    publisher = st.Publisher(["g", "outcome", "task", "page", "at_", "n"])
+    publisher.done, publisher.progress = Held("done"), Held("progress")
+    step = lambda rows: iter([pd.DataFrame(rows, columns=["task", "content", "seq", "page", "tasks"])])
+    assert list(publisher.handleInputRows(("a",), step([(f"t{i}", "x", i, i, 600) for i in range(500)]), None)) == []
+    (out,) = publisher.handleInputRows(("a",), step([(f"t{i}", "y" if i == 3 else "x", 1000 + i, i, 600) for i in range(600)]), None)
+    assert out.values.tolist() == [["a", "mismatch", "t3", 3, 1003, 500], ["a", "published", "t599", 599, 1599, 600]]
+    assert len(calls) <= 8  # more than 1,600 before
