@@ -11,7 +11,8 @@
 4. What may still be linked are nodes that share a bucket and are in different components. An exact prefix filter over the sets
    of these nodes alone, and an exact bound from 512 parities of each set (what differs in parity differs in the sets), give
    the pairs of them that can reach the threshold; these are confirmed too, and so no pair of a bucket that could
-   change the result stays untested.
+   change the result stays untested. Two passes over one drawn pair per shingle and node come before the pass over all of them:
+   a crowd that the stars left in several components is one by then, and has few pairs between components.
 
 Equal sets are merged and minima taken before shuffles; hot buckets meet only in equi-joins that adaptive execution can split.
 Nodes have numbers of their own, so repeated ids meet no more than others do.
@@ -24,6 +25,7 @@ with a null id are in no component and kept; a set of very many shingles is comp
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import islice
 from zlib import crc32
 
@@ -47,6 +49,9 @@ _TRIES = mix64(np.arange(ATTEMPTS * BUCKETS, dtype=U64) + U64(77)).reshape(ATTEM
 #: Shingles that a task holds of one set at a time, and bytes of text that have about as many.
 PART, PART_BYTES = 1 << 20, 8 << 20
 PARITIES = tuple(f"p{i}" for i in range(8))
+OWN = ("node", "n", *PARITIES)
+#: Shingles ahead of one that its row has with it, and passes over sampled pairs before that over all. The result is the same for any.
+BEFORE, SAMPLES = 8, 2
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -268,15 +273,13 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of `nodes` (node, component) in different components that may reach the threshold: exact filters.
+def prefixes(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (node, n, parities, at, shingle, before) of the shingles by which `nodes` may reach the threshold with each other.
 
     Each set is ordered by how many of these sets have a shingle, rarest first. Sets that reach the threshold share a
-    shingle among the first n - ceil(t n) + 1 of both, and what follows their first shared shingle must be enough for the
-    overlap asked. Shingles that one set alone has only move the others' positions, so a document with many words of its own meets
-    nothing, whatever crowd it was copied from. Sets that differ in d parities differ in d shingles at least, so a pair's
-    overlap is (n + m - d) / 2 at most; the join itself tests this, so of a crowd of texts that are alike but not near enough
-    no pair leaves it, and no text moves for one.
+    shingle among the first n - ceil(t n) + 1 of both. Shingles that one set alone has only move the others' positions, so a
+    document with many words of its own meets nothing, whatever crowd it was copied from. `before` is the last BEFORE shingles
+    ahead of this one.
     """
 
     def sets(frames):
@@ -288,22 +291,21 @@ def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 yield pd.DataFrame(
                     {
                         "node": part["node"].to_numpy(),
-                        "component": part["component"].to_numpy(),
                         "n": [x.size for x in found],
                         **{name: marks[:, j] for j, name in enumerate(PARITIES)},
                         "shingles": [x.view(np.int64) for x in found],
                     }
                 )
 
-    own = ("node", "component", "n", *PARITIES)
     made = pin(
-        texts.join(nodes, "node").select("node", "component", "text").mapInPandas(
-            sets, ", ".join(f"{c} long" for c in own) + ", shingles array<long>"
-        ),
+        texts.join(nodes, "node").select("node", "text").mapInPandas(sets, ", ".join(f"{c} long" for c in OWN) + ", shingles array<long>"),
         "sets",
     )
     flat = made.select("node", "n", F.explode("shingles").alias("shingle"))
     shared = pin(flat.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "shared")
+    ahead = lambda x, i: F.struct(
+        x["shingle"].alias("shingle"), F.slice("s", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))["shingle"].alias("before")
+    )
     ordered = (
         flat.join(shared, "shingle")
         .groupBy("node")
@@ -311,34 +313,52 @@ def untested(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         .withColumn("alone", F.col("n") - F.size("s"))
         .withColumn("reach", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone"))
         .where("reach > 0")
-        .select("node", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("reach").cast("int"))).alias("i", "s"))
+        .withColumn("s", F.slice("s", F.lit(1), F.col("reach").cast("int")))
+        .select("node", "alone", F.posexplode(F.transform("s", ahead)).alias("i", "s"))
     )
     prefix = pin(
-        ordered.join(made.select(*own), "node").select(
-            *own, (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle")
-        ),
-        "prefix",
+        ordered.join(made.select(*OWN), "node").select(*OWN, (F.col("alone") + F.col("i")).alias("at"), "s.shingle", "s.before"), "prefix"
     )
-    met, most = several_components(prefix, ["shingle"])
-    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in (*own, "at")])
+    release(made, shared)
+    return prefix
+
+
+def untested(prefix: DataFrame, nodes: DataFrame, percent: int, sample: int | None = None) -> DataFrame:
+    """All pairs (a, b) of `nodes` (node, component) in different components that may reach the threshold: exact filters.
+
+    A pair meets at the first shingle that both prefixes have, where what follows must be enough for the overlap asked; where
+    both have one of the shingles just ahead they have met before. Sets that differ in d parities differ in d shingles at
+    least, so a pair's overlap is (n + m - d) / 2 at most; the join itself tests this, so of a crowd of texts that are alike
+    but not near enough no pair leaves it, and no text moves for one.
+
+    With `sample` each row meets one other of its shingle instead, drawn by that number from the largest component: as many
+    pairs as rows at most, which bring most of a crowd together before all of its pairs are asked for.
+    """
+    met, most = several_components(prefix.join(nodes, "node"), ["shingle"])
+    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in (*OWN, "component", "largest", "at", "before")])
+    apart = met.where("component != largest")
+    others = met
+    if sample is not None:
+        drawn = F.max_by(F.struct(*met.columns), F.xxhash64("node", "shingle", F.lit(sample)))
+        others = met.where("component = largest").groupBy("shingle").agg(drawn.alias("hub")).select("hub.*")
+    x, y = side("x", apart), side("y", others)
     sizes = F.col("n_x") + F.col("n_y")
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITIES[1:]), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
-    x, y = side("x", met.where("component != largest")), side("y", met)
+    near = (
+        (x["shingle"] == y["shingle"])
+        & (F.col("component_x") != F.col("component_y"))
+        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+        & ((sizes - differ) * (100 + percent) >= sizes * (2 * percent))
+    )
+    once = ((F.col("component_y") == F.col("largest_y")) | (F.col("node_x") < F.col("node_y"))) & (left * (100 + percent) >= sizes * percent)
     pairs = pin(
-        x.join(
-            y,
-            (x["shingle"] == y["shingle"])
-            & (F.col("component_x") != F.col("component_y"))
-            & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-            & (left * (100 + percent) >= sizes * percent)
-            & ((sizes - differ) * (100 + percent) >= sizes * (2 * percent)),
-        )
+        x.join(y, near if sample is not None else near & once & ~F.arrays_overlap("before_x", "before_y"))
         .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
         .distinct(),
         "untested",
     )
-    release(made, shared, prefix, most)
+    release(most)
     return pairs
 
 
@@ -380,11 +400,23 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     )
     crowded, most = several_components(placed, ["band", "key"])
     open_ = pin(crowded.select("node", "component").distinct(), "open")
-    rest = untested(open_, texts, k, percent)
-    more = pin(confirmed(rest.join(star, ["a", "b"], "left_anti"), texts, k, percent).distinct(), "more")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    release(hubs, met, star, texts, links, most, open_, rest, more)
+    prefix = prefixes(open_, texts, k, percent)
+    spent = [hubs, met, most, texts, prefix, open_]
+    tested, linked = [star], [links]
+    all_of = lambda tables: reduce(DataFrame.union, tables)
+    for sample in (*range(SAMPLES), None):
+        rest = untested(prefix, open_, percent, sample)
+        more = pin(confirmed(rest.join(all_of(tested), ["a", "b"], "left_anti"), texts, k, percent).distinct(), "more")
+        tested.append(rest)
+        linked.append(more)
+        if more.isEmpty():
+            continue
+        labels = components(all_of(linked))
+        if sample is not None:
+            named = labels.withColumnRenamed("id", "node")
+            open_ = pin(open_.select("node").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "open")
+            spent.append(open_)
+    release(*spent, *tested, *linked)
     grouped = labels.join(nodes.select(F.col("node").alias("id"), "first.doc_id"), "id")
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     merged = (

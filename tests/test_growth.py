@@ -24,3 +24,22 @@ def test_reconcile_deals_rows_once(spark):
     # a number outside of the identity is dealt by each pass, with the same rules
     apart = reconcile(rows, rows.where("id < 39").withColumn("no", F.col("no") + 1), ["page"], "no", ["id"], ["id", "no", "start"], ["id"])
     assert {(r.status, r.differences, r.answer_id == r.actual_id) for r in apart.where("answer_id < 39").collect()} == {("same", "", True), ("different", "no", True)}
+
+
+def test_a_crowd_is_not_met_pair_by_pair(spark, monkeypatch):
+    """Near copies that the stars left apart are brought together before all of their pairs are asked for."""
+    from loomline.llm import neardup
+
+    n, words = 240, [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[: i % 200], f"own{i}", *words[i % 200 + 1 :]])) for i in range(n)]
+    asked, compare, likely = [], neardup.confirmed, neardup.promising
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    monkeypatch.setattr(neardup, "promising", lambda *a: likely(*a).where("a < 0"))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert {(r.n_shingles, r.component_id) for r in got.collect()} <= {(s, 0) for s in (196, 197, 198)} and got.count() == n
+    assert sum(asked) < 20 * n
