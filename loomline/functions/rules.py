@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import differs, reasons
@@ -35,6 +35,9 @@ UNCLEAR = "图像信息不明确"
 NO_SHEET = ("page", "来源Sheet无法确认，原理号留空")
 UNREADABLE = ("connection", "标记数字可见但无法辨认，原理号留空")
 NO_MARKER = ("connection", "本段无可确认标记编号或完整实际端子，原理号留空")
+#: What a start is, and the fields of a record that say it.
+START = ("location", "device", "board", "terminal", "conflict")
+START_FIELDS = ("start_code", "start_location", "start_device", "start_terminal_board", "start_terminal", "location", "device", "terminal_board", "terminal")
 # What a correction's issue leads to: action, stages, estimated model calls.
 PATCH_STAGES = ("VALIDATION", "PROPOSAL")
 SCAN_STAGES = ("PAGE_SCAN", *PATCH_STAGES)
@@ -224,31 +227,55 @@ def start_identity(r: dict[str, Column]) -> Column:
     White space goes and letters are upper case. A code or nested device that begins with + is a location; a terminal
     `board:pin` is split at its last colon; a board that contradicts it is a conflict, and then nothing else counts."""
 
-    def said(name: str) -> Column:
-        return F.nullif(F.upper(F.regexp_replace(r[name], r"(?U)\s+", "")), F.lit("")) if name in r else F.lit(None).cast("string")
-
-    def first(*names: str) -> Column:
-        return F.coalesce(*[said(n) for n in names])
-
-    unhyphened = lambda c: F.nullif(F.regexp_replace(c, "^-+", ""), F.lit(""))
+    named = {name: F.nullif(F.upper(F.regexp_replace(c, r"(?U)\s+", "")), F.lit("")) for name, c in r.items() if name in START_FIELDS}
+    made = start_split(start_parts(named))
+    return F.struct(*[made[name].alias(name) for name in START])
+
+
+def start_identities(df: DataFrame, starts: dict[str, dict[str, Column]]) -> DataFrame:
+    """`df` with a `start_identity` per name. Each step's columns are read by name by the next: put into one another, the patterns would be
+    searched again wherever a column is used, in an expression too large to compile."""
+    kept = df.columns
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    place = lambda name, part: f"__{name}_{part}"
+    text = {place(n, f): F.upper(F.regexp_replace(c, r"(?U)\s+", "")) for n, r in starts.items() for f, c in r.items() if f in START_FIELDS}
+    df = df.withColumns(text)
+    parts = {n: start_parts({f: said(place(n, f)) for f in r if f in START_FIELDS}) for n, r in starts.items()}
+    df = df.withColumns({place(n, f"has_{part}"): c for n, made in parts.items() for part, c in made.items()})
+    split = {n: start_split({part: F.col(place(n, f"has_{part}")) for part in made}) for n, made in parts.items()}
+    df = df.withColumns({place(n, f"is_{part}"): c for n, made in split.items() for part, c in made.items()})
+    return df.select(*kept, *[F.struct(*[F.col(place(n, f"is_{part}")).alias(part) for part in START]).alias(n) for n in starts])
+
+
+def start_parts(r: dict[str, Column]) -> dict[str, Column]:
+    """Location, device, own board and terminal of a start from its cleaned fields."""
+    said = lambda name: r.get(name, F.lit(None).cast("string"))
+    unhyphened = lambda c: F.nullif(F.ltrim(c, F.lit("-")), F.lit(""))
     code, nested = said("start_code"), said("device")
     placed = lambda c: F.when(c.startswith("+"), c)
     location = F.coalesce(said("start_location"), said("location"), placed(code), placed(nested))
     part = lambda c: F.when(~c.startswith("+") & ~c.eqNullSafe(location), c)
-    device = unhyphened(F.coalesce(said("start_device"), part(nested), part(code)))
-    own = unhyphened(first("start_terminal_board", "terminal_board"))
-    terminal = first("start_terminal", "terminal")
+    return {
+        "location": location,
+        "device": unhyphened(F.coalesce(said("start_device"), part(nested), part(code))),
+        "own": unhyphened(F.coalesce(said("start_terminal_board"), said("terminal_board"))),
+        "terminal": F.coalesce(said("start_terminal"), said("terminal")),
+    }
+
+
+def start_split(r: dict[str, Column]) -> dict[str, Column]:
+    """The fields of START from those parts."""
+    terminal, own = r["terminal"], r["own"]
     pin = F.substring_index(terminal, ":", -1)
-    qualified = F.regexp_replace(F.substring(terminal, F.lit(1), F.char_length(terminal) - F.char_length(pin) - 1), "^-+", "")
+    qualified = F.ltrim(F.substring(terminal, F.lit(1), F.char_length(terminal) - F.char_length(pin) - 1), F.lit("-"))
     split = F.coalesce(terminal.contains(":"), F.lit(False))
-    conflict = split & F.coalesce(own != qualified, F.lit(False))
-    return F.struct(
-        location.alias("location"),
-        device.alias("device"),
-        F.when(split, F.nullif(qualified, F.lit(""))).otherwise(own).alias("board"),
-        F.when(split, F.nullif(pin, F.lit(""))).otherwise(terminal).alias("terminal"),
-        conflict.alias("conflict"),
-    )
+    return {
+        "location": r["location"],
+        "device": r["device"],
+        "board": F.when(split, F.nullif(qualified, F.lit(""))).otherwise(own),
+        "terminal": F.when(split, F.nullif(pin, F.lit(""))).otherwise(terminal),
+        "conflict": split & F.coalesce(own != qualified, F.lit(False)),
+    }
 
 
 def same_start(original: Column, scanned: Column) -> Column:

@@ -279,9 +279,8 @@ def x37(t):
         "start_terminal_board": F.when(F.col("l_suppkey") % 2 == 0, "-xd 4"),
         "start_code": F.when(p == 0, "+es1").when(p == 1, "-k 1"),
     }
-    there = ru.start_identity(r)
-    bare = ru.start_identity(r | {"start_code": F.when(p == 1, "K1")})
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", there.alias("i"), ru.same_start(there, bare).alias("same_without_place"))
+    rows = ru.start_identities(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), {"i": r, "bare": r | {"start_code": F.when(p == 1, "K1")}})
+    rows = rows.withColumn("same_without_place", ru.same_start(F.col("i"), F.col("bare")))
     return rows.select("l_orderkey", "l_linenumber", "i.*", "same_without_place")
 
 

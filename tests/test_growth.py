@@ -3,8 +3,10 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomline import catalog
 from loomline.plans.reconciling import reconcile
 
 
@@ -43,3 +45,10 @@ def test_a_crowd_is_not_met_pair_by_pair(spark, monkeypatch):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
     assert {(r.n_shingles, r.component_id) for r in got.collect()} <= {(s, 0) for s in (196, 197, 198)} and got.count() == n
     assert sum(asked) < 20 * n
+
+
+@pytest.mark.parametrize("name, most", [("x37_start_identity", 12), ("x3_s12_wire_addresses", 14), ("x3_ambiguous_addresses", 14), ("x3_inherited_functions", 14), ("s14_grid_addresses", 14)])
+def test_patterns_are_searched_once_a_row(spark, sf_dir, name, most):
+    """A pattern put into another where its result is used would be searched once for every use."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp") + plan.count("RLIKE") <= most
