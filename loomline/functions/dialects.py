@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns by which the three dialects mark references and title blocks.
@@ -49,7 +49,11 @@ def references(text: Column, dialect: Dialect) -> Column:
 def inherited_function(named: Column, source: Column) -> Column:
     """A function code in a reference: none is the source's own; a letter alone, with or without a dot, continues the source's
     number; three digits and a letter get their dot."""
-    code = F.regexp_replace(F.upper(F.trim(named)), "^=+", "")
+    return continued_function(F.ltrim(F.upper(F.trim(named)), F.lit("=")), source)
+
+
+def continued_function(code: Column, source: Column) -> Column:
+    """As `inherited_function`, of a code that is trimmed, upper case and without leading `=`."""
     stem = F.substring_index(source, ".", 1)
     return (
         F.when(code.isNull() | (code == ""), source)
@@ -77,6 +81,30 @@ def parse_address(raw: Column, source: Column) -> Column:
     )
 
 
+def parsed_addresses(df: DataFrame, raw: Column, source: Column, name: str) -> DataFrame:
+    """`df` with `parse_address` as a column. Each step's columns are read by name by the next, so that each pattern is searched once a row:
+    put into one another they would be searched wherever a part is used."""
+    d = DIALECTS["wire"]
+    kept, local = df.columns, F.col("__local")
+    part = lambda i: F.regexp_extract("__raw", d.reference, i)
+    df = df.withColumns({"__raw": raw, "__source": source})
+    df = df.withColumns(
+        {
+            "__n": F.regexp_count("__raw", F.lit(d.reference)), "__local": F.col("__raw").rlike(LOCAL_ADDRESS), "__function": part(d.function),
+            "__page": part(d.page), "__column": part(d.column), "__object": part(d.object),
+        }
+    )
+    df = df.withColumns({"__code": F.ltrim(F.upper(F.trim("__function")), F.lit("="))})
+    at = lambda own, other: F.nullif(F.when(local, F.regexp_extract("__raw", LOCAL_ADDRESS, other)).otherwise(F.col(own)), F.lit("")).cast("int")
+    address = F.struct(
+        F.when(local, F.col("__source")).otherwise(continued_function(F.col("__code"), F.col("__source"))).alias("function"),
+        at("__page", 1).alias("page"),
+        at("__column", 2).alias("column"),
+        F.when(~local, F.nullif("__object", F.lit(""))).alias("object"),
+    )
+    return df.select(*kept, F.when(F.col("__n") + F.when(local, 1).otherwise(0) == 1, address).alias(name))
+
+
 def encode_sheet(raw: Column) -> Column:
     """`3C` as (GCR.3, 3), the letter as its place; `TD 12.b` as (GCR.TD, 1202); else null."""
     text = F.upper(F.trim(raw))

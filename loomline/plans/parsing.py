@@ -26,7 +26,7 @@ def addressed(t):
               regexp_extract(r, '\\.([0-9]{{1,2}})$', 1)::INT AS col, regexp_extract(r, '(\\+[^/]+)/', 1) AS object FROM (SELECT *, {_RAW} AS r FROM lineitem)""",
 )
 def x3(t):
-    parsed = addressed(t).select("l_orderkey", "l_linenumber", dl.parse_address(F.col("raw"), F.lit("082.R")).alias("a"))
+    parsed = dl.parsed_addresses(addressed(t), F.col("raw"), F.lit("082.R"), "a")
     return parsed.select("l_orderkey", "l_linenumber", "a.function", "a.page", F.col("a.column").alias("col"), "a.object")
 
 
@@ -34,7 +34,8 @@ def x3(t):
 def x3b(t):
     """Two addresses in one reference name nothing, one does."""
     raw = F.when(F.col("l_partkey") % 2 == 0, F.concat_ws(" ", "raw", "raw")).otherwise(F.col("raw"))
-    return addressed(t).select("l_orderkey", "l_linenumber", dl.parse_address(raw, F.lit("082.R")).isNotNull().alias("named"))
+    parsed = dl.parsed_addresses(addressed(t), raw, F.lit("082.R"), "a")
+    return parsed.select("l_orderkey", "l_linenumber", F.col("a").isNotNull().alias("named"))
 
 
 @query(
@@ -43,7 +44,8 @@ def x3b(t):
 )
 def x3c(t):
     raw = F.concat(F.lit("."), F.chr((F.col("l_suppkey") % 26 + 65).cast("int")), F.lit("/5.1"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", dl.parse_address(raw, F.lit("082.R"))["function"].alias("function"))
+    parsed = dl.parsed_addresses(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), raw, F.lit("082.R"), "a")
+    return parsed.select("l_orderkey", "l_linenumber", "a.function")
 
 
 @query(
@@ -65,9 +67,13 @@ def x4(t):
 def s14(t):
     d = dl.DIALECTS["grid"]
     raw = F.concat((F.col("l_partkey") % 99 + 1).cast("string"), F.chr((F.col("l_suppkey") % 26 + 65).cast("int")), F.format_string("%02d", F.col("l_quantity").cast("int")), F.lit("H"))
-    sheet = dl.encode_sheet(dl.group(raw, d.reference, d.page))
-    column = dl.group(raw, d.reference, d.column).cast("int")
-    return t.lineitem.select("l_orderkey", "l_linenumber", sheet["function"].alias("function"), sheet["number"].alias("number"), column.between(*dl.GRID_COLUMNS).alias("valid"))
+    # columns of their own, so that each pattern is searched once a row
+    keys = ("l_orderkey", "l_linenumber")
+    found = t.lineitem.select(*keys, raw.alias("raw")).select(*keys, F.regexp_extract("raw", d.reference, d.page).alias("page"), F.regexp_extract("raw", d.reference, d.column).alias("column"))
+    column = F.nullif("column", F.lit("")).cast("int")
+    sheets = found.select(*keys, F.upper(F.trim(F.nullif("page", F.lit("")))).alias("page"), column.alias("column"))
+    encoded = sheets.select(*keys, dl.encode_sheet(F.col("page")).alias("s"), F.col("column").between(*dl.GRID_COLUMNS).alias("valid"))
+    return encoded.select(*keys, "s.function", "s.number", "valid")
 
 
 @query("s14_duplicate_sheets", "SELECT p_size, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
