@@ -145,13 +145,13 @@ def t12_scans(t):
 def k3(t):
     """Units written as JSON, a folder each, and read back."""
     from ..sources.shared import shared_folder
-    from ..sources.tables import write_units
+    from ..sources.units import read_units, write_units
 
     line = F.struct(F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("flags"))
     rows = t.lineitem.select(F.col("l_suppkey").alias("unit_id"), "l_orderkey", "l_linenumber", line.alias("line"))
     folder = shared_folder(t.spark)
     write_units(rows, folder)
-    return t.spark.read.schema(rows.schema).json(folder).select("unit_id", "l_orderkey", "l_linenumber", "line.part", F.array_join("line.flags", "").alias("flags"))
+    return read_units(t.spark, folder, rows.schema).select("unit_id", "l_orderkey", "l_linenumber", "line.part", F.array_join("line.flags", "").alias("flags"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .units import write_units  # noqa: F401
+
 LONGEST_CELL = 32767
 ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
@@ -39,11 +41,6 @@ def illegal_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, named.alias("columns")).where(F.size("columns") > 0)
 
 
-def write_units(df: DataFrame, path: str, unit: str = "unit_id") -> None:
-    """One folder of JSON per unit. Rows of a unit are brought together first, so a unit is a file of its task, not of every task."""
-    df.repartition(unit).write.mode("errorifexists").partitionBy(unit).json(path)
-
-
 def write_sheet(df: DataFrame, path: str) -> None:
     """CSV with a header, in the table's order."""
     df.write.mode("errorifexists").option("header", True).csv(path)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .shared import located
 from .tables import LONGEST_CELL
 
 # Limits and names of the file format.
@@ -49,13 +50,6 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#13;": "\r
 TASK_BYTES, BLOCK, BATCH = 32 << 20, 1 << 20, 5_000
 
 SCHEMA = "path string, sheet string, row long, cells array<string>"
-
-
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """A file system and a path in it, of a URI or a plain path."""
-    return fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:/*", "/", path))
-
-
 ARROW_SCHEMA = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))])
 
 
