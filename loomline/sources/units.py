@@ -124,12 +124,18 @@ def write_units(df: DataFrame, path: str, unit: str = "unit_id") -> None:
     rows.repartition("unit").sortWithinPartitions("unit").write.format("units").mode("append").option("column", unit).save(path)
 
 
-def read_units(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of all units in a folder, their unit from its folder's name. Folders are listed many a task."""
+def read_units(spark: SparkSession, path: str, schema: StructType, unit: str = "unit_id") -> DataFrame:
+    """The rows of all units in a folder, their unit from its folder's name. Folders are listed many a task; partitions are not inferred, as Spark then
+    takes each against all."""
     tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(tasks)
     spark.conf.set(tasks, min(int(before), LISTING_TASKS))
     try:
-        return spark.read.schema(schema).json(path).select(*[_quoted(c) for c in schema.names])
+        rows = spark.read.schema(StructType([f for f in schema.fields if f.name != unit])).option("recursiveFileLookup", True).json(path)
     finally:
         spark.conf.set(tasks, before)
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    name = F.substring_index(folder, "=", -1)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    named = F.when(name != NO_UNIT, decoded(decoded(name))).cast(schema[unit].dataType)  # the path is a URI of an escaped name
+    return rows.select(*[named.alias(unit) if c == unit else _quoted(c) for c in schema.names])
